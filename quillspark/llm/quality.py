@@ -112,8 +112,9 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     names = measures()
     with_rates = measured(docs, text).withColumns({f"_{m}": c for m, c in names.items()}).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     label = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("_good")).filter("_id is not null and _good is not null")
-    known = docs.join(label, F.col(doc_id) == F.col("_id"))
-    rated = measured(known, text).withColumns(names).select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.col("_good").alias("good"), *names)
+    # Only the measures meet the labels: texts stay where they were read.
+    small = measured(docs, text).withColumns(names).select(F.col(doc_id).alias("_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *names)
+    rated = small.join(label, F.col("_key") == F.col("_id")).select("stratum", F.col("_good").alias("good"), *names)
     limits = thresholds(rated, risk, level).groupBy("stratum").pivot("measure", list(names)).agg(F.min("cutoff"))
     limits = limits.select(F.col("stratum").alias("_s"), *[F.col(m).alias(f"_max_{m}") for m in names])
     over = F.lit(False)
