@@ -5,8 +5,8 @@ fixed patterns find, and the base64 and hexadecimal digests of the sampled rows'
 words of the sampled documents of five or more letters that no pattern covers. A token is reported when the
 log-likelihood ratio, summed over its transitions, is high enough in total and per transition.
 
-The training sample is the ``sample_docs`` documents (a documented bound) of the smallest hashed ids; the scan covers
-every document and its whole text. Everything is DataFrame expressions. A null text counts as empty: no spans. Repeated
+The training sample is the documents of the ``sample_docs`` smallest hashed ids (a documented bound; repeated rows count
+once); the scan covers every document and its whole text. Everything is DataFrame expressions. A null text counts as empty: no spans. Repeated
 rows are scanned each on its own; an empty table gives an empty result; other columns of the input are not looked at.
 """
 
@@ -73,7 +73,10 @@ def _transitions(tokens: DataFrame, token: str) -> DataFrame:
 
 def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 1000) -> list[float]:
     """Log-likelihood ratio of each character transition, random against ordinary: SIZE * SIZE numbers, whatever the input's size."""
-    sample = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).orderBy(F.xxhash64("id"), "id", "text").limit(sample_docs)
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.xxhash64("id"))
+    # The bound is found on hashes alone, so no task gathers texts.
+    bound = rows.select("at").distinct().orderBy("at").limit(sample_docs).agg(F.max("at").alias("at")).first()["at"]
+    sample = rows.filter(F.col("at") <= F.lit(bound)).dropDuplicates(["id", "text"]).select("id", "text")
     base = F.concat(*[_spans(F.col("text"), k) for k in KINDS])
     sample = sample.withColumn("spans", base)
     found = sample.select(F.explode(F.transform("spans", lambda s: F.regexp_extract(s["text"], r"[A-Za-z0-9+/_=-]+$", 0))).alias("token"))
