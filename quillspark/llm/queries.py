@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, secrets, urls
+from . import language_model, licenses, ngram_join, quality, secrets, suffix_dedup, urls
 from .base import read
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan(read(spark, sf_dir, "documents")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -25,5 +29,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_url_filter, op4_license_scan, op6_quality_rules)}
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(read(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedupe(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_url_filter, op4_license_scan, op6_quality_rules, op8_language_model, op9_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
