@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import quality, secrets
+from quillspark.llm import mixing, ngram_join, packing, quality, secrets
 from quillspark.llm.base import read, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,8 +25,36 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.when(F.size("secret_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links connect, the one of the smallest id stays; rows that are the same count once."""
+    found = stored(ngram_join.join_documents(docs), "near-duplicates")
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    times = (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    return mixing.mix(docs).filter("taken > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their bins; a document taken twice lies in two bins."""
+    return packing.pack_documents(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("secret scans", secret_scans)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources to target weights", mixed),
+    ("best-fit packing", packed),
+]
+#: None: which documents link is not expressed in SQL at this scale; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

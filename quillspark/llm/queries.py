@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_model, licenses, ngram_join, quality, secrets, suffix_dedup, urls
+from . import language_model, licenses, mixing, nearest, ngram_join, packing, quality, secrets, suffix_dedup, urls
 from .base import read
 
 
@@ -24,11 +24,19 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_texts(read(spark, sf_dir, "documents"))
 
@@ -37,5 +45,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedupe(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_ngram_join, op3_url_filter, op4_license_scan, op6_quality_rules, op8_language_model, op9_suffix_dedup)}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_ngram_join,
+        op3_url_filter,
+        op4_license_scan,
+        op5_best_fit_packing,
+        op6_quality_rules,
+        op7_mixing,
+        op8_language_model,
+        op9_suffix_dedup,
+        op10_nearest,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
