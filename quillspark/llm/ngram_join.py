@@ -15,8 +15,8 @@ Candidates, by pigeonhole over the hashed universe:
 * Sets of 3 to 7 shingles may differ in one: the whole set is one segment, indexed with its one-deletion neighbourhood.
 
 Each content that several sets index is a group. Groups are never expanded into pairs: every set is first compared
-with one leader (twice, with different leaders), verified exactly on the whole sets, and linked components are
-contracted; only pairs of different components that a group still holds are compared one by one.
+with one leader (twice, with different leaders), first by a small sketch that rules out most and never a link, then
+exactly on the whole sets, and linked components are contracted; only pairs of different components that a group still holds are compared one by one.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and copies share a class; ties are settled by
 the smallest id. An empty table gives an empty result. Other columns are not looked at.
@@ -184,11 +184,42 @@ def _shared(batches):
     yield pa.RecordBatch.from_arrays([pa.array(content[several]), pa.array(sets[several]), pa.array(size[several])], names=["content", "set", "size"])
 
 
+def sketches(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, starts): of each set, the parity of its hashes in each of at least twice its size of slots.
+
+    Sets of d different hashes differ in at most d slots, so unlike sets are told apart without their hashes."""
+    sizes = np.diff(starts)
+    slots = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) + 1)
+    begin = np.concatenate([[0], np.cumsum(slots)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = begin[owner] + (data & (slots[owner].astype(np.uint64) - np.uint64(1))).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=begin[-1]).astype(np.uint8) & 1, bitorder="little"), begin // 8
+
+
 def _bodies(batches):
-    """The sets of candidates, as sorted hashes."""
+    """The sets of candidates: size, sketch and sorted hashes."""
     for piece in _pieces(batches):
         data, starts, ids = _distinct(*_sets(piece))
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), binaries(data, starts)], names=["set", "body"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(np.diff(starts).astype(np.int64)), binaries(*sketches(data, starts)), binaries(data, starts)], names=["set", "n", "sketch", "body"])
+
+
+def _alike(batches):
+    """Pairs whose sketches do not rule out a link."""
+    for b in batches:
+        left, a = flat(b.column(b.schema.get_field_index("left")), "u1")
+        right, c = flat(b.column(b.schema.get_field_index("right")), "u1")
+        total = (b.column("left_n").to_numpy() + b.column("right_n").to_numpy()).tolist()
+        keep = np.zeros(len(b), bool)
+        for i in range(len(b)):
+            x, y = left[a[i] : a[i + 1]], right[c[i] : c[i + 1]]
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            apart = int(np.bitwise_count(x ^ y).sum())
+            keep[i] = apart * (100 + PERCENT) <= (100 - PERCENT) * total[i]
+        keep = pa.array(keep)
+        yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
 
 
 def _verify(batches):
@@ -205,10 +236,15 @@ def _verify(batches):
 
 
 def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those that link."""
-    left = bodies.select(F.col("set").alias("u"), F.col("body").alias("left"))
-    right = bodies.select(F.col("set").alias("v"), F.col("body").alias("right"))
-    return pairs.join(right, "v").join(left, "u").select("u", "v", "left", "right").mapInArrow(_verify, "u long, v long")
+    """Of the pairs (u, v), those that link: first by their sketches, then exactly by their whole sets."""
+
+    def both(rows, what):
+        left = bodies.select(F.col("set").alias("u"), F.col("n").alias("left_n"), F.col(what).alias("left"))
+        right = bodies.select(F.col("set").alias("v"), F.col("n").alias("right_n"), F.col(what).alias("right"))
+        return rows.join(right, "v").join(left, "u").select("u", "v", "left_n", "right_n", "left", "right")
+
+    near = both(pairs, "sketch").mapInArrow(_alike, "u long, v long")
+    return both(near, "body").mapInArrow(_verify, "u long, v long")
 
 
 def _contracted(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -255,7 +291,7 @@ def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     groups = stored(plain, "groups").withColumn("part", F.col("set"))
     wanted = groups.select("set").distinct()
     chosen = members.join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
-    bodies = stored(rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bodies, "set long, body binary").join(wanted, "set", "left_semi").dropDuplicates(["set"]), "bodies")
+    bodies = stored(rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bodies, "set long, n long, sketch binary, body binary").join(wanted, "set", "left_semi").dropDuplicates(["set"]), "bodies")
     links = None
     for leader in ("min", "max", None):
         pairs = _led(groups, leader) if leader else _remaining(groups)
