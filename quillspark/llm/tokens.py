@@ -16,6 +16,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     encoded = flat.dictionary_encode()
     if isinstance(encoded, pa.ChunkedArray):
         encoded = encoded.combine_chunks()
+    del parts, flat
     ids = encoded.indices.to_numpy(zero_copy_only=False)
     empty = pc.equal(encoded.dictionary, "").to_numpy(zero_copy_only=False)
     if empty.any():  # blanks at either end leave an empty string
