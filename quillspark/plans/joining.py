@@ -1 +1,114 @@
-"""Queries."""
+"""Joins over the canonical tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.operators import joins as op
+from quillspark.plans import query
+
+_KEYS = """, main AS (SELECT paper_id, number, max(key_raw) AS raw FROM questions WHERE number <> 3 GROUP BY 1, 2), lang AS (SELECT paper_id, number, min(key_raw) AS raw FROM questions WHERE part = 'II' AND number > 4 GROUP BY 1, 2),
+key AS (SELECT coalesce(l.paper_id, m.paper_id) AS paper_id, coalesce(l.number, m.number) AS number, coalesce(l.raw, m.raw) AS raw FROM main m FULL JOIN lang l ON m.paper_id = l.paper_id AND m.number = l.number)"""
+
+
+@query(
+    "j1_join_key",
+    _KEYS
+    + """ SELECT question_id, raw, accepted AS labels, coalesce(raw = 'Z', false) AS bonus, coalesce(length(accepted) > 1, false) AS multi, CASE WHEN raw IS NULL THEN 'no key' END AS warning
+FROM questions q LEFT JOIN key k ON k.paper_id = q.paper_id AND k.number = q.number LEFT JOIN legend g ON g.key_raw = k.raw""",
+)
+def j1(t):
+    q = t.questions
+    main = q.filter("number != 3").groupBy("paper_id", "number").agg(F.max("key_raw").alias("raw"))
+    lang = q.filter("part = 'II' and number > 4").groupBy("paper_id", "number").agg(F.min("key_raw").alias("raw"))
+    return op.join_key(q, op.overlay_keys(main, lang)).select("question_id", "raw", "labels", "bonus", "multi", "warning")
+
+
+@query("j2_decode_key", "SELECT question_id, array_to_string(string_split(accepted, ''), ',') AS labels, CASE WHEN key_raw = 'Z' THEN 'bonus' ELSE 'ok' END AS status, length(accepted) > 1 AS multi_key FROM questions JOIN legend USING (key_raw)")
+def j2(t):
+    return op.decode_key(t.questions).select("question_id", "labels", "status", "multi_key")
+
+
+_BLUEPRINT = [("I", "ECONOMY", 1, 2), ("I", "PROMO", 3, 5), ("II", "ECONOMY", 1, 3), ("II", "STANDARD", 4, 6)]
+_BLUE_SQL = ", blueprint(part, placed, first, last) AS (VALUES ('I','ECONOMY',1,2),('I','PROMO',3,5),('II','ECONOMY',1,3),('II','STANDARD',4,6)), placed AS (SELECT q.*, b.placed FROM questions q LEFT JOIN blueprint b ON q.part = b.part AND q.number BETWEEN b.first AND b.last)"
+
+
+def _blueprint(t):
+    return t.spark.createDataFrame(_BLUEPRINT, "part string, subject string, first long, last long")
+
+
+@query("j3_place", _BLUE_SQL + " SELECT question_id, part, number, placed FROM placed")
+def j3(t):
+    return op.place(t.questions, _blueprint(t)).select("question_id", "part", "number", "placed")
+
+
+@query("j4_placement_conflicts", _BLUE_SQL + ", b AS (SELECT *, CASE subject WHEN 'SMALL' THEN 'STANDARD' WHEN 'MEDIUM' THEN 'ECONOMY' ELSE subject END AS banner FROM placed) SELECT question_id, banner, placed, CASE WHEN placed IS NULL THEN 'unplaced' ELSE 'conflict' END AS problem FROM b WHERE placed IS NULL OR banner <> placed")
+def j4(t):
+    return op.placement_conflicts(t.questions, _blueprint(t), {"SMALL": "STANDARD", "MEDIUM": "ECONOMY"}).select("question_id", "banner", "placed", "problem")
+
+
+@query(
+    "j5_attach_passages",
+    ", ranges AS (SELECT paper_id, paper_id % 3 + 1 AS low, paper_id % 3 + 3 AS high, CASE WHEN paper_id % 5 <> 0 THEN 'passage ' || CAST(paper_id AS VARCHAR) END AS passage FROM papers WHERE paper_id % 2 = 0) SELECT question_id, passage, CASE WHEN r.paper_id IS NOT NULL AND passage IS NULL THEN 'passage missing' END AS warning FROM questions q LEFT JOIN ranges r ON r.paper_id = q.paper_id AND q.number BETWEEN low AND high",
+)
+def j5(t):
+    p = F.col("paper_id")
+    ranges = t.papers.filter(p % 2 == 0).select("paper_id", (p % 3 + 1).alias("low"), (p % 3 + 3).alias("high"), F.when(p % 5 != 0, F.concat(F.lit("passage "), p.cast("string"))).alias("passage"))
+    return op.attach_passages(t.questions, ranges).select("question_id", "passage", "warning")
+
+
+@query(
+    "j6_assemble",
+    """, o AS (SELECT question_id, string_agg(label || '=' || text, '|' ORDER BY label) AS opts FROM options GROUP BY 1), q AS (SELECT paper_id, count(*) AS n, string_agg(question_id || ':' || coalesce(opts, ''), ';' ORDER BY pos) AS body FROM questions LEFT JOIN o USING (question_id) GROUP BY 1)
+SELECT paper_id, exam_code, n, body FROM papers LEFT JOIN q USING (paper_id)""",
+)
+def j6(t):
+    nested = op.assemble(t.papers, t.questions, t.options)
+    opts = lambda q: F.array_join(F.transform(q["options"], lambda o: F.concat(o["label"], F.lit("="), o["text"])), "|")
+    body = F.array_join(F.transform("questions", lambda q: F.concat(q["question_id"], F.lit(":"), F.coalesce(opts(q), F.lit("")))), ";")
+    return nested.select("paper_id", "exam_code", F.when(F.col("questions").isNotNull(), F.size("questions")).cast("long").alias("n"), body.alias("body"))
+
+
+@query("j7_mistake_detail", "SELECT mistake_id, m.user_id, question_no, p_type AS subject, p_brand AS topic_id FROM mistakes m JOIN part ON p_partkey = question_no WHERE p_size > 10")
+def j7(t):
+    questions = t.raw("part").filter("p_size > 10").select(F.col("p_partkey").alias("question_no"), F.col("p_type").alias("subject"), F.col("p_brand").alias("topic_id"))
+    return op.mistake_detail(t.mistakes, questions).select("mistake_id", "user_id", "question_no", "subject", "topic_id")
+
+
+@query("j8_open_failures", "SELECT event_id, user_id, question_no FROM commands c WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM commands d WHERE d.event_type = 'purchase' AND d.user_id = c.user_id AND d.question_no = c.question_no)")
+def j8(t):
+    runs = t.commands.filter(F.col("event_type").isin("error", "purchase")).withColumn("passed", F.col("event_type") == "purchase")
+    return op.open_failures(runs, ["user_id", "question_no"]).select("event_id", "user_id", "question_no")
+
+
+@query(
+    "j9_coverage",
+    """, names AS (SELECT DISTINCT p_type AS name FROM part), aliases AS (SELECT DISTINCT p_type AS name, CASE WHEN p_type = 'PROMO' THEN 'Brand#99' ELSE p_brand END AS target FROM part WHERE p_partkey % 40 = 0 AND p_type <> 'SMALL'), targets AS (SELECT DISTINCT p_brand AS target FROM part),
+mapped AS (SELECT name, target FROM names JOIN aliases USING (name))
+SELECT DISTINCT 'covered' AS state, target AS item FROM mapped WHERE target IN (SELECT target FROM targets) UNION ALL SELECT 'missing', target FROM targets WHERE target NOT IN (SELECT target FROM mapped)
+UNION ALL SELECT DISTINCT 'dead', name FROM aliases WHERE target NOT IN (SELECT target FROM targets) UNION ALL SELECT 'unmapped', name FROM names WHERE name NOT IN (SELECT name FROM aliases)""",
+)
+def j9(t):
+    part = t.raw("part")
+    names = part.select(F.col("p_type").alias("name")).distinct()
+    aliases = part.filter("p_partkey % 40 = 0 and p_type != 'SMALL'").select(F.col("p_type").alias("name"), F.when(F.col("p_type") == "PROMO", "Brand#99").otherwise(F.col("p_brand")).alias("target")).distinct()
+    return op.coverage(names, aliases, part.select(F.col("p_brand").alias("target")).distinct())
+
+
+@query(
+    "j10_fill_gaps",
+    """, base AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer), ext AS (SELECT s_suppkey * 3 AS id, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_nationkey AS VARCHAR) ELSE 'x' || CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier),
+good AS (SELECT * FROM ext WHERE nation IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation))
+SELECT b.id, coalesce(b.nation, g.nation) AS nation, CASE WHEN b.nation IS NOT NULL THEN 'own' WHEN g.nation IS NOT NULL THEN 'filled' ELSE 'empty' END AS origin FROM base b LEFT JOIN good g USING (id)""",
+)
+def j10(t):
+    base = t.raw("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey").cast("string")).alias("nation"))
+    n = F.col("s_nationkey").cast("string")
+    ext = t.raw("supplier").select((F.col("s_suppkey") * 3).alias("id"), F.when(F.col("s_suppkey") % 2 == 0, n).otherwise(F.concat(F.lit("x"), n)).alias("nation"))
+    return op.fill_gaps(base, ext, "id", "nation", t.raw("nation").select(F.col("n_nationkey").cast("string").alias("nation")), 5)
+
+
+@query("j11_glossary", "SELECT p_name || ' ' || CAST(p_partkey AS VARCHAR) AS term_en, p_brand AS term_hi FROM part WHERE p_partkey % 4 <> 0 AND (p_type = 'PROMO' OR p_size % 7 = 0) ORDER BY term_en LIMIT 60", prelude=False)
+def j11(t):
+    terms = t.raw("part").select(F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("term_en"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand")).alias("term_hi"), F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("subject"))
+    return op.glossary(terms, "hi", "PROMO").select("term_en", "term_hi")

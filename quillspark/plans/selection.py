@@ -87,7 +87,7 @@ def f9(t):
     return op.available_langs(_by_source(t), options, ["en", "fr"])
 
 
-@query("k1_review_queue", ", c AS (SELECT *, round(1.0 - 0.25 * n_warnings - part_key % 4 * 0.1, 3) AS confidence FROM questions) SELECT question_id, confidence FROM c ORDER BY confidence, paper_id, number, question_id LIMIT 500")
+@query("k1_review_queue", ", c AS (SELECT *, round(1e0 - 0.25e0 * n_warnings - part_key % 4 * 0.1e0, 3) AS confidence FROM questions) SELECT question_id, confidence FROM c ORDER BY confidence, paper_id, number, question_id LIMIT 500")
 def k1(t):
     rows = t.questions.withColumn("confidence", F.round(F.lit(1.0) - F.col("n_warnings") * 0.25 - F.col("part_key") % 4 * 0.1, 3))
     return op.review_queue(rows, 500).select("question_id", "confidence")

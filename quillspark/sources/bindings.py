@@ -28,14 +28,14 @@ questions AS (
     CAST(l_quantity AS BIGINT) % 3 AS n_warnings, l_partkey AS part_key, p_name AS name
   FROM lines JOIN part ON l_partkey = p_partkey),
 legend(key_raw, accepted) AS (VALUES ('1','A'),('2','B'),('3','C'),('4','D'),('A','AB'),('B','AC'),('C','AD'),('D','BC'),('E','BD'),('F','CD'),('Z','ABCD')),
-labels(label) AS (VALUES ('A'),('B'),('C'),('D')),
+letters(label) AS (VALUES ('A'),('B'),('C'),('D')),
 options AS (
   SELECT question_id, paper_id, label,
     CASE WHEN part_key % 19 = 0 AND label = 'B' THEN '' WHEN part_key % 23 = 0 AND label = 'C' THEN '(3)' WHEN part_key % 7 = 0 AND label = 'D' THEN name || ' A' ELSE name || ' ' || label END AS text,
     contains(accepted, label) AND part_key % 31 <> 0 AS is_correct
-  FROM questions JOIN legend USING (key_raw) CROSS JOIN labels WHERE NOT (part_key % 29 = 0 AND label = 'D')),
+  FROM questions JOIN legend USING (key_raw) CROSS JOIN letters WHERE NOT (part_key % 29 = 0 AND label = 'D')),
 commands AS (
-  SELECT event_id, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 3 AS VARCHAR) AS attempt_id, user_id, epoch_ms(ts) AS ms,
+  SELECT event_id, CAST(user_id AS VARCHAR) || '-' || CAST(event_id % 3 AS VARCHAR) AS attempt_id, user_id, epoch_us(ts) // 1000 AS ms,
     CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS question_no, event_type,
     CASE WHEN event_type = 'click' THEN substr('ABCD', CAST(floor(value) AS BIGINT) % 4 + 1, 1) END AS chosen, CAST(floor(value * 100) AS BIGINT) AS time_ms
   FROM events),
