@@ -193,13 +193,13 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def repeat_candidates(rows: DataFrame, size: int = 5, share: float = 0.6) -> DataFrame:
-    """Pairs of distinct stems that share the start of their sorted shingles and enough shingles in all: (a, b, shared, union).
+def repeat_candidates(rows: DataFrame, size: int = 3, share: float = 0.4) -> DataFrame:
+    """Pairs of distinct stems that share the start of their sorted word shingles and enough shingles in all: (a, b, shared, union).
 
     Equal stems were collapsed before. The prefix of rarest shingles that any pair of the given Jaccard share must meet in
     is what is joined, so frequent shingles never are."""
-    n = F.char_length("norm")
-    sh = rows.select("norm", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substr(F.col("norm"), i, F.lit(size)))).alias("sh"))
+    ws = F.split("norm", " +")
+    sh = rows.select("norm", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - size + 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(size)), " "))).alias("sh"))
     each = sh.select("norm", F.size("sh").alias("m"), F.explode("sh").alias("s"))
     freq = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
     w = Window.partitionBy("norm").orderBy("f", "s")

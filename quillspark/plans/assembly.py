@@ -1 +1,89 @@
-"""Queries."""
+"""Practice sets and plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.operators import assembly as op
+from quillspark.plans import query
+
+_BLUE = ", blueprint(section, subject, wanted) AS (VALUES (1, 'ECONOMY', 30), (2, 'PROMO', 20), (3, 'SMALL', 25), (4, 'ABSENT', 5)), seeds(seed) AS (VALUES ('1'), ('2'), ('3'))"
+_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(stem), '[ \\t\\n\\r\\f]+', ' ', 'g'), '^(which (one )?of the following|read the following|consider the following)', ''), '[^a-z0-9 ]', '', 'g'))"
+_SETS = (
+    _BLUE
+    + f""", need AS (SELECT question_id, section, wanted, {_NORM} AS fp FROM pool JOIN blueprint USING (subject)), once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY section, question_id) AS rn FROM need) WHERE rn = 1 OR fp = ''),
+drawn AS (SELECT * FROM (SELECT seed, section, wanted, question_id, row_number() OVER (PARTITION BY seed, section ORDER BY md5(seed || ':' || question_id), question_id) AS rn FROM once CROSS JOIN seeds) WHERE rn <= wanted),
+sets AS (SELECT seed, section, question_id, row_number() OVER (PARTITION BY seed ORDER BY section, rn) AS number FROM drawn)"""
+)
+
+
+def _blueprint(t):
+    return t.spark.createDataFrame([(1, "ECONOMY", 30), (2, "PROMO", 20), (3, "SMALL", 25), (4, "ABSENT", 5)], "section int, subject string, wanted int")
+
+
+def _seeds(t):
+    return t.spark.createDataFrame([("1",), ("2",), ("3",)], "seed string")
+
+
+@query("i1_build_sets", _SETS + " SELECT seed, section, question_id, number FROM sets")
+def i1(t):
+    return op.build_sets(t.pool, _blueprint(t), _seeds(t))
+
+
+@query("i1_set_ids", _SETS + " SELECT seed, sha1('full|' || seed || '|' || string_agg(question_id, ',' ORDER BY number)) AS set_id, count(*) AS questions FROM sets GROUP BY seed")
+def i1_ids(t):
+    return op.set_ids(op.build_sets(t.pool, _blueprint(t), _seeds(t)), "full")
+
+
+@query("i2_set_report", _SETS + ", g AS (SELECT seed, section, count(*) AS got FROM sets GROUP BY 1, 2) SELECT s.seed, b.section, CAST(wanted AS BIGINT) AS wanted, coalesce(got, 0) AS got, greatest(CAST(0 AS BIGINT), wanted - coalesce(got, 0)) AS short_by FROM seeds s CROSS JOIN blueprint b LEFT JOIN g ON g.seed = s.seed AND g.section = b.section")
+def i2(t):
+    return op.set_report(op.build_sets(t.pool, _blueprint(t), _seeds(t)), _blueprint(t), _seeds(t))
+
+
+@query("i3_drill_topic", f", o AS (SELECT question_id, row_number() OVER (PARTITION BY {_NORM} ORDER BY question_id) AS rn FROM pool WHERE topic_id = 'Brand#7'), d AS (SELECT question_id, row_number() OVER (ORDER BY md5('topic:Brand#7:5:' || question_id), question_id) AS number FROM o WHERE rn = 1) SELECT question_id, number FROM d WHERE number <= 20")
+def i3(t):
+    return op.build_drill(t.pool, "topic", "Brand#7", "5")
+
+
+@query("i3_drill_weak", f", o AS (SELECT question_id, row_number() OVER (PARTITION BY {_NORM} ORDER BY question_id) AS rn FROM pool WHERE topic_id IN (SELECT p_brand FROM mistakes JOIN part ON p_partkey = question_no WHERE user_id = 3)), d AS (SELECT question_id, row_number() OVER (ORDER BY md5('weak::5:' || question_id), question_id) AS number FROM o WHERE rn = 1) SELECT question_id, number FROM d WHERE number <= 20")
+def i3_weak(t):
+    weak = t.mistakes.filter("user_id = 3").join(t.raw("part").select(F.col("p_partkey").alias("question_no"), F.col("p_brand").alias("topic_id")), "question_no")
+    return op.build_drill(t.pool, "weak", "", "5", weak=weak)
+
+
+@query(
+    "i5_describe_set",
+    """, s AS (SELECT CASE CAST(question_id AS BIGINT) % 5 WHEN 0 THEN question_id WHEN 1 THEN 'mock:section:' || subject || ':' || question_id WHEN 2 THEN 'mock:topic:' || topic_id || ':' || question_id WHEN 3 THEN 'mock:weak::' || question_id ELSE 'mock:other:x:' || question_id END AS set_id, size AS questions, CASE WHEN size % 2 = 0 THEN 30 END AS section_minutes FROM pool),
+m AS (SELECT *, CASE WHEN starts_with(set_id, 'mock:') AND split_part(set_id, ':', 2) IN ('section', 'topic', 'priority', 'weak') THEN split_part(set_id, ':', 2) ELSE 'full' END AS mode, split_part(set_id, ':', 3) AS param FROM s)
+SELECT set_id, mode, CASE WHEN mode = 'full' THEN 'Full mock' ELSE upper(substr(mode, 1, 1)) || substr(mode, 2) || CASE WHEN param = '' THEN '' ELSE ': ' || param END END AS label, CAST(CASE mode WHEN 'full' THEN 150 WHEN 'section' THEN coalesce(section_minutes, questions) ELSE questions END AS BIGINT) AS minutes FROM m""",
+)
+def i5(t):
+    q, k = F.col("question_id"), F.col("question_id").cast("long") % 5
+    ids = F.when(k == 0, q).when(k == 1, F.concat(F.lit("mock:section:"), "subject", F.lit(":"), q)).when(k == 2, F.concat(F.lit("mock:topic:"), "topic_id", F.lit(":"), q)).when(k == 3, F.concat(F.lit("mock:weak::"), q)).otherwise(F.concat(F.lit("mock:other:x:"), q))
+    return op.describe_set(t.pool.select(ids.alias("set_id"), F.col("size").alias("questions"), F.when(F.col("size") % 2 == 0, 30).alias("section_minutes")))
+
+
+def _plan(t):
+    users = t.raw("events").select("user_id").distinct().withColumn("budget", (F.lit(15) + F.col("user_id") % 4 * 15).cast("double"))
+    papers = t.attempts.select("paper_no").distinct().withColumn("duration", (F.col("paper_no") % 3 + 1) * 10)
+    detail = t.mistakes.filter("user_id % 3 != 0").join(t.raw("part").select(F.col("p_partkey").alias("question_no"), F.col("p_type").alias("subject"), F.col("p_brand").alias("topic_id")), "question_no")
+    return users, papers, t.attempts, detail
+
+
+@query(
+    "p1_plan_items",
+    """, users AS (SELECT DISTINCT user_id FROM events), bank AS (SELECT DISTINCT paper_no, (paper_no % 3 + 1) * 10 AS duration FROM attempts), d AS (SELECT m.user_id, p_type AS subject, p_brand AS topic_id FROM mistakes m JOIN part ON p_partkey = question_no WHERE m.user_id % 3 <> 0),
+g AS (SELECT user_id, subject, topic_id, count(*) AS n FROM d GROUP BY 1, 2, 3), tt AS (SELECT user_id, sum(n) AS every_n, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS again FROM g GROUP BY 1),
+s AS (SELECT user_id, subject, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, subject) AS rn FROM d GROUP BY 1, 2),
+f AS (SELECT user_id, min(paper_no) AS paper_no FROM users CROSS JOIN bank b WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.user_id = users.user_id AND a.paper_no = b.paper_no) GROUP BY 1)
+SELECT user_id, 1 AS place, CASE WHEN again > 0 THEN 'fix-repeated' ELSE 'fix-recent' END AS id, 'fix' AS kind, CAST(CASE WHEN again > 0 THEN least(15, greatest(5, floor(CAST(again * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) ELSE least(10, greatest(5, floor(CAST(every_n * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) END AS DOUBLE) AS cost, CASE WHEN again > 0 THEN 'MISSED_TWICE' ELSE 'RECENT_MISTAKE' END AS code FROM tt
+UNION ALL SELECT user_id, CAST(rn + 1 AS INTEGER), 'practice-' || subject, 'practice', 15e0, 'HIGH_WEIGHTAGE' FROM s WHERE rn <= 2
+UNION ALL SELECT user_id, 4, 'paper-' || CAST(paper_no AS VARCHAR), 'practice', CAST(duration AS DOUBLE), 'NEVER_SEEN' FROM f JOIN bank USING (paper_no)""",
+)
+def p1(t):
+    return op.plan_items(*_plan(t))
+
+
+@query("p1_daily_plan")
+def p1_plan(t):
+    return op.daily_plan(*_plan(t))

@@ -1 +1,128 @@
-"""Queries."""
+"""Sources and sinks over the given tables; what is written goes to the shared folder and is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.plans import query
+from quillspark.sources import readers, sinks
+from quillspark.sources.folders import scratch
+
+
+def _parsed(t):
+    """Questions and options as parsed-paper documents, one a line, with some that are not JSON; then loaded."""
+    options = t.options.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("label", F.create_map(F.lit("en"), F.col("text")).cast("string").alias("_"), "text", "is_correct"))).alias("o"))
+    each = F.transform("o", lambda x: F.struct(x["label"].alias("label"), F.create_map(F.lit("en"), x["text"]).alias("text"), x["is_correct"].alias("isCorrect")))
+    q = t.questions.join(options, "question_id", "left").select("paper_id", F.struct(F.col("pos"), F.col("question_id").alias("id"), F.col("number").cast("int").alias("number"), "part", "subject", F.array(F.struct(F.lit("en").alias("k"), F.col("stem").alias("v"))).alias("s"), F.col("key_raw").alias("keyRaw"), F.array_repeat(F.lit("w"), F.col("n_warnings").cast("int")).alias("warnings"), each.alias("options")).alias("q"))
+    # Maps cannot be sorted: the order is the position alone.
+    by = q.withColumn("k", F.col("q.pos")).groupBy("paper_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
+    ordered = F.transform(F.array_sort(F.map_keys("m")), lambda k: F.try_element_at(F.col("m"), k))
+    made = F.transform(ordered, lambda x: F.struct(x["id"].alias("id"), x["number"].alias("number"), x["part"].alias("part"), x["subject"].alias("subject"), F.map_from_entries(x["s"]).alias("stem"), x["keyRaw"].alias("keyRaw"), x["warnings"].alias("warnings"), x["options"].alias("options")))
+    docs = t.papers.join(by, "paper_id").select("paper_id", F.to_json(F.struct(F.struct(F.col("paper_id").cast("string").alias("id"), F.col("exam_code").alias("examCode"), F.col("paper_type").alias("paperType"), F.col("held_on").cast("string").alias("heldOn"), F.size("m").alias("totalQuestions")).alias("paper"), made.alias("questions"))).alias("value"))
+    path = scratch(t.spark, "parsed")
+    docs.select(F.when(F.col("paper_id") % 25 == 0, F.concat(F.lit("{broken "), "value")).otherwise(F.col("value")).alias("value")).write.text(path)
+    return readers.load_parsed(t.spark, path)
+
+
+@query("s1_parsed_papers", ", n AS (SELECT paper_id, count(*) AS n FROM questions GROUP BY 1) SELECT CAST(paper_id AS VARCHAR) AS paper_id, exam_code, paper_type, CAST(held_on AS VARCHAR) AS held_on, CAST(n AS INTEGER) AS total_questions, 'pending' AS review_status FROM papers JOIN n USING (paper_id) WHERE paper_id % 25 <> 0")
+def s1(t):
+    return _parsed(t)[0]
+
+
+@query("s1_parsed_questions", "SELECT CAST(paper_id AS VARCHAR) AS paper_id, question_id, CAST(number AS INTEGER) AS number, part, subject, stem AS stem_en, CAST(NULL AS VARCHAR) AS stem_hi, key_raw, n_warnings, 'pending' AS review_status FROM questions WHERE paper_id % 25 <> 0")
+def s1_questions(t):
+    return _parsed(t)[1]
+
+
+@query("s1_parsed_options", "SELECT question_id, label, text AS text_en, is_correct FROM options WHERE paper_id % 25 <> 0")
+def s1_options(t):
+    return _parsed(t)[2]
+
+
+_MANIFEST = "SELECT 'c' || CAST(p_partkey AS VARCHAR) AS code, p_size AS klass, p_type AS subject, CASE WHEN p_partkey % 3 <> 0 THEN p_name END AS note, 'u/' || CAST(p_partkey AS VARCHAR) AS url, p_partkey % 2 = 0 AS ok, coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_name END, p_type) AS title FROM part"
+
+
+def _manifest(t, kind):
+    k = F.col("p_partkey")
+    rows = t.raw("part").select(F.concat(F.lit("c"), k.cast("string")).alias("code"), F.col("p_size").alias("klass"), F.col("p_type").alias("subject"), F.when(k % 3 != 0, F.col("p_name")).alias("note"), F.concat(F.lit("u/"), k.cast("string")).alias("url"), (k % 2 == 0).alias("ok"))
+    path = scratch(t.spark, "manifest")
+    rows.write.option("header", True).csv(path) if kind == "csv" else rows.write.json(path)
+    return readers.load_manifest(t.spark, path, kind)
+
+
+@query("s2_manifest_csv", _MANIFEST, prelude=False)
+def s2(t):
+    return _manifest(t, "csv")
+
+
+@query("s2_manifest_json", _MANIFEST, prelude=False)
+def s2_json(t):
+    return _manifest(t, "json")
+
+
+_SHAPE = "^[a-z]+://([^/]+)/([a-z]+)/([A-Za-z]*)([0-9]+)"
+
+
+@query("s3_scan_paths", f"SELECT page_id, regexp_extract(url, '{_SHAPE}', 1) AS host, regexp_extract(url, '{_SHAPE}', 2) AS folder, regexp_extract(url, '{_SHAPE}', 3) AS stem, CAST(regexp_extract(url, '{_SHAPE}', 4) AS BIGINT) AS number, CASE substr(regexp_extract(url, '{_SHAPE}', 2), 2, 1) WHEN 'n' THEN 'english' WHEN 'e' THEN 'german' ELSE 'other' END AS medium FROM pages WHERE regexp_matches(url, '{_SHAPE}')", prelude=False)
+def s3(t):
+    return readers.scan_paths(t.raw("pages"), "url").select("page_id", "host", "folder", "stem", "number", "medium")
+
+
+@query(
+    "s4_choose_main",
+    """WITH f AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS folder, url, regexp_matches(url, '(?i)main|index|top') AS wanted, regexp_matches(url, '(?i)lang|page=') AS sup FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY CASE WHEN wanted THEN 0 ELSE 1 END, url) AS rn FROM f WHERE wanted OR NOT sup)
+SELECT folder, url AS main, wanted AS named FROM r WHERE rn = 1""",
+    prelude=False,
+)
+def s4(t):
+    files = t.raw("pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("folder"), "url")
+    return readers.choose_main(files, "folder", "url")
+
+
+@query(
+    "s5_bundle_papers",
+    ", c AS (SELECT paper_id, count(*) AS total, count(*) FILTER (WHERE review_status = 'approved') AS approved FROM questions GROUP BY 1) SELECT paper_id, coalesce(total, 0) AS total, coalesce(approved, 0) AS approved, CASE WHEN coalesce(approved, 0) = 0 THEN 'nothing approved' WHEN approved < total THEN CAST(approved AS VARCHAR) || ' of ' || CAST(total AS VARCHAR) || ' approved' END AS reason FROM papers LEFT JOIN c USING (paper_id)",
+)
+def s5(t):
+    return sinks.bundle_papers(t.papers, t.questions).select("paper_id", "total", "approved", "reason")
+
+
+@query(
+    "s5_export_bundle",
+    ", c AS (SELECT paper_id FROM questions GROUP BY 1 HAVING count(*) = count(*) FILTER (WHERE review_status = 'approved')) SELECT exam_code, count(*) AS questions FROM questions JOIN c USING (paper_id) JOIN papers USING (paper_id) GROUP BY 1",
+)
+def s5_export(t):
+    path = scratch(t.spark, "bundle")
+    sinks.export_bundle(t.papers, t.questions, t.options, path)
+    return t.spark.read.parquet(f"{path}/questions").groupBy("exam_code").agg(F.count(F.lit(1)).alias("questions"))
+
+
+def _snapshots(t):
+    c = t.commands.withColumnRenamed("user_id", "account")
+    rows = lambda kinds: c.filter(F.col("event_type").isin(kinds)).select("account", "event_id", "question_no", "chosen")
+    return readers.pack_snapshot(rows(["view"]), rows(["click"]), rows(["error", "purchase"]))
+
+
+@query("s6_pack_snapshot", "SELECT user_id AS account, count(*) FILTER (WHERE event_type = 'view') AS n_attempts, count(*) FILTER (WHERE event_type = 'click') AS n_responses, count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS n_mistakes FROM commands WHERE event_type IN ('view', 'click', 'error', 'purchase') GROUP BY 1")
+def s6(t):
+    return _snapshots(t).drop("payload")
+
+
+@query("s6_unpack_snapshot", "SELECT user_id AS account, event_id, chosen FROM commands WHERE event_type = 'click'")
+def s6_unpack(t):
+    return readers.unpack_snapshot(_snapshots(t), "responses", "event_id:bigint,chosen:string")
+
+
+@query("s7_align_schema", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS c_note FROM customer", prelude=False)
+def s7(t):
+    from pyspark.sql import types as T
+
+    target = T.StructType([T.StructField("c_custkey", T.IntegerType()), T.StructField("c_nationkey", T.LongType()), T.StructField("c_acctbal", T.DoubleType()), T.StructField("c_note", T.StringType())])
+    return readers.align_schema(t.raw("customer"), target)
+
+
+@query("s8_report", "SELECT doc_id, substr(text, 1, 200) AS text FROM documents WHERE lang = 'fr'", prelude=False)
+def s8(t):
+    path = scratch(t.spark, "report")
+    sinks.write_report(t.docs.filter("lang = 'fr'").select("doc_id", "text"), path, ["text"], 200)
+    return t.spark.read.schema("doc_id long, text string").json(path)

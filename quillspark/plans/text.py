@@ -80,8 +80,8 @@ def t6(t):
     return op.fts_all(_web(t), _chunks(t))
 
 
-_ANY = f""", at AS (SELECT query_id, list_slice(list_ordered, 1, 8) AS terms FROM (SELECT query_id, list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) AS list_ordered FROM (SELECT query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS ws FROM {{0}}))),
-ah AS (SELECT query_id, chunk_id, sum({_HARM}) / len(terms) AS score FROM (SELECT query_id, terms, unnest(terms) AS term FROM at) JOIN ptf USING (term) GROUP BY query_id, chunk_id, terms),
+_ANY = f""", ask AS (SELECT query_id, list_slice(list_ordered, 1, 8) AS terms FROM (SELECT query_id, list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) AS list_ordered FROM (SELECT query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS ws FROM {{0}}))),
+ah AS (SELECT query_id, chunk_id, sum({_HARM}) / len(terms) AS score FROM (SELECT query_id, terms, unnest(terms) AS term FROM ask) JOIN ptf USING (term) GROUP BY query_id, chunk_id, terms),
 loose AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ah)"""
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def fold_responses(commands: DataFrame) -> DataFrame:
@@ -21,3 +22,80 @@ def fold_responses(commands: DataFrame) -> DataFrame:
         F.sum("time_ms").alias("time_ms"),
         F.max("ms").alias("last_ms"),
     )
+
+
+def open_stream(spark, path: str, schema) -> DataFrame:
+    """Rows of a Parquet table, a file or a folder given by a pattern, as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def settle(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there and return the last row of each key.
+
+    Each batch is a table of its own under its number, so a batch that runs again replaces itself."""
+    from quillspark.sources.folders import scratch
+
+    spark = stream.sparkSession
+    path = scratch(spark, tag)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, f"{tag}-log")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")) if rest else rows.select(*keys).distinct()
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+OPENS, CLOSES = ("view", "signup"), ("error",)
+
+
+def fold_time(commands: DataFrame) -> DataFrame:
+    """Active time of each attempt, at rest: the time between commands while it is open. View and signup open it, error pauses it."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("attempt_id").orderBy("ms", "event_id")
+    sign = F.when(F.col("event_type").isin(*OPENS), 1).when(F.col("event_type").isin(*CLOSES), 0)
+    state = F.last(sign, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.when(state == 1, F.col("ms") - F.lag("ms").over(w)).otherwise(0)
+    return commands.select("attempt_id", step.alias("step"), "ms").groupBy("attempt_id").agg(F.sum("step").alias("active_ms"), F.max("ms").alias("last_ms"))
+
+
+def stream_time(commands: DataFrame) -> DataFrame:
+    """The same for a stream: time, last command and whether it is open are the state of each attempt."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class TimeFold(StatefulProcessor):
+        def init(self, handle):
+            self.state = handle.getValueState("time", "active_ms long, last_ms long, is_open boolean")
+
+        def handleInputRows(self, key, rows, timer):
+            spent, last, is_open = self.state.get() if self.state.exists() else (0, None, False)
+            for r in pd.concat(list(rows)).sort_values(["ms", "event_id"]).itertuples():
+                if is_open and last is not None:
+                    spent += int(r.ms) - last
+                last = int(r.ms)
+                is_open = True if r.event_type in OPENS else False if r.event_type in CLOSES else is_open
+            self.state.update((spent, last, is_open))
+            yield pd.DataFrame({"attempt_id": [key[0]], "active_ms": [spent], "last_ms": [last]})
+
+        def close(self):
+            pass
+
+    return commands.groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=TimeFold(), outputStructType="attempt_id string, active_ms long, last_ms long", outputMode="Update", timeMode="None")
+
+
+def mistake_sink(commands: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Mistakes with deterministic ids, each once however often the stream is replayed within the delay."""
+    made = commands.filter(F.col("event_type").isin("error", "purchase")).withColumn("mistake_id", F.substring(F.sha1(F.concat_ws("|", "attempt_id", F.col("question_no").cast("string"), F.col("ms").cast("string"))), 1, 12))
+    at = made.withColumn("at", F.timestamp_millis("ms"))
+    return (at.withWatermark("at", delay).dropDuplicatesWithinWatermark(["mistake_id"]) if commands.isStreaming else at.dropDuplicates(["mistake_id"])).select("mistake_id", "attempt_id", "user_id", "question_no", "ms")
+
+
+def weakness_counts(mistakes: DataFrame, delay: str = "30 days") -> DataFrame:
+    """Running count of mistakes of each user by subject and day, the day bounded by the watermark."""
+    at = mistakes.withColumn("at", F.timestamp_millis("ms"))
+    at = at.withWatermark("at", delay) if mistakes.isStreaming else at
+    return at.groupBy("user_id", "subject", F.window("at", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", "subject", F.unix_millis("w.start").alias("day_ms"), "n")
