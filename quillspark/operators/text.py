@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import clean_page, norm_stem, words
+from quillspark.sources.folders import scratch
 
 #: Words too common to tell chunks apart, in three registers.
 STOP = (
@@ -122,7 +123,10 @@ def retrieve(queries: DataFrame, corpus: DataFrame, notes: DataFrame, k: int = 4
     """Citations: strict hits, relaxed ones only for queries without any; corpus first, then notes (half of k, one at least); none: a refusal row."""
 
     def search(chunks: DataFrame, n: int, source: str) -> DataFrame:
-        strict = fts_all(queries, chunks, n).withColumn("method", F.lit("all"))
+        # Strict hits are read three times from here on; a table spares searching again.
+        path = scratch(queries.sparkSession, "strict")
+        fts_all(queries, chunks, n).withColumn("method", F.lit("all")).write.parquet(path)
+        strict = queries.sparkSession.read.parquet(path)
         missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
         return strict.union(fts_any(missed, chunks, n).withColumn("method", F.lit("any"))).withColumn("source", F.lit(source))
 

@@ -167,8 +167,8 @@ def t13(t):
 @query(
     "w10_followup_terms",
     f"""WITH u AS (SELECT conv_id, turn, {_TERMS.replace("text", "txt")} AS own FROM (SELECT conv_id, turn, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS txt FROM conversations WHERE role = 'user')), l AS (SELECT *, lag(own) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM u),
-m AS (SELECT conv_id, turn, CASE WHEN len(own) BETWEEN 1 AND 4 AND len(before) > 0 THEN list_concat(own, before) ELSE own END AS ws, len(own) BETWEEN 1 AND 4 AND len(before) > 0 AS both FROM l)
-SELECT conv_id, turn, array_to_string(CASE WHEN both THEN list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) ELSE ws END, ' ') AS terms FROM m""",
+m AS (SELECT conv_id, turn, CASE WHEN len(own) BETWEEN 1 AND 4 AND len(before) > 0 THEN list_concat(own, before) ELSE own END AS ws, len(own) BETWEEN 1 AND 4 AND len(before) > 0 AS merged FROM l)
+SELECT conv_id, turn, array_to_string(CASE WHEN merged THEN list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) ELSE ws END, ' ') AS terms FROM m""",
     prelude=False,
 )
 def w10(t):
