@@ -14,8 +14,8 @@ Candidates, by pigeonhole over the hashed universe:
   the list has at most HOT_ENTRIES entries, whatever the input.
 * Sets of 3 to 7 shingles may differ in one: the whole set is one segment, indexed with its one-deletion neighbourhood.
 
-Each content that several sets index is a group. Groups are never expanded into pairs: every set is first compared
-with one leader (twice, with different leaders), first by a small sketch that rules out most and never a link, then
+Each content that several sets index is a group. Groups are never expanded into pairs: in turns, every set is compared
+with a few others drawn from its groups, first by a small sketch that rules out most and never a link, then
 exactly on the whole sets, and linked components are contracted; only pairs of different components that a group still holds are compared one by one.
 
 Null and empty texts have no shingles and link with nothing. Repeated rows and copies share a class; ties are settled by
@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import stored
@@ -38,6 +38,12 @@ PERCENT = 75
 #: Texts of a piece are worked on together; it bounds a task's memory.
 PIECE_BYTES = 8_000_000
 HOT_ENTRIES = 500_000
+#: Sets compared with a set in a turn, and turns, before the pairs that are left are compared one by one.
+LEADERS = 8
+MOST_TURNS = 8
+#: Groups up to this size are joined with themselves in the end; larger ones meet in blocks of BLOCK.
+SMALL = 32
+BLOCK = 256
 TINY = 7
 FIRST = 6
 WIDTH = 8
@@ -76,8 +82,8 @@ def _sets(piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, starts, ids
 
 
-def signatures(data: np.ndarray, starts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(contents, owners): what each set indexes. hot: frequent contents, sorted."""
+def signatures(data: np.ndarray, starts: np.ndarray, hot: np.ndarray, every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(contents, owners): what each set indexes, or with ``every`` all that it could. hot: frequent contents, sorted."""
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     spread = mixed(data)
@@ -113,7 +119,7 @@ def signatures(data: np.ndarray, starts: np.ndarray, hot: np.ndarray) -> tuple[n
         n_early = (before[ends] - before[begin])[own]
         late_rank = n_early + (np.arange(len(own)) - begin[own]) - early_rank
         rank = np.where(late, late_rank, early_rank)
-        keep = rank <= most_different(sizes, high)[own]
+        keep = rank <= (sizes if every else most_different(sizes, high))[own]
         out_s.append(content[keep])
         out_o.append(own[keep])
     if not out_s:
@@ -131,7 +137,7 @@ def _distinct(data, starts, ids):
 
 
 def _survey(batches):
-    """A row for each document, and one for each content that several sets of a piece index."""
+    """A row for each document, and one for each content that several sets of a piece have."""
     none = np.zeros(0, np.uint64)
     for piece in _pieces(batches):
         data, starts, ids = _sets(piece)
@@ -140,7 +146,7 @@ def _survey(batches):
         blank = pa.array(sizes == 0)
         doc = [piece.column(piece.schema.get_field_index("doc_id")), pa.array(sizes), pa.array(np.where(sizes > 0, ids.view(np.int64), 0), mask=blank.to_numpy(zero_copy_only=False))]
         yield pa.RecordBatch.from_arrays([*doc, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_SURVEY_NAMES)
-        content, _ = signatures(*_distinct(data, starts, ids)[:2], none)
+        content, _ = signatures(*_distinct(data, starts, ids)[:2], none, every=True)
         value, count = np.unique(content, return_counts=True)
         several = count > 1
         m = int(several.sum())
@@ -235,16 +241,18 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
 
 
-def _linked(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those that link: first by their sketches, then exactly by their whole sets."""
+def _both(rows: DataFrame, bodies: DataFrame, what: str) -> DataFrame:
+    left = bodies.select(F.col("set").alias("u"), F.col("n").alias("left_n"), F.col(what).alias("left"))
+    right = bodies.select(F.col("set").alias("v"), F.col("n").alias("right_n"), F.col(what).alias("right"))
+    return rows.join(right, "v").join(left, "u").select("u", "v", "left_n", "right_n", "left", "right")
 
-    def both(rows, what):
-        left = bodies.select(F.col("set").alias("u"), F.col("n").alias("left_n"), F.col(what).alias("left"))
-        right = bodies.select(F.col("set").alias("v"), F.col("n").alias("right_n"), F.col(what).alias("right"))
-        return rows.join(right, "v").join(left, "u").select("u", "v", "left_n", "right_n", "left", "right")
 
-    near = both(pairs, "sketch").mapInArrow(_alike, "u long, v long")
-    return both(near, "body").mapInArrow(_verify, "u long, v long")
+def _linked(pairs: DataFrame, bodies: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Of the pairs (u, v), those that link: first by their sketches, then exactly by their whole sets. near: pairs past their sketches."""
+    alike = _both(pairs, bodies, "sketch").mapInArrow(_alike, "u long, v long")
+    if near is not None:
+        alike = alike.union(near).distinct()
+    return _both(alike, bodies, "body").mapInArrow(_verify, "u long, v long")
 
 
 def _contracted(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -259,22 +267,66 @@ def fits(a: str, b: str):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT) & (F.col(a) + F.col(b) >= 7)
 
 
-def _led(groups: DataFrame, leader: str) -> DataFrame:
-    """Each set with one leader of another component, out of its groups."""
-    choose = getattr(F, leader)
-    heads = groups.groupBy("content").agg(choose(F.struct("set", "size", "part")).alias("head"))
+def _led(groups: DataFrame, turn: int) -> DataFrame:
+    """Each set with a few sets of other components: of the members drawn for its groups, those that share most groups with it."""
+    heads = groups.groupBy("content").agg(F.min_by(F.struct("set", "size", "part"), F.xxhash64("content", "set", F.lit(turn))).alias("head"))
     rows = groups.join(heads, "content").select("set", "size", "part", F.col("head.set").alias("lead"), F.col("head.size").alias("lead_size"), F.col("head.part").alias("lead_part"))
-    rows = rows.filter((F.col("part") != F.col("lead_part")) & fits("size", "lead_size"))
-    return rows.groupBy(F.col("set").alias("u")).agg(choose("lead").alias("v"))
+    shared = rows.filter((F.col("part") != F.col("lead_part")) & fits("size", "lead_size")).groupBy("set", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("set").orderBy(F.col("n").desc(), F.xxhash64("lead", F.lit(turn)))
+    chosen = shared.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= LEADERS)
+    return chosen.select(F.least("set", "lead").alias("u"), F.greatest("set", "lead").alias("v")).distinct()
 
 
 def _remaining(groups: DataFrame) -> DataFrame:
-    """The pairs of different components that groups still hold; on to few rows, as leaders have joined what belongs together."""
+    """The pairs of different components that small groups still hold."""
     other = groups.select("content", F.col("set").alias("v"), F.col("size").alias("v_size"), F.col("part").alias("v_part"))
     pairs = groups.join(other, "content").filter((F.col("set") < F.col("v")) & (F.col("part") != F.col("v_part")) & fits("size", "v_size"))
     return pairs.select(F.col("set").alias("u"), "v").distinct()
 
 
+def _folded(cells: list[bytes], length: int) -> np.ndarray:
+    """Sketches as rows of the given length."""
+    out = np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), -1)
+    while out.shape[1] > length:
+        out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+    return out
+
+
+def _block(key, rows):
+    """Of the sets of two blocks of a large group, the pairs of different components whose sketches do not rule out a link."""
+    sets, part = rows.column("set").to_numpy(), rows.column("part").to_numpy()
+    size, side = rows.column("size").to_numpy().astype(np.int64), rows.column("block").to_numpy()
+    sketch = rows.column("sketch").to_pylist()
+    lengths = np.array([len(x) for x in sketch])
+    low, high = key[1].as_py(), key[2].as_py()
+    out_u, out_v = [], []
+    for a in np.unique(lengths):
+        for b in np.unique(lengths):
+            if max(a, b) > 2 * min(a, b):
+                continue
+            i, j = np.flatnonzero((lengths == a) & (side == low)), np.flatnonzero((lengths == b) & (side == high))
+            if not len(i) or not len(j):
+                continue
+            x, y = _folded([sketch[k] for k in i], min(a, b)), _folded([sketch[k] for k in j], min(a, b))
+            for at in range(0, len(i), 64):
+                rows_i = i[at : at + 64]
+                apart = np.bitwise_count(x[at : at + 64, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
+                p, q = np.nonzero((apart * (100 + PERCENT) <= (100 - PERCENT) * (size[rows_i][:, None] + size[j][None, :])) & (part[rows_i][:, None] != part[j][None, :]))
+                out_u.append(sets[rows_i[p]])
+                out_v.append(sets[j[q]])
+    u = np.concatenate(out_u) if out_u else np.zeros(0, np.int64)
+    v = np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
+    return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+
+def _in_blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Pairs past their sketches of groups too large to be joined with themselves: block meets block, and no other pair leaves a task."""
+    rows = groups.join(bodies.select("set", "sketch"), "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    meets = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = [F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")]
+    return meets.select("content", *keys, "set", "part", "size", "block", "sketch").groupBy("content", "low", "high").applyInArrow(_block, "u long, v long").distinct()
+
+
 def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each of docs: doc_id, n_shingles, set (id of its class; null without words), component_id (smallest id it reaches by links)."""
     spark = docs.sparkSession
@@ -282,8 +334,8 @@ def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     survey = stored(rows.mapInArrow(_survey, _SURVEY), "survey")
     members = survey.filter("n_shingles is not null").select("doc_id", "n_shingles", "set")
     contents = survey.filter("n_shingles is null")
-    indexed = contents.filter("content is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    often = max(32, -(-indexed // HOT_ENTRIES))
+    total = contents.filter("content is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    often = max(32, -(-total // HOT_ENTRIES))
     hot = contents.filter("content is not null").groupBy("content").agg(F.sum("n").alias("n")).filter(F.col("n") >= often).select("content").toPandas()["content"].to_numpy(np.int64)
     late = spark.sparkContext.broadcast(np.sort(hot.view(np.uint64)))
     index = rows.mapInArrow(_indexer(late), "content long, set long, size int")
@@ -292,13 +344,22 @@ def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     wanted = groups.select("set").distinct()
     chosen = members.join(wanted, "set").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     bodies = stored(rows.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bodies, "set long, n long, sketch binary, body binary").join(wanted, "set", "left_semi").dropDuplicates(["set"]), "bodies")
-    links = None
-    for leader in ("min", "max", None):
-        pairs = _led(groups, leader) if leader else _remaining(groups)
-        found = stored(_linked(pairs, bodies), "links")
+    links, settled = None, False
+    for turn in range(MOST_TURNS + 1):
+        last = settled or turn == MOST_TURNS
+        if last:
+            count = groups.groupBy("content").agg(F.count(F.lit(1)).alias("m"))
+            sized = groups.join(count, "content").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+            near = _in_blocks(sized.filter(F.col("m") > SMALL), bodies)
+            found = stored(_linked(_remaining(sized.filter(F.col("m") <= SMALL)), bodies, near), "links")
+        else:
+            found = stored(_linked(_led(groups, turn), bodies), "links")
         links = found if links is None else links.union(found)
-        if leader:
-            groups = stored(_contracted(groups, links), "groups")
+        if last:
+            break
+        # Leaders go on while they join a hundredth of the sets that are still open.
+        settled = found.count() * 100 < groups.select("set").distinct().count()
+        groups = stored(_contracted(groups, links), "groups")
     part = components(links).select(F.col("node").alias("set"), "component")
     placed = members.filter("set is not null").join(part, "set", "left").withColumn("component", F.coalesce("component", "set"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
