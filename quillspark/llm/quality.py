@@ -121,4 +121,5 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     for m in names:
         over = over | F.coalesce(F.col(f"_{m}") > F.col(f"_max_{m}"), F.lit(False))
     out = with_rates.join(limits, F.col("_stratum") == F.col("_s"), "left")
-    return out.drop("kept").withColumn("kept", ~F.col("base_failed") & ~over).drop("_stratum", "_s", *[f"_{m}" for m in names], *[f"_max_{m}" for m in names])
+    # One expression over both sides: a filter on it stays above the join, where the measures are already columns.
+    return out.drop("kept").withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)).drop("_stratum", "_s", *[f"_{m}" for m in names], *[f"_max_{m}" for m in names])
