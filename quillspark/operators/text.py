@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quillspark.functions import clean_page, norm_stem, words
 from quillspark.sources.folders import scratch
@@ -141,6 +142,11 @@ def _chunk_type() -> str:
     return "array<struct<seq:int,page_from:int,page_to:int,chapter:string,content:string>>"
 
 
+def _strip(c: Column) -> Column:
+    """Without blanks and line ends on either side."""
+    return F.regexp_replace(c, r"^[ \t\n]+|[ \t\n]+$", "")
+
+
 def chunk_corpus(pages: DataFrame, target: int = 1400, overlap: int = 200, least: int = 200) -> DataFrame:
     """doc_id, seq, page_from, page_to, chapter, content: passages of whole paragraphs, each opening with the end of the one before.
 
@@ -148,13 +154,13 @@ def chunk_corpus(pages: DataFrame, target: int = 1400, overlap: int = 200, least
     carried end. An ordered fold of each document's paragraphs."""
     cleaned = pages.withColumn("text", clean_page(F.col("text"))).filter("text != ''")
     chapter = F.trim(F.regexp_replace(F.regexp_extract("text", r"(?m)^[ \t]*((?:CHAPTER|Chapter)[ \t]+[0-9]{1,2}(?![A-Za-z0-9])[^\n]{0,80})", 1), r"[ \t]+", " "))
-    paras = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    paras = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: _strip(p)), lambda p: p != "")
     rows = cleaned.select("doc_id", "page", F.posexplode(F.transform(paras, lambda p, i: F.struct(p.alias("p"), F.when(i == 0, chapter).otherwise("").alias("head")))))
     items = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "pos", "col.p", "col.head"))).alias("items"), F.max("page").alias("last_page"))
     start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("size"), F.lit(0).alias("from_page"), F.lit(None).cast("string").alias("chapter"), F.array().cast(_chunk_type()).alias("out"))
 
     def flush(a: Column, page: Column) -> Column:
-        body = F.trim(a["buf"])
+        body = _strip(a["buf"])
         tail = F.substring(body, -overlap, overlap)
         made = F.struct(F.size(a["out"]).alias("seq"), a["from_page"].alias("page_from"), page.alias("page_to"), a["chapter"].alias("chapter"), body.alias("content"))
         kept = F.struct(tail.alias("buf"), F.char_length(tail).alias("size"), page.alias("from_page"), a["chapter"].alias("chapter"), F.concat(a["out"], F.array(made)).alias("out"))
@@ -175,7 +181,7 @@ def chunk_corpus(pages: DataFrame, target: int = 1400, overlap: int = 200, least
 
 def chunk_pages(pages: DataFrame, target: int = 1200, least: int = 40) -> DataFrame:
     """doc_id, page, seq, content: passages that never leave a page; long paragraphs are cut at ends of sentences."""
-    paras = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: F.trim(p)), lambda p: p != "")
+    paras = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: _strip(p)), lambda p: p != "")
     sentences = lambda p: F.regexp_extract_all(p, F.lit(r"[^.!?।॥]+[.!?।॥]*[ \t\n]*"), F.lit(0))
     hard = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.char_length(s) - 1) / target).cast("int"))), lambda i: F.substring(s, i * target + 1, F.lit(target)))
     units = F.flatten(F.transform(paras, lambda p: F.when(F.char_length(p) > target * 1.5, F.flatten(F.transform(sentences(p), hard))).otherwise(F.array(F.concat(p, F.lit("\n"))))))
@@ -183,14 +189,14 @@ def chunk_pages(pages: DataFrame, target: int = 1200, least: int = 40) -> DataFr
 
     def step(a: Column, u: Column) -> Column:
         full = (F.char_length(a["buf"]) + F.char_length(u) > target) & (a["buf"] != "")
-        return F.when(full, F.struct(u.alias("buf"), F.concat(a["out"], F.array(F.trim(a["buf"]))).alias("out"))).otherwise(F.struct(F.concat(a["buf"], u).alias("buf"), a["out"].alias("out")))
+        return F.when(full, F.struct(u.alias("buf"), F.concat(a["out"], F.array(_strip(a["buf"]))).alias("out"))).otherwise(F.struct(F.concat(a["buf"], u).alias("buf"), a["out"].alias("out")))
 
     folded = pages.withColumn("_f", F.aggregate(units, start, step))
-    every = F.filter(F.concat("_f.out", F.array(F.trim("_f.buf"))), lambda c: F.char_length(c) >= least)
+    every = F.filter(F.concat("_f.out", F.array(_strip(F.col("_f.buf")))), lambda c: F.char_length(c) >= least)
     return folded.select("doc_id", "page", F.posexplode(every).alias("seq", "content"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
