@@ -85,14 +85,16 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def tail(n: Column, k: Column, risk: float) -> Column:
-    """P(X <= k) of a binomial of n trials at risk: terms from k downwards until they no longer count, the rest bounded from above."""
+    """P(X <= k) of a binomial of n trials at risk: terms from k downwards until they no longer count, the rest bounded from above.
+
+    From the mean on it is a half or more, too much for any level, and given as 1."""
     n, k = n.cast("double"), k.cast("double")
     first = F.exp(log_choose(n, k) + k * math.log(risk) + (n - k) * math.log1p(-risk))
     odds = (1 - risk) / risk
     steps = F.sequence(F.lit(0), F.least(k, F.floor(F.sqrt(n) * 12) + 30).cast("int"))
     zero = F.struct(first.alias("term"), F.lit(0.0).alias("sum"), k.alias("j"))
     add = lambda acc, _: F.struct((acc["term"] * acc["j"] / (n - acc["j"] + 1) * odds).alias("term"), (acc["sum"] + acc["term"]).alias("sum"), (acc["j"] - 1).alias("j"))
-    return F.aggregate(steps, zero, add, lambda acc: F.least(F.lit(1.0), acc["sum"] + F.when(acc["j"] >= 0, acc["term"] * F.greatest(F.lit(1.0), acc["j"])).otherwise(0.0)))
+    return F.when(k > n * risk, F.lit(1.0)).otherwise(F.aggregate(steps, zero, add, lambda acc: F.least(F.lit(1.0), acc["sum"] + F.when(acc["j"] >= 0, acc["term"] * F.greatest(F.lit(1.0), acc["j"])).otherwise(0.0))))
 
 
 def thresholds(rated: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
