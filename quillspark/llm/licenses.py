@@ -43,7 +43,7 @@ KNOWN = [
 ]
 #: Spellings that count as the same, after case and punctuation are gone.
 EQUIVALENT = [("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("organisation", "organization"), ("v", "version")]
-COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|by[ \t])|\(c\)|©|all rights reserved)[^\n]*$"
 _MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word that each of the known texts holds, in any of its spellings.
 HINT = r"(?i)licen[sc]e|public|permission"

@@ -78,8 +78,9 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.cast("long").alias("cluster"), n_words(F.col(text)).alias("size"))
     n = docs.count()
     shards = max(1, -(-n // shard_rows))
-    full = rows.filter(F.col("size") >= capacity).select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
-    full = full.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"), F.lit(capacity).cast("long").alias("words"), F.concat(F.lit("f"), F.xxhash64("doc_id", "cluster").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("bin_id"))
+    full = rows.filter(F.col("size") >= capacity).select("doc_id", "source", "cluster", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
+    # The row's number keeps the bins of repeated rows apart.
+    full = full.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"), F.lit(capacity).cast("long").alias("words"), F.concat_ws("-", F.lit("f"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("bin_id"))
     rest = rows.filter((F.col("size") % capacity > 0)).select("doc_id", "source", "cluster", F.floor(F.col("size") / capacity).cast("int").alias("piece"), (F.floor(F.col("size") / capacity) * capacity).cast("long").alias("first_word"), (F.col("size") % capacity).cast("long").alias("words"))
     dealt = rest.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))})
     packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, per_source), OUT)
