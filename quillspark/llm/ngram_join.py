@@ -293,7 +293,10 @@ def _folded(cells: list[bytes], length: int) -> np.ndarray:
 
 
 def _block(key, rows):
-    """Of the sets of two blocks of a large group, the pairs of different components whose sketches do not rule out a link."""
+    """Of the sets of two blocks of a large group, the pairs of different components whose sketches do not rule out a link.
+
+    A pair that shares several large groups comes from the first of them only."""
+    own, shared = key[0].as_py(), [frozenset(x) for x in rows.column("large").to_pylist()]
     sets, part = rows.column("set").to_numpy(), rows.column("part").to_numpy()
     size, side = rows.column("size").to_numpy().astype(np.int64), rows.column("block").to_numpy()
     sketch = rows.column("sketch").to_pylist()
@@ -312,8 +315,9 @@ def _block(key, rows):
                 rows_i = i[at : at + 64]
                 apart = np.bitwise_count(x[at : at + 64, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64)
                 p, q = np.nonzero((apart * (100 + PERCENT) <= (100 - PERCENT) * (size[rows_i][:, None] + size[j][None, :])) & (part[rows_i][:, None] != part[j][None, :]))
-                out_u.append(sets[rows_i[p]])
-                out_v.append(sets[j[q]])
+                first = np.fromiter((min(shared[x] & shared[y]) == own for x, y in zip(rows_i[p], j[q], strict=True)), bool, len(p))
+                out_u.append(sets[rows_i[p[first]]])
+                out_v.append(sets[j[q[first]]])
     u = np.concatenate(out_u) if out_u else np.zeros(0, np.int64)
     v = np.concatenate(out_v) if out_v else np.zeros(0, np.int64)
     return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
@@ -321,10 +325,11 @@ def _block(key, rows):
 
 def _in_blocks(groups: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs past their sketches of groups too large to be joined with themselves: block meets block, and no other pair leaves a task."""
-    rows = groups.join(bodies.select("set", "sketch"), "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    large = groups.groupBy("set").agg(F.collect_set("content").alias("large"))
+    rows = groups.join(bodies.select("set", "sketch"), "set").join(large, "set").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
     meets = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keys = [F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high")]
-    return meets.select("content", *keys, "set", "part", "size", "block", "sketch").groupBy("content", "low", "high").applyInArrow(_block, "u long, v long").distinct()
+    return meets.select("content", *keys, "set", "part", "size", "block", "sketch", "large").groupBy("content", "low", "high").applyInArrow(_block, "u long, v long").distinct()
 
 
 def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -357,8 +362,8 @@ def join_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         links = found if links is None else links.union(found)
         if last:
             break
-        # Leaders go on while they join a hundredth of the sets that are still open.
-        settled = found.count() * 100 < groups.select("set").distinct().count()
+        # Leaders go on while they join a twentieth of the sets that are still open.
+        settled = found.count() * 20 < groups.select("set").distinct().count()
         groups = stored(_contracted(groups, links), "groups")
     part = components(links).select(F.col("node").alias("set"), "component")
     placed = members.filter("set is not null").join(part, "set", "left").withColumn("component", F.coalesce("component", "set"))
