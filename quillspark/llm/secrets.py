@@ -104,7 +104,7 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.filter(pairs, lambda p: p.isNotNull()), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 20, nats: float = 15.0, per_step: float = 0.4, sample_docs: int = 1000) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 20, nats: float = 12.0, per_step: float = 0.4, sample_docs: int = 1000) -> DataFrame:
     """docs with the column ``secret_spans``: array of (start, end, kind number, text), by start and kind; code points, end exclusive.
 
     Kind numbers follow KINDS, then 3 for strings the model finds (``least`` characters or more, none overlapping a base span)."""
