@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import language_model, licenses, mixing, nearest, ngram_join, packing, quality, secrets, suffix_dedup, urls
 from .base import read
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,4 @@ QUERIES = {
         op10_nearest,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
