@@ -279,3 +279,16 @@ def test_nearest(spark):
     few = nearest.search(spark.createDataFrame(rows[98:104], "vec_id long, embedding array<float>, score int")).collect()
     assert len(few) == 5
     assert nearest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_nearest_is_brute_force_on_isotropic_vectors(spark):
+    x = np.random.default_rng(4).normal(size=(3000, 48)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(list)
+    for r in nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    y = x.astype(np.float64)
+    for q in range(0, 3000, 100):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert got[q] == np.lexsort((np.arange(3000), d))[:10].tolist()
