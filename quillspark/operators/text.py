@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -203,23 +205,82 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def repeat_candidates(rows: DataFrame, size: int = 3, share: float = 0.4) -> DataFrame:
-    """Pairs of distinct stems that share the start of their sorted word shingles and enough shingles in all: (a, b, shared, union).
-
-    Equal stems were collapsed before. The prefix of rarest shingles that any pair of the given Jaccard share must meet in
-    is what is joined, so frequent shingles never are."""
-    ws = F.split("norm", " +")
-    sh = rows.select("norm", F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - size + 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(size)), " "))).alias("sh"))
-    each = sh.select("norm", F.size("sh").alias("m"), F.explode("sh").alias("s"))
-    freq = each.groupBy("s").agg(F.count(F.lit(1)).alias("f"))
-    w = Window.partitionBy("norm").orderBy("f", "s")
-    prefix = each.join(freq, "s").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("m") - F.ceil(F.col("m") * share) + 1).select("norm", "m", "s")
-    other = prefix.select(F.col("norm").alias("b"), F.col("m").alias("mb"), "s")
-    pairs = prefix.join(other, "s").filter((F.col("norm") < F.col("b")) & (F.least("m", "mb") >= F.greatest("m", "mb") * share)).select(F.col("norm").alias("a"), "b").distinct()
-    sets = sh.select(F.col("norm"), "sh")
-    both = pairs.join(sets.select(F.col("norm").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("norm").alias("b"), F.col("sh").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb") - shared).cast("long").alias("union")).filter(F.col("shared") >= F.col("union") * share)
+#: Stems of a block; blocks of lengths that can meet are compared in one task each.
+STEM_BLOCK = 1000
+_LETTERS = " 0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def common_lengths(b: str, stems: list[str], bits: list[dict[str, bytes]]) -> list[int]:
+    """Length of the longest common subsequence of b with each stem, all in one run over b: a lane of bits for each stem.
+
+    bits: for each stem, where each of its characters stands; a lane ends with a spare byte that takes the carry."""
+    wide = [len(x) // 8 + 1 for x in stems]
+    lanes = int.from_bytes(b"".join(((1 << len(x)) - 1).to_bytes(n, "little") for x, n in zip(stems, wide, strict=True)), "little")
+    blank = [bytes(n) for n in wide]
+    masks = {c: int.from_bytes(b"".join([m.get(c, z) for m, z in zip(bits, blank, strict=True)]), "little") for c in set(b)}
+    v = lanes
+    for c in b:
+        u = v & masks[c]
+        v = ((v + u) | (v ^ u)) & lanes
+    raw, at, out = v.to_bytes(sum(wide), "little"), 0, []
+    for x, n in zip(stems, wide, strict=True):
+        out.append(len(x) - int.from_bytes(raw[at : at + n], "little").bit_count())
+        at += n
+    return out
+
+
+def _alike(threshold: float):
+    def alike(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        xs, ys = left["norm"].tolist(), right["norm"].tolist()
+        out = []
+        if xs and ys:
+            counts = lambda zs: np.array([[z.count(c) for c in _LETTERS] for z in zs], np.int32)
+            hx, hy = counts(xs), counts(ys)
+            nx, ny = hx.sum(1), hy.sum(1)
+            bits = []
+            for x in xs:
+                m = {}
+                for c in set(x):
+                    m[c] = int(x[::-1].translate({ord(k): "1" if k == c else "0" for k in set(x)}), 2).to_bytes(len(x) // 8 + 1, "little")
+                bits.append(m)
+            same = key[0] == key[2] and key[1] == key[3]
+            for y, h, n in zip(ys, hy, ny, strict=True):
+                near = np.flatnonzero(2 * np.minimum(hx, h).sum(1) >= threshold * (nx + n) - 1e-9)
+                near = [i for i in near.tolist() if xs[i] < y] if same else near.tolist()
+                # A ratio counts characters of a common subsequence, so the longest bounds it.
+                for at in range(0, len(near), 200):
+                    part = near[at : at + 200]
+                    for i, common in zip(part, common_lengths(y, [xs[i] for i in part], [bits[i] for i in part]), strict=True):
+                        if 2 * common >= threshold * (nx[i] + n) - 1e-9:
+                            out.append((min(xs[i], y), max(xs[i], y)))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return alike
+
+
+def repeat_candidates(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """Every pair of distinct stems whose difflib ratio can reach the threshold: (a, b), a < b.
+
+    Lengths, counts of characters and the longest common subsequence each bound the ratio from above, so no pair is lost.
+    At such thresholds no index of q-grams holds fewer pairs than lengths and counts do: the work grows with the square of
+    the stems of a band of lengths."""
+    band = F.floor(F.log(F.char_length("norm")) / math.log((2 - threshold) / threshold + 0.001)).cast("int")
+    banded = rows.select("norm", band.alias("band"))
+    blocks = {r["band"]: -(-r["count"] // STEM_BLOCK) for r in banded.groupBy("band").count().collect()}
+    if not blocks:
+        return rows.select(F.col("norm").alias("a"), F.col("norm").alias("b")).limit(0)
+    held = lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]), c), F.lit(0))
+    mine = banded.withColumn("block", F.pmod(F.xxhash64("norm"), held(F.col("band"))).cast("int"))
+    many = lambda n: F.filter(F.sequence(F.lit(0), n), lambda x: x < n)
+    one, here = F.col("band"), F.col("block")
+    row = lambda b, i, c, j: F.struct(b.alias("lb"), i.alias("li"), c.alias("rb"), j.alias("rj"))
+    first = F.concat(F.transform(F.filter(many(held(one)), lambda j: j >= here), lambda j: row(one, here, one, j)), F.transform(many(held(one + 1)), lambda j: row(one, here, one + 1, j)))
+    second = F.concat(F.transform(F.filter(many(held(one)), lambda i: i <= here), lambda i: row(one, i, one, here)), F.transform(many(held(one - 1)), lambda i: row(one - 1, i, one, here)))
+    keys = ["lb", "li", "rb", "rj"]
+    left, right = (mine.select("norm", F.explode(x).alias("k")).select("norm", "k.*") for x in (first, second))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_alike(threshold), "a string, b string")
 
 
 def repeats(questions: DataFrame, threshold: float = 0.82, least: int = 40) -> DataFrame:
@@ -228,7 +289,7 @@ def repeats(questions: DataFrame, threshold: float = 0.82, least: int = 40) -> D
     Each stem goes to its smallest anchor among those alike that is not itself a member of another."""
     rows = questions.withColumn("norm", norm_stem(F.col("stem"))).filter(F.char_length("norm") >= least)
     distinct = rows.select("norm").distinct()
-    pairs = repeat_candidates(distinct).withColumn("ratio", _ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    pairs = repeat_candidates(distinct, threshold).withColumn("ratio", _ratio("a", "b")).filter(F.col("ratio") >= threshold)
     members = pairs.select(F.col("b").alias("x")).distinct()
     anchored = pairs.join(members, pairs["a"] == members["x"], "left_anti").groupBy("b").agg(F.min("a").alias("anchor"))
     grouped = rows.join(anchored, rows["norm"] == anchored["b"], "left").withColumn("anchor", F.coalesce("anchor", "norm"))

@@ -65,6 +65,27 @@ def test_repeats_find_what_brute_force_finds(spark):
     assert all(SequenceMatcher(None, a, a.replace("winding", "curving")).ratio() >= 0.82 for a in base)
 
 
+def test_repeats_with_several_changes_are_not_lost(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(2, 9)))
+    stems = []
+    for n in (8, 10, 14, 20, 90, 120):
+        for _ in range(6):
+            ws = [word() for _ in range(n)]
+            stems.append(" ".join(ws))
+            for at in rng.sample(range(n), max(2, n // 8)):
+                ws[at] = word()
+            stems.append(" ".join(ws))
+    stems = sorted({x for x in stems if len(x) >= 40})
+    want = {(a, b) for i, a in enumerate(stems) for b in stems[i + 1 :] if SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.82}
+    got = text.repeat_candidates(spark.createDataFrame([(x,) for x in stems], "norm string")).collect()
+    assert len(got) == len({(r.a, r.b) for r in got}) and want <= {(r.a, r.b) for r in got} and len(want) > 20
+    assert max(len(a) for a, _ in want) > 400
+
+
 def test_sets_depend_on_seed_alone(spark):
     pool = spark.createDataFrame([(str(i), "S" if i % 2 else "T", f"stem number {i % 40} of pool") for i in range(100)], "question_id string, subject string, stem string")
     blueprint = spark.createDataFrame([(1, "S", 8), (2, "T", 50)], "section int, subject string, wanted int")
