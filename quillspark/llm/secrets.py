@@ -2,8 +2,10 @@
 
 Two first-order character chains are trained on labelled samples. Strings labelled random: the values that the
 fixed patterns find, and the base64 and hexadecimal digests of the sampled rows' ids. Strings labelled ordinary: the
-words of the sampled documents of five or more letters that no pattern covers. A token is reported when the
-log-likelihood ratio, summed over its transitions, is high enough in total and per transition.
+words of the sampled documents of five or more letters that no pattern covers, their tokens of an identifier's shape, and
+identifiers (camel case, capitals, snake case, paths, with digits) of those words and of VOCABULARY. A token is reported
+when the log-likelihood ratio, summed over its transitions, is high enough in total and per transition: not under the given
+limits, and not under the limit for a transition that errs least on a fifth of the labelled strings, held out of training.
 
 The training sample is the documents of the ``sample_docs`` smallest hashed ids (a documented bound; repeated rows count
 once); the scan covers every document and its whole text. Everything is DataFrame expressions. A null text counts as empty: no spans. Repeated
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,25 @@ LEAST = {"assign": (2, 8, KINDS["assign"]), "access": (0, 16, r"AKIA[A-Z0-9]{12}
 TOKEN = r"[A-Za-z0-9+/_=-]+"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
+#: Words that identifiers are made of, beside the documents' own.
+VOCABULARY = (
+    "access account action address agent alert amount answer array attribute author average batch before binary block body boolean bottom bound branch broker buffer build button bytes cache "
+    "callback catalog category channel character check child circle class clean client clock cluster code collection color column command comment commit config connect constant container "
+    "content context control convert copy count country create credit cursor customer daily data date debug decimal default delete delivery depth description device dialog digest directory "
+    "disable discount display document domain double download draft driver dynamic editor element empty enable encode engine entry error event example exchange execute export factory failure "
+    "feature field file filter final find first flag float folder format forward frame function gateway generate global graph group handler hash header height helper hidden history host http "
+    "identifier image import index info init input insert instance integer interface internal invalid invoice item iterator job join json key kernel label language last layer layout length level "
+    "library limit line link list listener load local location lock logger long lookup machine manager map mark match matrix max member memory menu merge message method metric middle min mode "
+    "model module monitor month move multiple name native network next node notify null number object offset open option order output owner package page panel parent parse partition patch path "
+    "pattern payment pending percent period permission phone pixel plugin point policy pool port position post prefix previous price primary print priority process product profile project "
+    "property protocol provider proxy publish query queue quick random range rate raw reader record redirect reference refresh region register release remote remove render replace report "
+    "request reset resource response result retry return right role rollback root route row rule runtime sample save schedule schema scope screen script search second section select sender "
+    "sequence server service session setting shadow shape shard share shift signal simple single size skip snapshot socket sort source stage start state static status step storage store stream "
+    "string style subject submit success suffix summary support switch symbol sync system table target task template temporary test text theme thread threshold time timeout timestamp title "
+    "total trace track transaction transfer transform tree trigger type unique unit update upload user utility valid value vector version video view visible volume wait warning watch weight "
+    "widget width window worker wrapper write xml year zone"
+).split()
+SHAPES = r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+){2,}|[A-Z]{5,}|[A-Za-z]+(?:_[A-Za-z]+)+|[a-z]+(?:-[a-z]+)+|[A-Za-z]*(?:/[A-Za-z_-]+)+"
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
 
@@ -71,8 +93,19 @@ def _transitions(tokens: DataFrame, token: str) -> DataFrame:
     return pairs.groupBy("pair").count()
 
 
-def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 1000) -> list[float]:
-    """Log-likelihood ratio of each character transition, random against ordinary: SIZE * SIZE numbers, whatever the input's size."""
+def _identifiers(words: Column) -> Column:
+    """Identifiers of three words in lower case, in each usual style."""
+    a, b, c = (F.get(words, F.lit(i)) for i in range(3))
+    number = F.pmod(F.xxhash64(a, b, c), F.lit(2000)).cast("string")
+    join = lambda sep: F.concat_ws(sep, a, b, c)
+    return F.array(
+        F.concat(a, F.initcap(b), F.initcap(c)), F.concat(F.initcap(a), F.initcap(b), F.initcap(c)), F.upper(join("")), F.upper(join("_")), join("_"), join("-"), F.concat(F.lit("/"), join("/")), join("/"),
+        F.concat(a, F.initcap(b), number, F.initcap(c)), F.concat(F.upper(F.concat_ws("_", a, b)), F.lit("_"), number), F.concat(a, F.lit("/"), b, F.lit("-"), number, F.lit("/"), c),
+    )
+
+
+def labelled(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = 1000) -> DataFrame:
+    """Labelled strings of the sample: token, random (1 or 0), held (a fifth by hash, kept out of training)."""
     rows = docs.select(F.col(doc_id).cast("string").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("at", F.xxhash64("id"))
     # The bound is found on hashes alone, so no task gathers texts.
     bound = rows.select("at").distinct().orderBy("at").limit(sample_docs).agg(F.max("at").alias("at")).first()["at"]
@@ -82,8 +115,22 @@ def train(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_do
     found = sample.select(F.explode(F.transform("spans", lambda s: F.regexp_extract(s["text"], r"[A-Za-z0-9+/_=-]+$", 0))).alias("token"))
     digest = F.sha2(F.coalesce(F.col("id"), F.lit("")), 256)
     made = sample.select(F.explode(F.array(F.base64(F.unhex(digest)), F.regexp_replace(F.base64(F.unhex(F.sha1(F.concat(F.lit("x"), F.coalesce("id", F.lit("")))))), "=", ""), F.substring(digest, 1, 40))).alias("token"))
-    plain = sample.filter(F.size("spans") == 0).select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"))
-    rows = _transitions(found.union(made), "token").withColumn("random", F.lit(1)).union(_transitions(plain, "token").withColumn("random", F.lit(0))).collect()
+    clean = sample.filter(F.size("spans") == 0)
+    whole = lambda p: F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9+/_=-])(?:{p})(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    words = clean.select(whole(r"[A-Za-z][a-z]{4,}").alias("words"), whole(SHAPES).alias("shaped"))
+    plain = words.select(F.explode(F.concat("words", "shaped")).alias("token"))
+    pick = random.Random(1)
+    fixed = docs.sparkSession.createDataFrame([(pick.sample(VOCABULARY, 3),) for _ in range(2000)], "three array<string>")
+    threes = F.transform(F.filter(F.sequence(F.lit(1), F.size("words"), F.lit(3)), lambda i: i + 2 <= F.size("words")), lambda i: F.transform(F.slice("words", i, F.lit(3)), F.lower))
+    named = words.filter(F.size("words") >= 3).select(F.explode(threes).alias("three")).union(fixed).select(F.explode(_identifiers(F.col("three"))).alias("token"))
+    both = found.union(made).withColumn("random", F.lit(1)).union(plain.union(named).withColumn("random", F.lit(0)))
+    return both.withColumn("held", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
+
+
+def train(strings: DataFrame) -> list[float]:
+    """Log-likelihood ratio of each character transition, random against ordinary: SIZE * SIZE numbers, whatever the input's size."""
+    kept = strings.filter("not held")
+    rows = _transitions(kept.filter("random = 1"), "token").withColumn("random", F.lit(1)).union(_transitions(kept.filter("random = 0"), "token").withColumn("random", F.lit(0))).collect()
     counts = [[0.0] * (SIZE * SIZE), [0.0] * (SIZE * SIZE)]
     for r in rows:
         counts[r["random"]][r["pair"]] = float(r["count"])
@@ -104,11 +151,25 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.filter(pairs, lambda p: p.isNotNull()), F.lit(0.0), lambda acc, p: acc + F.get(table, p))
 
 
+def limit(strings: DataFrame, model: list[float], least: int) -> float:
+    """The ratio for a transition, in twentieths, at which the shares of held-out strings of each class that err sum to least; the higher of equals."""
+    long = strings.filter(F.col("held") & (F.char_length("token") >= least))
+    step = F.floor(ratio(F.col("token"), model) / (F.char_length("token") - 1) * 20).cast("int")
+    bins = [(r["step"], r["random"], r["count"]) for r in long.groupBy(step.alias("step"), "random").count().collect()]
+    sums = [max(1, sum(n for _, k, n in bins if k == kind)) for kind in (0, 1)]
+    wrong = lambda cut: sum(n / sums[kind] for at, kind, n in bins if (at >= cut) == (kind == 0))
+    if len({kind for _, kind, _ in bins}) < 2:
+        return -math.inf
+    return max(range(min(bins)[0], max(bins)[0] + 1), key=lambda cut: (-wrong(cut), cut)) / 20
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 20, nats: float = 12.0, per_step: float = 0.4, sample_docs: int = 1000) -> DataFrame:
     """docs with the column ``secret_spans``: array of (start, end, kind number, text), by start and kind; code points, end exclusive.
 
     Kind numbers follow KINDS, then 3 for strings the model finds (``least`` characters or more, none overlapping a base span)."""
-    model = train(docs, text, doc_id, sample_docs)
+    strings = labelled(docs, text, doc_id, sample_docs)
+    model = train(strings)
+    per_step = max(per_step, limit(strings, model, least))
     whole = F.coalesce(F.col(text), F.lit(""))
     base = docs.withColumn("_base", F.concat(*[_spans(whole, k) for k in KINDS]))
     pattern = TOKEN[:-1] + f"{{{least},}}"

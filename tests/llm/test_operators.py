@@ -231,6 +231,18 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0 and secrets.scan(docs).count() == docs.count()
 
 
+def test_identifiers_are_not_secrets(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 28, 32, 40, 40)]
+    names = "MAX_CONNECTIONS_PER_HOST CONFIDENTIALITYAGREEMENT getHttpResponseCodeFor AbstractSingletonProxyFactoryBean src/main/resources/application-prod user_last_login_timestamp_2024 kubernetes/ingress-nginx/v2 SO_REUSEADDR_AND_BACKLOG_128".split()
+    syllables = "tion er the an ing re en st ou le".split()
+    texts = [" ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 9))) for _ in range(100)) for _ in range(100)] + keys + names
+    found = {r.doc_id: r.n_markov for r in secrets.digest_columns(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert [found[100 + i] for i in range(len(keys))] == [1] * len(keys)
+    assert [n for i, n in enumerate(names) if found[100 + len(keys) + i]] == []
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="http://a.example.com/en/1">'
     pages = [(1, "HTTP://A.Example.com/en/1#x", "", "z"), (2, "http://b.org/x", link, "z"), (3, "http://c.org/y", '<meta http-equiv="refresh" content="0; url=http://b.org/x">', "z"), (4, "http://d.org/z", "", "z"), (5, None, link, "z"), (6, "nothing", None, "z"), (7, "http://e.example.com/en/71?q", link, "z"), (7, "http://e.example.com/en/71?q", link, "z")]
