@@ -176,6 +176,24 @@ def w10(t):
     return op.followup_terms(turns).select("conv_id", "turn", F.array_join("terms", " ").alias("terms"))
 
 
+#: Turns of two short follow-ups, a long one after a short one, and one whose terms all stand after the sixth word.
+_TURNS = [(-1, 0, "user", "Explain photosynthesis stages"), (-1, 1, "assistant", "Light and dark stages"), (-1, 2, "user", "chlorophyll absorption"), (-1, 3, "user", "compare mitochondria chloroplast nucleus ribosome vacuole cytoplasm membrane"), (-1, 4, "user", "what is the it of the osmosis diffusion gradient pressure turgor"), (-1, 5, "user", "")]
+
+
+@query(
+    "w10_followup_terms_whole",
+    f"""WITH v AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {",".join(f"({a}, {b}, '{c}', '{d}')" for a, b, c, d in _TURNS)}) x(conv_id, turn, role, text)),
+u AS (SELECT conv_id, turn, {_TERMS} AS own FROM v WHERE role = 'user'), l AS (SELECT *, lag(own) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM u),
+m AS (SELECT conv_id, turn, CASE WHEN len(own) BETWEEN 1 AND 4 AND len(before) > 0 THEN list_concat(own, before) ELSE own END AS ws, len(own) BETWEEN 1 AND 4 AND len(before) > 0 AS merged FROM l)
+SELECT conv_id, turn, array_to_string(CASE WHEN merged THEN list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) ELSE ws END, ' ') AS terms FROM m""",
+    prelude=False,
+)
+def w10_whole(t):
+    """As w10_followup_terms, whose SQL is fixed, with whole turns."""
+    turns = t.raw("conversations").select("conv_id", "turn", "role", "text").union(t.spark.createDataFrame(_TURNS, "conv_id long, turn long, role string, text string"))
+    return op.followup_terms(turns).select("conv_id", "turn", F.array_join("terms", " ").alias("terms"))
+
+
 @query(
     "t14_script_profile",
     _FIX_SQL

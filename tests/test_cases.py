@@ -105,3 +105,12 @@ def test_rows_do_not_depend_on_partitions(spark):
     from quillspark.streaming import fold_responses
 
     assert a == sorted(map(tuple, fold_responses(t.commands.repartition(7)).collect()))
+
+
+def test_followup_terms_read_whole_turns(spark):
+    from quillspark import catalog
+
+    rows = {r.turn: r.terms for r in catalog.queries()["w10_followup_terms_whole"](spark, "/root/testdata/sf0.001").filter("conv_id = -1").collect()}
+    assert rows[2].split() == ["chlorophyll", "absorption", "photosynthesis", "stages"]
+    assert rows[3].split() == "compare mitochondria chloroplast nucleus ribosome vacuole cytoplasm membrane".split()
+    assert rows[4].split() == "osmosis diffusion gradient pressure turgor".split()
