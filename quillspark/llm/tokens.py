@@ -10,7 +10,9 @@ import xxhash
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(word numbers, words in each text, dictionary): texts in lower case (A-Z), split at ASCII blanks; nulls have none."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # Copied first: the kernels misread a slice that was cast.
+    whole = pa.concat_arrays([texts]).cast(pa.large_string())
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole, "")))
     flat = parts.flatten()
     lengths = np.diff(parts.offsets.to_numpy())
     encoded = flat.dictionary_encode()

@@ -7,11 +7,14 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import language_model, licenses, mixing, nearest, ngram_join, packing, quality, secrets, suffix_dedup, urls
 from quillspark.llm.components import components
+from quillspark.llm.tokens import split_words
 
 WORDS = [f"w{i}{'aeiou'[i % 5]}{'bcdfg'[i % 7 % 5]}" for i in range(400)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, set string, part string, size int, count int"
@@ -78,6 +81,21 @@ def test_ngram_join(rows, docs, empty):
     assert ngram_join.join_documents(empty).count() == 0
 
 
+def test_pieces_of_a_batch_are_read_as_the_whole_batch(rows, monkeypatch):
+    texts = pa.array([t for _, t, *_ in rows])
+    for at in (1, 7, 50):
+        ids, lengths, words = split_words(texts.slice(at, 30))
+        want = [[lower(w) for w in words_of(t)] for t in texts.slice(at, 30).to_pylist()]
+        assert lengths.tolist() == [len(w) for w in want]
+        assert [words[i].as_py() for i in ids.tolist()] == [w for ws in want for w in ws]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(rows)), pa.int64()), "text": texts})
+    once = pa.Table.from_batches(list(ngram_join._survey(iter([batch])))).filter(pc.is_valid(pc.field("doc_id")))
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 3000)
+    assert len(list(ngram_join._pieces(iter([batch])))) > 10
+    again = pa.Table.from_batches(list(ngram_join._survey(iter([batch])))).filter(pc.is_valid(pc.field("doc_id")))
+    assert again.equals(once)
+
+
 def test_large_groups_meet_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     base = [rng.choice(WORDS) for _ in range(120)]
