@@ -45,6 +45,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def even(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Deal rows out evenly when a file gives one large scan task; the plan keeps the scan's own split otherwise."""
-    return df.repartition(parts) if parts else df
+#: Rows of the right side of spread_join() that are broadcast, at most: that many keys can have a share of 1 / SPREAD.
+SPREAD = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right, which has each of left's keys once and in ``rows`` how often left has it.
+
+    Keys with a large share of left's rows, SPREAD at most, are broadcast, so that no task gathers such a key; the others meet by shuffle."""
+    total = right.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    often = max(1000, -(-total // SPREAD))
+    hot, cold = right.filter(F.col("rows") >= often).drop("rows"), right.filter(F.col("rows") < often).drop("rows")
+    keys = hot.select(F.col(key).alias("_hot"))
+    out = left.join(F.broadcast(hot), key)
+    return out.union(left.join(F.broadcast(keys), left[key] == keys["_hot"], "left_anti").join(cold, key).select(*out.columns))

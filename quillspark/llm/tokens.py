@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -80,3 +81,23 @@ def flat(cells: pa.Array | pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.
     raw = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(cells) else np.zeros(0, np.uint8)
     size = np.dtype(dtype).itemsize
     return np.frombuffer(raw.tobytes(), dtype), (offsets - offsets[0]) // size if len(cells) else np.zeros(1, np.int64)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as bytes: of all numbers the lowest bytes, then the next ones, compressed."""
+    head = [f"{a.dtype.str},{len(a)}" for a in arrays]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(";".join(head).encode() + b"\n" + b"".join(planes))
+
+
+def unpacked(cell: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(cell)
+    at = raw.index(b"\n")
+    out, place = [], at + 1
+    for part in raw[:at].decode().split(";"):
+        kind, n = part.split(",")
+        dtype, n = np.dtype(kind), int(n)
+        planes = np.frombuffer(raw, np.uint8, dtype.itemsize * n, place).reshape(dtype.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(dtype).reshape(n))
+        place += dtype.itemsize * n
+    return out
