@@ -157,11 +157,144 @@ def test_language_model(rows, docs, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
-def test_seating_is_a_restaurant():
+def partitions(n):
+    """Every seating of n customers, as table sizes."""
+    if not n:
+        yield []
+        return
+    for rest in partitions(n - 1):
+        yield [*rest, 1]
+        for i in range(len(rest)):
+            yield [*rest[:i], rest[i] + 1, *rest[i + 1 :]]
+
+
+def test_tables_have_the_weights_of_all_seatings():
+    d, pull, n = 0.7, 0.4, 6
+    want = np.zeros(n + 1)
+    for sizes in partitions(n):
+        want[len(sizes)] += pull ** len(sizes) * np.prod([np.prod(np.arange(1, s) - d) for s in sizes])
     rng = np.random.default_rng(1)
-    counts = np.array([0, 1, 2, 50, 5000])
-    t = language_model.seated(counts, 0.7, 20.0, np.full(5, 1e-3), 100.0, rng)
-    assert t[0] == 0 and t[1] == 1 and (t <= counts).all() and (t[1:] >= 1).all()
+    got = np.bincount(language_model.seated(np.full(100_000, n), np.full(100_000, pull), d, rng), minlength=n + 1) / 100_000
+    assert np.abs(got - want / want.sum()).max() < 0.01
+    assert language_model.seated(np.array([0, 1, 1]), np.full(3, 0.1), d, rng).tolist() == [0, 1, 1]
+
+
+@pytest.mark.parametrize("pull", [0.001, 0.3, 20.0, 4000.0])
+def test_many_customers_are_drawn_like_exact_ones(pull):
+    rng, c, many = np.random.default_rng(2), np.full(20_000, language_model.EXACT), np.full(20_000, pull)
+    exact, near = language_model.seated(c, many, 0.75, rng), language_model.saddled(c.astype(float), many, 0.75, rng)
+    assert abs(exact.mean() - near.mean()) < 0.03 * exact.mean() and abs(exact.std() - near.std()) < 0.1 + 0.1 * exact.std()
+
+
+def reseat(counts, pooled, v, sweeps, burn, seed):
+    """Customers one by one leave and enter again: mean predictive probability of each word after each context."""
+    rng = random.Random(seed)
+    d, th, d0, th0 = language_model.DISCOUNT, language_model.STRENGTH, language_model.ROOT_DISCOUNT, language_model.ROOT_STRENGTH
+    words = sorted({w for _, w in counts} | set(pooled))
+    contexts = sorted({u for u, _ in counts})
+    tables = {uw: [] for uw in counts}
+    root = {w: [] for w in words}
+    parent = lambda w: (sum(root[w]) - d0 * len(root[w]) + (th0 + d0 * sum(map(len, root.values()))) / (v + 1)) / (th0 + sum(map(sum, root.values())))
+
+    def enter(at, weights, discount):
+        x = rng.random() * (sum(n - discount for n in at) + weights)
+        for i, n in enumerate(at):
+            x -= n - discount
+            if x < 0:
+                at[i] += 1
+                return False
+        at.append(1)
+        return True
+
+    def leave(at):
+        i = rng.choices(range(len(at)), at)[0]
+        at[i] -= 1
+        if not at[i]:
+            at.pop(i)
+            return True
+        return False
+
+    into_root = lambda w: enter(root[w], (th0 + d0 * sum(map(len, root.values()))) / (v + 1), d0)
+    into = lambda u, w: enter(tables[u, w], (th + d * sum(len(t) for (x, _), t in tables.items() if x == u)) * parent(w), d) and into_root(w)
+    for w, n in pooled.items():
+        for _ in range(n):
+            into_root(w)
+    for (u, w), n in counts.items():
+        for _ in range(n):
+            into(u, w)
+    out = Counter()
+    for s in range(sweeps):
+        for w, n in pooled.items():
+            for _ in range(n):
+                leave(root[w])
+                into_root(w)
+        for (u, w), n in counts.items():
+            for _ in range(n):
+                if leave(tables[u, w]):
+                    leave(root[w])
+                into(u, w)
+        if s >= burn:
+            for u in contexts:
+                size, many = sum(n for (x, _), n in counts.items() if x == u), sum(len(t) for (x, _), t in tables.items() if x == u)
+                for w in [*words, None]:
+                    t = tables.get((u, w), [])
+                    p = parent(w) if w is not None else (th0 + d0 * sum(map(len, root.values()))) / (v + 1) / (th0 + sum(map(sum, root.values())))
+                    out[u, w] += (sum(t) - d * len(t) + (th + d * many) * p) / (th + size) / (sweeps - burn)
+    return out
+
+
+def test_scores_are_those_of_customers_seated_one_by_one(spark):
+    import zlib
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("aabbbcd") + rng.choice(["", "x"]) * (rng.random() < 0.2) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(200) if i not in held]
+    vocabulary = sorted({w for t in texts for w in t.split()})
+    asked = dict(zip(held, [*vocabulary, "never"], strict=False))
+    assert len(asked) == len(vocabulary) + 1
+    rows = list(zip(train, texts, strict=False)) + list(asked.items())
+    counts, pooled = Counter(), Counter()
+    seen = Counter(w for t in texts for w in t.split()) + Counter({"": len(texts)})
+    for t in texts:
+        for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True):
+            if seen[u] >= 4:
+                counts[u, w] += 1
+            else:
+                pooled[w] += 1
+    assert pooled
+    want = reseat(counts, pooled, len(seen), 600, 60, 1)
+    got = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), burn_in=4, kept=36, least_context=4, range_tokens=40).collect()}
+    first = {w: want["", w if w in vocabulary else None] for w in asked.values()}
+    assert sum(want["", w] for w in [*vocabulary, "", None]) == pytest.approx(1)
+    for i, w in asked.items():
+        # A word that starts a text, then the end.
+        after = want[w, ""] if seen[w] >= 4 else None
+        if after:
+            assert got[i] == pytest.approx(math.log10(first[w] * after), abs=0.05)
+
+
+def test_probabilities_after_a_context_sum_to_one():
+    rng = np.random.default_rng(5)
+    plan = language_model.Layout(np.array([5, 9], np.uint64), np.array([30, 20]), 60, 1000)
+    c, context = rng.integers(1, 5, 8), np.array([0, 1] * 4)
+    plan.count = np.bincount(context, c)
+    model = language_model.Model()
+    share, total = [], 0.0
+    pair = np.zeros(8)
+    for _ in range(3):
+        t = np.minimum(c, rng.integers(1, 3, 8))
+        m, k = np.bincount(np.arange(8) // 2, t), np.ones(4)
+        share.append((m - language_model.ROOT_DISCOUNT * k))
+        new = language_model.ROOT_STRENGTH + language_model.ROOT_DISCOUNT * 4
+        model.root.append((language_model.ROOT_STRENGTH + m.sum(), new / 5))
+        model.back.append((language_model.STRENGTH + language_model.DISCOUNT * np.bincount(context, t)) / (language_model.STRENGTH + plan.count))
+        pair += (c - language_model.DISCOUNT * t) / 3
+    share = np.concatenate([np.array(share), np.zeros((3, 1))], 1)  # the last word is unknown
+    for u in (0, 1):
+        own = np.append(pair[context == u], 0.0)
+        total = language_model.probabilities(model, plan, np.arange(5), np.full(5, u + 1), share, own).sum()
+        assert total == pytest.approx(1, abs=1e-6)
 
 
 def test_mixing(rows, docs, empty):
