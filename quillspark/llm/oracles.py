@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from .licenses import COPYRIGHT, EQUIVALENT, KNOWN
 from .quality import GRIDS
 
@@ -37,21 +39,25 @@ g AS (SELECT source, ticket, sum(size) AS words FROM s GROUP BY 1, 2), r AS (SEL
 k AS (SELECT r.source, r.ticket, CASE WHEN upto <= need1 OR (upto - words <= need1 AND need1 < upto AND (need1 - (upto - words)) * 2 >= words) THEN 1 ELSE 0 END + CASE WHEN upto <= need2 OR (upto - words <= need2 AND need2 < upto AND (need2 - (upto - words)) * 2 >= words) THEN 1 ELSE 0 END AS times FROM r JOIN n ON n.source IS NOT DISTINCT FROM r.source)
 SELECT s.doc_id, s.size, n.source_size, n.target, CAST(s.size * k.times AS BIGINT) AS taken FROM s JOIN n ON n.source IS NOT DISTINCT FROM s.source JOIN k ON k.source IS NOT DISTINCT FROM s.source AND k.ticket = s.ticket"""
 
-_CELLS = ",".join("{'measure': '" + m + f"', 'cutoff': {c}, 'v': {m}}}" for m, cs in GRIDS.items() for c in cs)
-_TESTS = sum(map(len, GRIDS.values()))
+_LEVELS = ", ".join(f"CAST(len(list_filter({cs}, lambda c: {m} > c)) AS INTEGER) AS {m}" for m, cs in GRIDS.items())
+_TESTS = math.prod(len(cs) + 1 for cs in GRIDS.values())
+_RULES = " CROSS JOIN ".join(f"(SELECT unnest(range({len(cs) + 1})) AS r_{m})" for m, cs in GRIDS.items())
+_UNDER = " AND ".join(f"{m} <= r_{m}" for m in GRIDS)
 
-QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+QUALITY = f"""WITH d AS (SELECT doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
 win AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(list_slice(ws, i, i + 7), ' '))) AS x, unnest(range(1, len(ws) - 6)) AS spot FROM d WHERE len(ws) >= 8),
 twice AS (SELECT doc_id, spot FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
 rep AS (SELECT doc_id, CAST(sum(least(8, coalesce(after - spot, 8))) AS BIGINT) AS n FROM (SELECT *, lead(spot) OVER (PARTITION BY doc_id ORDER BY spot) AS after FROM twice) GROUP BY 1),
 m AS (SELECT d.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 q AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed, n_symbols * 1000 // greatest(word_chars, 1) AS symbols, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_lines, n_repeat_words * 1000 // greatest(n_words, 1) AS repeats, word_chars * 100 // greatest(n_words, 1) AS long_words FROM m),
-lab AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1), rated AS (SELECT q.*, good FROM q JOIN lab USING (doc_id)),
-cell AS (SELECT stratum, good, unnest([{_CELLS}]) AS g FROM rated),
-cnt AS (SELECT stratum, g.measure AS measure, g.cutoff AS cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND g.v > g.cutoff) AS k, count(*) FILTER (WHERE NOT good) AS bad, count(*) FILTER (WHERE NOT good AND g.v > g.cutoff) AS caught FROM cell GROUP BY 1, 2, 3),
-safe AS (SELECT * FROM cnt WHERE n > 0 AND k <= n * 0.02e0 AND caught > bad * 0.02e0 AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02e0) + (n - j) * ln(0.98e0)))) * (SELECT count(DISTINCT stratum) * {_TESTS} FROM rated) <= 0.05e0),
-lim AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (WHERE measure = '{m}') AS max_{m}" for m in GRIDS)} FROM safe GROUP BY 1)
+lab AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
+rated AS (SELECT doc_id, stratum, first(good) AS good, {", ".join(f"max({m}) AS {m}" for m in GRIDS)} FROM (SELECT doc_id, stratum, good, {_LEVELS} FROM q JOIN lab USING (doc_id)) GROUP BY 1, 2),
+tot AS (SELECT stratum, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS all_bad FROM rated GROUP BY 1),
+cell AS (SELECT stratum, {", ".join(GRIDS)}, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE NOT good) AS bad FROM rated GROUP BY ALL),
+cnt AS (SELECT tot.stratum, n, all_bad, {", ".join(f"r_{m}" for m in GRIDS)}, n - coalesce(sum(good), 0) AS k, all_bad - coalesce(sum(bad), 0) AS caught FROM tot CROSS JOIN {_RULES} LEFT JOIN cell ON cell.stratum = tot.stratum AND {_UNDER} GROUP BY tot.stratum, n, all_bad, {", ".join(f"r_{m}" for m in GRIDS)}),
+safe AS (SELECT * FROM cnt WHERE n > 0 AND k <= n * 0.02e0 AND caught > all_bad * 0.02e0 AND list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02e0) + (n - j) * ln(0.98e0)))) * (SELECT count(*) * {_TESTS} FROM tot) <= 0.05e0),
+lim AS (SELECT stratum, {", ".join(f"({cs})[r_{m} + 1] AS max_{m}" for m, cs in GRIDS.items())} FROM safe QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY caught DESC, k, {", ".join(f"r_{m} DESC" for m in GRIDS)}) = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({" OR ".join(f"coalesce({m} > max_{m}, false)" for m in GRIDS)}) AS kept FROM q LEFT JOIN lim USING (stratum)"""
 
 ORACLE_SQL = {"op4_license_scan": LICENSES, "op6_quality_rules": QUALITY, "op7_mixing": MIXING}

@@ -1,24 +1,26 @@
 """Quality rules: fixed ones, and thresholds whose false rejections are bounded on labelled holdouts.
 
-Each measure (symbols, repeated lines, repeated words, length of words) has a fixed grid of cutoffs. In each stratum
-(language) and for each measure and cutoff, k of the n labelled good documents would be rejected. A cutoff is safe when
-the exact (Clopper-Pearson) upper bound on its rate of false rejections is at most ``risk``: when a binomial of n trials
-at ``risk`` gives k or fewer with probability ``level`` / number of tests (Bonferroni over strata, measures and cutoffs).
-The strictest safe cutoff is used if labelled bad documents exceed it at a higher rate than good ones may. Without
-enough labels nothing is rejected beyond the fixed rules.
-
-All in DataFrame expressions. Null texts have no words and fail the fixed rules; rows with a null language form a stratum
-of their own; documents repeated in ``labels`` count once, as bad if any of their labels is. Empty tables give empty results.
+Each measure (symbols, repeated lines, repeated words, length of words) has a fixed grid of cutoffs; a rule is a cutoff or
+none for each measure, and rejects what is over any of them. In each stratum (language) k of the n labelled good documents would
+be rejected by a rule. A rule is safe when the exact (Clopper-Pearson) upper bound on its rate of false rejections is at
+most ``risk``: when a binomial of n trials at ``risk`` gives k or fewer with probability ``level`` / number of tests (Bonferroni over
+strata and rules). So the bound holds for the whole rule, whichever is chosen: the safe one that catches most labelled bad
+documents, if at a higher rate than good ones may be rejected; of equals the one that rejects fewest good ones, then the one
+of higher cutoffs. Without enough labels nothing is rejected beyond the fixed rules.
+
+All in DataFrame expressions; texts are measured once. Null texts have no words and fail the fixed rules; rows with a null
+language form a stratum of their own. An id repeated in ``labels`` counts once, as bad if any of its labels is; rows that
+share an id count once in each stratum, at their highest measures. Null ids have no labels. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import BLANK
+from .base import BLANK, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Per mille of word characters, of lines, of words, of words; hundredths of characters a word.
@@ -97,31 +99,57 @@ def tail(n: Column, k: Column, risk: float) -> Column:
     return F.when(k > n * risk, F.lit(1.0)).otherwise(F.aggregate(steps, zero, add, lambda acc: F.least(F.lit(1.0), acc["sum"] + F.when(acc["j"] >= 0, acc["term"] * F.greatest(F.lit(1.0), acc["j"])).otherwise(0.0))))
 
 
-def thresholds(rated: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """(stratum, measure, cutoff): documents over the cutoff go. rated: stratum, good boolean and the measures, a row for each labelled document."""
-    grid = F.array(*[F.struct(F.lit(m).alias("measure"), F.lit(c).cast("long").alias("cutoff"), F.col(m).alias("value")) for m, cs in GRIDS.items() for c in cs])
-    over = rated.select("stratum", "good", F.explode(grid).alias("g")).select("stratum", "good", "g.measure", "g.cutoff", (F.col("g.value") > F.col("g.cutoff")).alias("over"))
-    counts = over.groupBy("stratum", "measure", "cutoff").agg(
-        F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("over")).alias("k"), F.count_if(~F.col("good")).alias("bad"), F.count_if(~F.col("good") & F.col("over")).alias("caught")
-    )
-    tests = rated.select("stratum").distinct().agg((F.count(F.lit(1)) * sum(map(len, GRIDS.values()))).alias("tests"))
-    safe = counts.join(F.broadcast(tests)).filter("n > 0").filter((tail(F.col("n"), F.col("k"), risk) * F.col("tests") <= level) & (F.col("caught") > F.col("bad") * risk))
-    return safe.groupBy("stratum", "measure").agg(F.min("cutoff").alias("cutoff"))
+def stratum_of(c: Column) -> Column:
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), c.cast("string")))
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
-    """measured(docs) with kept: false for what the fixed rules or a safe threshold of its stratum rejects."""
+def levels() -> dict[str, Column]:
+    """How many of its cutoffs each measure exceeds."""
+    return {m: sum(((F.col(m) > c).cast("int") for c in cs), F.lit(0)) for m, cs in GRIDS.items()}
+
+
+def rules(rated: DataFrame, risk: float = 0.02, level: float = 0.05) -> DataFrame:
+    """(stratum, a cutoff or null for each measure): the safe rule of each stratum that has one. rated: stratum, good boolean and each measure's level, a row for each labelled document.
+
+    Tables have a row for each stratum and rule at most, however many documents are labelled."""
+    names = list(GRIDS)
+    cells = rated.groupBy("stratum", *names).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    every = cells.select("stratum").distinct()
+    for m, cs in GRIDS.items():
+        every = every.withColumn(m, F.explode(F.sequence(F.lit(0), F.lit(len(cs)))))
+    zero = F.lit(0).cast("long")
+    below = every.select("stratum", *names, zero.alias("good"), zero.alias("bad")).union(cells.select("stratum", *names, "good", "bad")).groupBy("stratum", *names).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    for m in names:  # documents at or under a rule's cutoffs: sums along one measure after the other
+        run = Window.partitionBy("stratum", *[x for x in names if x != m]).orderBy(m).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        below = below.select("stratum", *names, F.sum("good").over(run).alias("good"), F.sum("bad").over(run).alias("bad"))
+    all_ = cells.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("all_bad"))
+    counted = below.join(all_, "stratum").withColumns({"k": F.col("n") - F.col("good"), "caught": F.col("all_bad") - F.col("bad")})
+    tests = all_.agg((F.count(F.lit(1)) * math.prod(len(cs) + 1 for cs in GRIDS.values())).alias("tests"))
+    safe = counted.join(F.broadcast(tests)).filter("n > 0").filter((F.col("caught") > F.col("all_bad") * risk) & (tail(F.col("n"), F.col("k"), risk) * F.col("tests") <= level))
+    best = Window.partitionBy("stratum").orderBy(F.col("caught").desc(), "k", *[F.col(m).desc() for m in names])
+    chosen = safe.withColumn("_at", F.row_number().over(best)).filter("_at = 1")
+    return chosen.select("stratum", *[F.get(F.array(*[F.lit(c).cast("long") for c in GRIDS[m]]), F.col(m)).alias(m) for m in names])
+
+
+def judge_measured(rated: DataFrame, labels: DataFrame, doc_id: str = "doc_id", stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
+    """rated, as measured() makes it, with kept: false for what the fixed rules or its stratum's safe rule rejects."""
     names = measures()
-    with_rates = measured(docs, text).withColumns({f"_{m}": c for m, c in names.items()}).withColumn("_stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    label = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("_good")).filter("_id is not null and _good is not null")
-    # Only the measures meet the labels: texts stay where they were read.
-    small = measured(docs, text).withColumns(names).select(F.col(doc_id).alias("_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *names)
-    rated = small.join(label, F.col("_key") == F.col("_id")).select("stratum", F.col("_good").alias("good"), *names)
-    limits = thresholds(rated, risk, level).groupBy("stratum").pivot("measure", list(names)).agg(F.min("cutoff"))
-    limits = limits.select(F.col("stratum").alias("_s"), *[F.col(m).alias(f"_max_{m}") for m in names])
+    table = stored(rated, "measured")
+    label = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.min("quality") == 1).alias("good")).filter("_id is not null and good is not null")
+    small = table.select(F.col(doc_id).alias("_key"), stratum_of(F.col(stratum)).alias("stratum"), *[c.alias(m) for m, c in names.items()])
+    known = small.join(label, F.col("_key") == F.col("_id")).select("_key", "stratum", "good", *[c.alias(m) for m, c in levels().items()])
+    once = known.groupBy("_key", "stratum").agg(F.first("good").alias("good"), *[F.max(m).alias(m) for m in names])
+    limits = stored(rules(once, risk, level).select(F.col("stratum").alias("_s"), *[F.col(m).alias(f"_max_{m}") for m in names]), "rules")
     over = F.lit(False)
-    for m in names:
-        over = over | F.coalesce(F.col(f"_{m}") > F.col(f"_max_{m}"), F.lit(False))
-    out = with_rates.join(limits, F.col("_stratum") == F.col("_s"), "left")
-    # One expression over both sides: a filter on it stays above the join, where the measures are already columns.
-    return out.drop("kept").withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)).drop("_stratum", "_s", *[f"_{m}" for m in names], *[f"_max_{m}" for m in names])
+    for m, c in names.items():
+        over = over | F.coalesce(c > F.col(f"_max_{m}"), F.lit(False))
+    # A stratum needs hundreds of labels to have a rule; many strata meet by shuffle.
+    limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
+    out = table.withColumn("_stratum", stratum_of(F.col(stratum))).join(limits, F.col("_stratum") == F.col("_s"), "left")
+    # One expression over both sides: a filter on it stays above the join.
+    return out.drop("kept").withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~over)).drop("_stratum", "_s", *[f"_max_{m}" for m in names])
+
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", stratum: str = "lang", risk: float = 0.02, level: float = 0.05) -> DataFrame:
+    """measured(docs) with kept, as judge_measured() tells."""
+    return judge_measured(measured(docs, text), labels, doc_id, stratum, risk, level)

@@ -30,7 +30,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = quality.judge_measured(quality.measured(docs).drop("text"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
