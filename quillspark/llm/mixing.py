@@ -4,11 +4,13 @@ Documents are aggregated by the set of sources they belong to. A flow routes eac
 quotas; a first pass over a pattern's words is free, every further pass costs more (convex), up to ``passes`` passes.
 Within a pattern, documents are then taken in a seeded order until its flow is met: whole documents, the last one if
 that is nearer to the quota than leaving it out. The order is a hash of id and seed, found by counting it in three levels
-of 4096 buckets, so nothing is sorted or gathered, whatever a source's share of all rows.
+of 4096 buckets, with sums in each task before they are shuffled, whatever a source's share of all rows.
 
-The driver sees one row for each pattern (at most MAX_PATTERNS, else an error), never documents. Sources get weights in
-code point order, null last; a null source is a source. Null and empty texts have no words and are not taken. Repeated
-rows, and rows with equal tickets, are taken or left together. An empty table gives an empty result. Reruns agree.
+The driver sees one row for each pattern (at most MAX_PATTERNS, else an error: the flow is the driver's), never documents.
+Sources get weights in code point order, null last; a null source is a source. Null and empty texts have no words and are
+not taken. Tickets are of id and text, so rows that share an id or have none are taken each by itself; only rows that are
+the same in both are taken or left together. Columns size, source_size, target and taken of the input are replaced. An
+empty table gives an empty result. Reruns agree.
 """
 
 from __future__ import annotations
@@ -20,16 +22,17 @@ from pyspark.sql import functions as F
 
 from .base import n_words, stored
 
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 5_000
 WEIGHTS = (3, 1, 2)
 BITS = 12
 LEVELS = 3
 TICKETS = 1 << (BITS * LEVELS)
 
 
-def ticket(doc_id: Column, seed: int = 7) -> Column:
+def ticket(doc_id: Column, text: Column, seed: int = 7) -> Column:
     """36 bits that order documents."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    name = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(name), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def quotas(sizes: dict, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict:
@@ -103,7 +106,8 @@ def _select(sized: DataFrame, needs: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         low = BITS * (LEVELS - 1 - level)
         held = open_.select(F.col("pattern").alias("p"), "pass", "need", "prefix")
-        inside = sized.join(held, (F.col("pattern") == F.col("p")) & (F.shiftright("ticket", low + BITS) == F.col("prefix")))
+        # Two rows for each pattern at most.
+        inside = sized.join(F.broadcast(held), (F.col("pattern") == F.col("p")) & (F.shiftright("ticket", low + BITS) == F.col("prefix")))
         sums = inside.groupBy("pattern", "pass", "need", "prefix", F.shiftright("ticket", low).alias("bucket")).agg(F.sum("size").alias("words"))
         run = sums.withColumn("upto", F.sum("words").over(by)).withColumn("before", F.col("upto") - F.col("words"))
         # The bucket in which the need is met.
@@ -120,7 +124,7 @@ def mix(docs: DataFrame, sources: Column | None = None, text: str = "text", doc_
     sources: array of the sources a document belongs to; by default the column ``source`` alone."""
     spark = docs.sparkSession
     members = F.array(F.col("source").cast("string")) if sources is None else F.sort_array(F.array_distinct(sources), asc=False)
-    own = {"_members": members, "_size": n_words(F.col(text)), "_ticket": ticket(F.col(doc_id), seed)}
+    own = {"_members": members, "_size": n_words(F.col(text)), "_ticket": ticket(F.col(doc_id), F.col(text), seed)}
     rows = docs.withColumns(own).withColumn("_pattern", F.to_json("_members", {"ignoreNullFields": "false"}))
     sized = stored(rows.select(F.col("_pattern").alias("pattern"), F.col("_members").alias("members"), F.col("_size").alias("size"), F.col("_ticket").alias("ticket")), "sized")
     found = sized.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()

@@ -27,7 +27,7 @@ lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coales
 units AS (SELECT doc_id, 'text' AS unit, 0 AS line_no, text FROM lines UNION ALL SELECT doc_id, 'line', CAST(generate_subscripts(ls, 1) AS INTEGER), unnest(ls) FROM lines)
 SELECT doc_id, unit, line_no, digest, license FROM (SELECT doc_id, unit, line_no, sha256({_canonical("text")}) AS digest FROM units) JOIN known USING (digest)"""
 
-MIXING = f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':7'), 1, 9) AS BIGINT) AS ticket FROM documents),
+MIXING = f"""WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':7:' || md5(coalesce(text, ''))), 1, 9) AS BIGINT) AS ticket FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s GROUP BY source),
 w AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, CAST(2 * size AS DOUBLE) AS cap FROM src),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / w, rk) AS spot FROM w),
