@@ -318,11 +318,20 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
         common = common.join(F.broadcast(frequent), F.col("anchor") == F.col("frequent"), "left").withColumn("deal", F.when(F.col("frequent").isNotNull(), F.col("content")).otherwise(F.col("anchor"))).drop("frequent")
     settled = stored(common.repartition("deal").drop("deal").mapInArrow(_round_one(hot), _ROUND_TYPE), "round-one")
     parts = settled.filter(f"state in ({OPEN}, {SOURCE})").groupBy(F.col("text").alias("part_text")).agg(F.collect_list(F.struct("anchor", "lo", "hi", "state")).alias("parts"))
-    dealt = whole.repartition("text_id")
+    # Copies go whole, without a look at spans: rows of a text that very many rows have stay where they are, and the text is dealt once.
+    counts = stored(whole.groupBy(F.col("text_id").alias("copy_text")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
+    much = max(1000, -(-(counts.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT_ENTRIES))
+    many = F.broadcast(counts.filter(F.col("n") >= much).select(F.col("copy_text").alias("many_text")))
+    marked = whole.join(many, F.col("text_id") == F.col("many_text"), "left")
+    common_rows = marked.filter("many_text is not null")
+    single = common_rows.groupBy("text_id").agg(F.first("text").alias("text"))
+    own = marked.filter("many_text is null").select("doc_id", "text", "text_id", F.lit(True).alias("real"))
+    dealt = own.union(single.select(F.lit(None).cast("long"), "text", "text_id", F.lit(False))).repartition("text_id")
     opened = dealt.join(parts, F.col("text_id") == F.col("part_text")).select("text_id", "text", "parts").mapInArrow(_opened(hot), "key long, text long, first long, state int, offsets binary, ranks binary")
     again = opened.repartition("key").mapInArrow(_round_two, "text long, lo long, hi long")
     first = rows.union(settled).filter(f"state = {REPEATED}").select("text", "lo", "hi")
     spans = first.union(again).groupBy(F.col("text").alias("span_text")).agg(F.collect_list("lo").alias("lows"), F.collect_list("hi").alias("highs"))
-    copies = whole.groupBy(F.col("text_id").alias("copy_text")).count().filter("count > 1").select("copy_text")
-    joined = dealt.join(spans, F.col("text_id") == F.col("span_text"), "left").join(copies, F.col("text_id") == F.col("copy_text"), "left")
-    return joined.select("doc_id", "text", F.col("copy_text").isNotNull().alias("copied"), "lows", "highs").mapInArrow(_cut, _RESULT)
+    joined = dealt.filter("real").join(spans, F.col("text_id") == F.col("span_text"), "left").join(counts, F.col("text_id") == F.col("copy_text"), "left")
+    cut = joined.select("doc_id", "text", F.col("copy_text").isNotNull().alias("copied"), "lows", "highs")
+    none = F.lit(None).cast("array<long>")
+    return cut.union(common_rows.select("doc_id", "text", F.lit(True), none, none)).mapInArrow(_cut, _RESULT)

@@ -140,6 +140,15 @@ def test_suffix_dedup(rows, docs, empty):
     assert suffix_dedup.dedupe(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_text_that_most_rows_share(spark):
+    rng = random.Random(8)
+    common, other = prose(rng, 90), prose(rng, 90)
+    rows = [(i if i % 2 else None, common) for i in range(2200)] + [(5000, "x " * 30 + common[50:350]), (5001, other), (5002, other), (5003, None)]
+    got = {r.doc_id: r for r in suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).filter("doc_id is not null").collect()}
+    assert got[1].n_removed == got[1].n_bytes == len(common) and got[5001].n_removed == len(other) and got[5000].n_removed == 300 and got[5003].n_bytes == 0
+    assert suffix_dedup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_removed = n_bytes and n_bytes > 0").count() == 2202
+
+
 def test_language_model(rows, docs, empty):
     import zlib
 
