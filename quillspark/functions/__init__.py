@@ -70,11 +70,3 @@ def clean_page(c: Column) -> Column:
     out = F.regexp_replace(out, r"(?m)^[ \t]*[0-9]{1,3}[ \t]*$", " ")
     out = F.regexp_replace(out, r"[ \t]+", " ")
     return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
-
-
-def short_id(*parts: Column) -> Column:
-    return F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 12)
-
-
-def preview(c: Column, n: int = 90) -> Column:
-    return F.substring(c, 1, n)

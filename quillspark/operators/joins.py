@@ -94,8 +94,3 @@ def glossary(terms: DataFrame, lang: str, subject: str, most: int = 60) -> DataF
     fit = have.withColumn("_fit", F.col("subject").isNull() | (F.col("subject") == subject))
     some = fit.agg(F.max("_fit").alias("_any"))
     return fit.join(some).filter(F.col("_fit") | ~F.col("_any")).orderBy("term_en").limit(most).drop("_fit", "_any")
-
-
-def newest_by(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(order)
-    return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -120,11 +120,6 @@ def palette(rows: DataFrame) -> DataFrame:
     return rows.withColumn("state", state).groupBy("attempt_id").pivot("state", STATES).count().na.fill(0)
 
 
-def upper_median(c: str):
-    """The upper middle of the sorted values."""
-    return F.try_element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
-
-
 def latency(runs: DataFrame, key: str, value: str) -> DataFrame:
     """Upper median by counting each distinct value, so no group's values meet in one task; totals and mean."""
     by = runs.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))

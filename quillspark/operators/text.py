@@ -297,7 +297,7 @@ def repeats(questions: DataFrame, threshold: float = 0.82, least: int = 40) -> D
 
 
 #: What a stem about the teaching act says, and what makes it content all the same.
-PEDAGOGY = r"(?i)(^|[^a-z])(teacher|teaching|taught|classroom|class room|pupils?|learners?|students? (should|can|are|were|will|may)|assess|assessment|lesson|curriculum|project method|group work|critical thinking|rubric|portfolio|formative|summative)([^a-z]|$)"
+PEDAGOGY = r"(?i)(^|[^a-z])(teacher|teaching|taught|classroom|class room|pupils?|learners?|students? (should|can|are|were|will|may)|assess|assessment|evaluat|which (question|activity|method|strategy|approach)|lesson|pedagog|curriculum|textbook should|project method|group work|higher.order|critical thinking|rubric|portfolio|formative|summative)([^a-z]|$)"
 STRONG = r"(?i)(^|[^a-z0-9])(1[0-9]{3}|harappa|mohenjo|ashoka|akbar|mughal|gandhi|ambedkar|phule|periyar|sepoy|mangal pandey|chola|gupta|maurya|sultanate|plassey|buxar|diwani|latitude|longitude|equator|monsoon)([^a-z0-9]|$)"
 
 

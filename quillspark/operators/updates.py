@@ -88,7 +88,3 @@ def apply_mistake_cmds(mistakes: DataFrame, commands: DataFrame) -> DataFrame:
 def replay(audits: DataFrame) -> DataFrame:
     """Current value of each row's field: the newest entry of the log. audits: id, field, new_value, at."""
     return audits.groupBy("id", "field").agg(F.max_by("new_value", "at").alias("value"), F.count(F.lit(1)).alias("changes"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(Column.__or__, conditions)

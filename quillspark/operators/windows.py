@@ -75,18 +75,28 @@ def session_digest(turns: DataFrame, keep: int = 50) -> DataFrame:
     return out.select("conv_id", F.when(F.char_length("t") > 42, F.concat(F.substring("t", 1, 42), F.lit("…"))).otherwise(F.col("t")).alias("title"), "turns", F.least("turns", F.lit(keep)).cast("long").alias("kept"), "last_turn")
 
 
-def budget_fill(items: DataFrame, key: str, budget: str, most: int = 100) -> DataFrame:
+def budget_fill(items: DataFrame, key: str, budget: str) -> DataFrame:
     """Items (key, place, id, cost) in order of place while the budget lasts: what overflows is skipped, the first is always taken.
 
-    Only a key's first ``most`` places are candidates: a plan has a handful."""
-    from quillspark.operators.selection import first_per
-
-    near = first_per(items, [key], ["place", "id"], most, "_rn")
-    each = near.groupBy(key).agg(F.max(budget).alias("_budget"), F.array_sort(F.collect_list(F.struct("place", "id", "cost"))).alias("_items"))
-    zero = F.struct(F.lit(0).cast("double").alias("spent"), F.array().cast("array<string>").alias("ids"))
-    fold = F.aggregate(
-        "_items",
-        zero,
-        lambda a, x: F.when((F.size(a["ids"]) > 0) & (a["spent"] + x["cost"] > F.col("_budget")), a).otherwise(F.struct((a["spent"] + x["cost"]).alias("spent"), F.concat(a["ids"], F.array(x["id"])).alias("ids"))),
-    )
-    return each.withColumn("_f", fold).select(key, F.array_join("_f.ids", ",").alias("taken"), F.col("_f.spent").alias("spent"))
+    A key's items are read in order and never held together, however many there are."""
+    import pandas as pd
+
+    def fold(batches):
+        now, spent, ids = None, 0.0, []
+        for b in batches:
+            out = []
+            for k, left, name, cost in zip(b["k"], b["left"], b["id"], b["cost"], strict=True):
+                if k != now:
+                    if ids:
+                        out.append((now, ",".join(ids), spent))
+                    now, spent, ids = k, 0.0, []
+                if not ids or spent + cost <= left:
+                    spent += cost
+                    ids.append(name)
+            yield pd.DataFrame(out, columns=["k", "taken", "spent"])
+        if ids:
+            yield pd.DataFrame([(now, ",".join(ids), spent)], columns=["k", "taken", "spent"])
+
+    rows = items.select(F.col(key).alias("k"), "place", F.col("id").cast("string").alias("id"), F.col("cost").cast("double").alias("cost"), F.col(budget).cast("double").alias("left")).filter("k is not null")
+    sorted_ = rows.repartition("k").sortWithinPartitions("k", "place", "id")
+    return sorted_.mapInPandas(fold, f"k {items.schema[key].dataType.simpleString()}, taken string, spent double").withColumnRenamed("k", key)

@@ -63,27 +63,52 @@ def i5(t):
     return op.describe_set(t.pool.select(ids.alias("set_id"), F.col("size").alias("questions"), F.when(F.col("size") % 2 == 0, 30).alias("section_minutes")))
 
 
+#: User -1 has sat every paper and made no mistake.
 def _plan(t):
-    users = t.raw("events").select("user_id").distinct().withColumn("budget", (F.lit(15) + F.col("user_id") % 4 * 15).cast("double"))
-    papers = t.attempts.select("paper_no").distinct().withColumn("duration", (F.col("paper_no") % 3 + 1) * 10)
-    detail = t.mistakes.filter("user_id % 3 != 0").join(t.raw("part").select(F.col("p_partkey").alias("question_no"), F.col("p_type").alias("subject"), F.col("p_brand").alias("topic_id")), "question_no")
-    return users, papers, t.attempts, detail
-
-
-@query(
-    "p1_plan_items",
-    """, users AS (SELECT DISTINCT user_id FROM events), bank AS (SELECT DISTINCT paper_no, (paper_no % 3 + 1) * 10 AS duration FROM attempts), d AS (SELECT m.user_id, p_type AS subject, p_brand AS topic_id FROM mistakes m JOIN part ON p_partkey = question_no WHERE m.user_id % 3 <> 0),
-g AS (SELECT user_id, subject, topic_id, count(*) AS n FROM d GROUP BY 1, 2, 3), tt AS (SELECT user_id, sum(n) AS every_n, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS again FROM g GROUP BY 1),
-s AS (SELECT user_id, subject, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, subject) AS rn FROM d GROUP BY 1, 2),
-f AS (SELECT user_id, min(paper_no) AS paper_no FROM users CROSS JOIN bank b WHERE NOT EXISTS (SELECT 1 FROM attempts a WHERE a.user_id = users.user_id AND a.paper_no = b.paper_no) GROUP BY 1)
-SELECT user_id, 1 AS place, CASE WHEN again > 0 THEN 'fix-repeated' ELSE 'fix-recent' END AS id, 'fix' AS kind, CAST(CASE WHEN again > 0 THEN least(15, greatest(5, floor(CAST(again * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) ELSE least(10, greatest(5, floor(CAST(every_n * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) END AS DOUBLE) AS cost, CASE WHEN again > 0 THEN 'MISSED_TWICE' ELSE 'RECENT_MISTAKE' END AS code FROM tt
-UNION ALL SELECT user_id, CAST(rn + 1 AS INTEGER), 'practice-' || subject, 'practice', 15e0, 'HIGH_WEIGHTAGE' FROM s WHERE rn <= 2
-UNION ALL SELECT user_id, 4, 'paper-' || CAST(paper_no AS VARCHAR), 'practice', CAST(duration AS DOUBLE), 'NEVER_SEEN' FROM f JOIN bank USING (paper_no)""",
-)
+    u = F.col("user_id")
+    users = t.raw("events").select("user_id").distinct().union(t.spark.createDataFrame([(-1,)], "user_id long")).withColumn("budget", F.when(u % 5 != 0, (F.lit(15) + u % 4 * 15).cast("double")))
+    n = F.col("paper_no")
+    papers = t.attempts.select("paper_no").distinct().select("paper_no", F.concat(F.lit("PAPER_"), n.cast("string")).alias("paper_type"), ((n % 3 + 1) * 10).alias("duration"), (n % 7 + 20).alias("total_questions"))
+    whole = papers.select(F.lit(-1).cast("long"), "paper_no", F.lit(None).cast("long"), F.lit(None).cast("int"))
+    q = F.col("question_no")
+    detail = t.mistakes.filter("user_id % 3 != 0").join(t.raw("part").select(F.col("p_partkey").alias("question_no"), F.col("p_type").alias("type"), F.col("p_brand").alias("topic_id")), "question_no")
+    detail = detail.select("user_id", F.when(q % 5 != 0, F.col("type")).alias("subject"), F.when(q % 3 != 0, "I").alias("part"), "topic_id", "created_ms")
+    subjects = t.pool.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("I"))
+    return users, papers, t.attempts.select("user_id", "paper_no", "score", "max_score").union(whole), detail, subjects
+
+
+_ITEMS = """, users AS (SELECT user_id, CASE WHEN user_id % 5 <> 0 THEN CAST(15 + user_id % 4 * 15 AS DOUBLE) END AS budget FROM (SELECT DISTINCT user_id FROM events UNION ALL SELECT -1)), bank AS (SELECT DISTINCT paper_no, (paper_no % 3 + 1) * 10 AS duration FROM attempts), sat AS (SELECT user_id, paper_no, score, max_score FROM attempts UNION ALL SELECT -1, paper_no, NULL, NULL FROM bank),
+d AS (SELECT m.user_id, coalesce(CASE WHEN question_no % 5 <> 0 THEN p_type END, 'Part ' || CASE WHEN question_no % 3 <> 0 THEN 'I' END, 'Unsorted') AS subject, p_brand AS topic_id, created_ms FROM mistakes m JOIN part ON p_partkey = question_no WHERE m.user_id % 3 <> 0),
+g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, latest DESC, subject, topic_id) AS spot FROM (SELECT user_id, subject, topic_id, count(*) AS n, max(created_ms) AS latest FROM d GROUP BY 1, 2, 3)),
+tt AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS every_n, CAST(sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS BIGINT) AS again, max(n) AS most, arg_min(subject, spot) AS worst FROM g GROUP BY 1),
+s AS (SELECT user_id, subject, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, subject) AS rn, CAST(floor(count(*) * 100e0 / sum(count(*)) OVER (PARTITION BY user_id) + 0.5e0) AS BIGINT) AS pct FROM d GROUP BY 1, 2),
+f AS (SELECT user_id, min(paper_no) AS paper_no FROM users CROSS JOIN bank b WHERE NOT EXISTS (SELECT 1 FROM sat a WHERE a.user_id = users.user_id AND a.paper_no = b.paper_no) GROUP BY 1),
+cand AS (SELECT tt.user_id, 1 AS place, CASE WHEN again > 0 THEN 'fix-repeated' ELSE 'fix-recent' END AS id, 'fix' AS kind, CAST(CASE WHEN again > 0 THEN least(15, greatest(5, floor(CAST(again * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) ELSE least(10, greatest(5, floor(CAST(every_n * 45 AS DOUBLE) / 60 / 5 + 0.5) * 5)) END AS DOUBLE) AS cost,
+  worst AS title, CAST(CASE WHEN again > 0 THEN again ELSE every_n END AS VARCHAR) AS detail, CASE WHEN again > 0 THEN 'MISSED_TWICE' ELSE 'RECENT_MISTAKE' END AS code, CASE WHEN again > 0 THEN most END AS param FROM tt JOIN users USING (user_id)
+UNION ALL SELECT user_id, CAST(rn + 1 AS INTEGER), 'practice-' || subject, 'practice', 15e0, subject, '12', 'HIGH_WEIGHTAGE', pct FROM s JOIN users USING (user_id) WHERE rn <= 2
+UNION ALL SELECT user_id, 4, 'paper-' || CAST(paper_no AS VARCHAR), 'practice', CAST(duration AS DOUBLE), 'PAPER ' || CAST(paper_no AS VARCHAR), CAST(paper_no % 7 + 20 AS VARCHAR), 'NEVER_SEEN', NULL FROM f JOIN bank USING (paper_no)),
+learn AS (SELECT subject, count(*) AS n FROM pool GROUP BY 1 ORDER BY 1 LIMIT 1),
+items AS (SELECT * FROM cand UNION ALL SELECT user_id, 5, 'learn-first', 'learn', 15e0, subject, CAST(n AS VARCHAR), 'NEVER_SEEN', NULL FROM users CROSS JOIN learn WHERE user_id NOT IN (SELECT user_id FROM cand))"""
+
+
+@query("p1_plan_items", _ITEMS + " SELECT user_id, place, id, kind, cost, title, detail, code, param FROM items")
 def p1(t):
     return op.plan_items(*_plan(t))
 
 
-@query("p1_daily_plan")
+@query(
+    "p1_daily_plan",
+    _ITEMS
+    # Five items at most: the fill, one item after the other.
+    + """, o AS (SELECT user_id, id, cost, coalesce(budget, 30) AS budget, row_number() OVER (PARTITION BY user_id ORDER BY place, id) AS rn FROM items JOIN users USING (user_id)),
+f1 AS (SELECT user_id, budget, cost AS spent, id AS taken FROM o WHERE rn = 1), """
+    + ", ".join(
+        f"f{n} AS (SELECT f.user_id, f.budget, CASE WHEN f.spent + o.cost <= f.budget THEN f.spent + o.cost ELSE f.spent END AS spent, CASE WHEN f.spent + o.cost <= f.budget THEN f.taken || ',' || o.id ELSE f.taken END AS taken FROM f{n - 1} f LEFT JOIN o ON o.user_id = f.user_id AND o.rn = {n})"
+        for n in range(2, 6)
+    )
+    + """, wk AS (SELECT user_id, string_agg(subject || ':' || CAST(n AS VARCHAR), '|' ORDER BY spot) FILTER (WHERE spot <= 3) AS weak_areas, CAST(sum(n) AS BIGINT) AS mistakes FROM g GROUP BY 1),
+sc AS (SELECT user_id, CAST(floor(avg(CAST(coalesce(score, 0) AS DOUBLE) / max_score) * 100 + 0.5e0) AS BIGINT) AS overall_pct, count(*) AS attempts FROM sat WHERE max_score > 0 GROUP BY 1)
+SELECT user_id, coalesce(spent, 0e0) AS minutes, coalesce(taken, '') AS items, coalesce(weak_areas, '') AS weak_areas, overall_pct, coalesce(attempts, 0) AS attempts, coalesce(mistakes, 0) AS mistakes FROM users LEFT JOIN f5 USING (user_id) LEFT JOIN wk USING (user_id) LEFT JOIN sc USING (user_id)""",
+)
 def p1_plan(t):
     return op.daily_plan(*_plan(t))

@@ -227,7 +227,13 @@ def w11(t):
     return win.session_digest(t.raw("conversations"))
 
 
-@query("w12_budget_fill")
+@query(
+    "w12_budget_fill",
+    """WITH RECURSIVE items AS (SELECT o_custkey AS user_id, CAST(o_orderkey AS VARCHAR) AS id, floor(o_totalprice / 10000) AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+f AS (SELECT user_id, rn, CAST(cost AS DOUBLE) AS spent, id AS taken FROM items WHERE rn = 1 UNION ALL SELECT i.user_id, i.rn, CASE WHEN f.spent + i.cost <= 60 THEN f.spent + i.cost ELSE f.spent END, CASE WHEN f.spent + i.cost <= 60 THEN f.taken || ',' || i.id ELSE f.taken END FROM f JOIN items i ON i.user_id = f.user_id AND i.rn = f.rn + 1)
+SELECT user_id, arg_max(taken, rn) AS taken, max(spent) AS spent FROM f GROUP BY 1""",
+    prelude=False,
+)
 def w12(t):
     items = t.raw("orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").cast("string").alias("id"), (F.floor(F.col("o_totalprice") / 10000)).cast("double").alias("cost"), F.lit(60.0).alias("budget"))
     return win.budget_fill(items, "user_id", "budget")

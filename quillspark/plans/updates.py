@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from quillspark.operators import updates as op
 from quillspark.plans import query
 
-_OLD = """WITH prior AS (SELECT doc_id AS id, substr(text, 1, 30) AS stem, doc_id % 4 AS correct, CASE doc_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS review_status, 'r' || CAST(doc_id % 7 AS VARCHAR) AS reviewer, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS note, 't' || CAST(doc_id % 5 AS VARCHAR) AS topic_id FROM documents WHERE doc_id % 10 <> 9),
-incoming AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 'changed' ELSE substr(text, 1, 30) END AS stem, CASE WHEN doc_id % 11 = 0 THEN 9 ELSE doc_id % 4 END AS correct FROM documents WHERE doc_id % 10 <> 8),
+_OLD = """WITH prior AS (SELECT doc_id AS id, text AS stem, doc_id % 4 AS correct, CASE doc_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS review_status, 'r' || CAST(doc_id % 7 AS VARCHAR) AS reviewer, CASE WHEN doc_id % 2 = 0 THEN 'seen' END AS note, 't' || CAST(doc_id % 5 AS VARCHAR) AS topic_id FROM documents WHERE doc_id % 10 <> 9),
+incoming AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN 'changed' ELSE text END AS stem, CASE WHEN doc_id % 11 = 0 THEN 9 ELSE doc_id % 4 END AS correct FROM documents WHERE doc_id % 10 <> 8),
 m AS (SELECT i.*, p.stem AS p_stem, p.correct AS p_correct, p.review_status, p.reviewer, p.note, p.topic_id, p.review_status IS NULL AS fresh, coalesce((i.stem IS DISTINCT FROM p.stem OR i.correct IS DISTINCT FROM p.correct) AND p.review_status <> 'pending', false) AS undone FROM incoming i LEFT JOIN prior p USING (id)) """
 
 
 def _versions(t):
     d = F.col("doc_id")
-    base = t.docs.select(d, F.substring("text", 1, 30).alias("stem"), (d % 4).alias("correct"))
+    base = t.docs.select(d, F.col("text").alias("stem"), (d % 4).alias("correct"))
     prior = base.filter(d % 10 != 9).select(d.alias("id"), "stem", "correct", F.when(d % 3 == 0, "approved").when(d % 3 == 1, "rejected").otherwise("pending").alias("review_status"), F.concat(F.lit("r"), (d % 7).cast("string")).alias("reviewer"), F.when(d % 2 == 0, "seen").alias("note"), F.concat(F.lit("t"), (d % 5).cast("string")).alias("topic_id"))
     incoming = base.filter(d % 10 != 8).select(d.alias("id"), F.when(d % 8 == 0, "changed").otherwise(F.col("stem")).alias("stem"), F.when(d % 11 == 0, 9).otherwise(F.col("correct")).alias("correct"))
     return prior, incoming
