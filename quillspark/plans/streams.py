@@ -18,7 +18,7 @@ _RESPONSES = "SELECT attempt_id, question_no, user_id, raw_chosen, visited, mark
 
 @query("st1_fold_responses", _RESPONSES)
 def st1(t):
-    return op.settle(op.fold_responses(_stream(t)), ["attempt_id", "question_no"], "responses")
+    return op.stream_responses(_stream(t))
 
 
 @query("st1_fold_responses_at_rest", _RESPONSES)

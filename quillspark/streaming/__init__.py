@@ -7,30 +7,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 
-def fold_responses(commands: DataFrame) -> DataFrame:
-    """State of each (attempt, question): the last explicit choice or clearing, the last mark, whether visited, time spent.
-
-    Ordered by time and id inside the aggregates, so rows may come in any order and any batches."""
+def partial_responses(commands: DataFrame) -> DataFrame:
+    """What a set of commands says of each (attempt, question): the last choice and mark with their times, sums and maxima."""
     at = F.col("ms") * 1000000 + F.col("event_id")
     kind = F.col("event_type")
     choice, mark = kind.isin("click", "error"), kind.isin("purchase", "signup")
     return commands.groupBy("attempt_id", "question_no").agg(
         F.min("user_id").alias("user_id"),
+        F.max(F.when(choice, at)).alias("chosen_at"),
         F.max_by(F.when(kind == "click", F.col("chosen")).otherwise(""), F.when(choice, at)).alias("raw_chosen"),
         F.max(F.when(kind == "view", 1).otherwise(0)).alias("visited"),
-        F.coalesce(F.max_by(F.when(kind == "purchase", 1).otherwise(0), F.when(mark, at)), F.lit(0)).alias("marked"),
+        F.max(F.when(mark, at)).alias("marked_at"),
+        F.max_by(F.when(kind == "purchase", 1).otherwise(0), F.when(mark, at)).alias("marked"),
         F.sum("time_ms").alias("time_ms"),
         F.max("ms").alias("last_ms"),
     )
 
 
+def merged_responses(partial: DataFrame) -> DataFrame:
+    """State of each (attempt, question): the last explicit choice or clearing, the last mark, whether visited, time spent."""
+    return partial.groupBy("attempt_id", "question_no").agg(
+        F.min("user_id").alias("user_id"),
+        F.max_by("raw_chosen", "chosen_at").alias("raw_chosen"),
+        F.max("visited").alias("visited"),
+        F.coalesce(F.max_by("marked", "marked_at"), F.lit(0)).alias("marked"),
+        F.sum("time_ms").alias("time_ms"),
+        F.max("last_ms").alias("last_ms"),
+    )
+
+
+def fold_responses(commands: DataFrame) -> DataFrame:
+    """The state of each (attempt, question) at rest; rows may come in any order."""
+    return merged_responses(partial_responses(commands))
+
+
 def open_stream(spark, path: str, schema) -> DataFrame:
     """Rows of a Parquet table, a file or a folder given by a pattern, as a stream."""
     return spark.readStream.schema(schema).parquet(path)
 
 
-def settle(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -> DataFrame:
-    """Run a stream over all that is there and return the last row of each key.
+def batches(stream: DataFrame, tag: str, mode: str = "update", made=lambda batch: batch) -> DataFrame:
+    """Run a stream over all that is there; of each batch, what ``made`` makes of it, with the column batch.
 
     Each batch is a table of its own under its number, so a batch that runs again replaces itself."""
     from quillspark.sources.folders import scratch
@@ -39,15 +56,28 @@ def settle(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -
     path = scratch(spark, tag)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        made(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", scratch(spark, f"{tag}-log")).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(path)
+    shape = made(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(StructType([*shape.fields, StructField("batch", IntegerType())])).parquet(path)
+
+
+def settle(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that is there and return the last row of each key."""
+    rows = batches(stream, tag, mode)
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")) if rest else rows.select(*keys).distinct()
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
+def stream_responses(commands: DataFrame) -> DataFrame:
+    """The state of each (attempt, question) after a stream: batches are folded each by itself and merged at rest.
+
+    No state is kept between batches, so none has to end, and commands of any lateness count."""
+    return merged_responses(batches(commands, "responses", "append", partial_responses))
+
+
 OPENS, CLOSES = ("view", "signup"), ("error",)
 
 
@@ -62,29 +92,48 @@ def fold_time(commands: DataFrame) -> DataFrame:
     return commands.select("attempt_id", step.alias("step"), "ms").groupBy("attempt_id").agg(F.sum("step").alias("active_ms"), F.max("ms").alias("last_ms"))
 
 
-def stream_time(commands: DataFrame) -> DataFrame:
-    """The same for a stream: time, last command and whether it is open are the state of each attempt."""
+def stream_time(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """The same for a stream, whatever order commands of the last ``delay`` come in.
+
+    State of an attempt: what is folded, up to the watermark, and its commands since, which are folded anew for each row
+    given out. Commands older than what is folded come too late and are left out."""
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
     class TimeFold(StatefulProcessor):
         def init(self, handle):
-            self.state = handle.getValueState("time", "active_ms long, last_ms long, is_open boolean")
+            self.folded = handle.getValueState("folded", "active_ms long, last_ms long, is_open boolean")
+            self.waiting = handle.getListState("waiting", "ms long, event_id long, event_type string")
 
         def handleInputRows(self, key, rows, timer):
-            spent, last, is_open = self.state.get() if self.state.exists() else (0, None, False)
-            for r in pd.concat(list(rows)).sort_values(["ms", "event_id"]).itertuples():
-                if is_open and last is not None:
-                    spent += int(r.ms) - last
-                last = int(r.ms)
-                is_open = True if r.event_type in OPENS else False if r.event_type in CLOSES else is_open
-            self.state.update((spent, last, is_open))
-            yield pd.DataFrame({"attempt_id": [key[0]], "active_ms": [spent], "last_ms": [last]})
+            state = self.folded.get() if self.folded.exists() else (0, None, False)
+            frontier = state[1]
+            held = list(self.waiting.get()) if self.waiting.exists() else []
+            new = pd.concat(list(rows))
+            held += [(int(m), int(e), str(k)) for m, e, k in zip(new["ms"], new["event_id"], new["event_type"], strict=True) if frontier is None or m > frontier]
+            held.sort()
+            mark, state_now = timer.getCurrentWatermarkInMs(), state
+            left = []
+            for ms, event, kind in held:
+                spent, last, is_open = state_now
+                state_now = (spent + (ms - last if is_open and last is not None else 0), ms, True if kind in OPENS else False if kind in CLOSES else is_open)
+                if ms < mark:
+                    state = state_now
+                else:
+                    left.append((ms, event, kind))
+            if state[1] is not None:
+                self.folded.update(state)
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+            yield pd.DataFrame({"attempt_id": [key[0]], "active_ms": [state_now[0]], "last_ms": pd.array([state_now[1]], dtype="Int64")})
 
         def close(self):
             pass
 
-    return commands.groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=TimeFold(), outputStructType="attempt_id string, active_ms long, last_ms long", outputMode="Update", timeMode="None")
+    at = commands.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
+    return at.groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=TimeFold(), outputStructType="attempt_id string, active_ms long, last_ms long", outputMode="Update", timeMode="EventTime")
 
 
 def mistake_sink(commands: DataFrame, delay: str = "1 day") -> DataFrame:
