@@ -8,8 +8,10 @@ one source (one bitmap for each further piece).
 
 Rows are dealt into shards by their hash, each of about ``shard_rows`` rows, whatever the input's size; a shard is packed
 by itself and costs at most one unfilled bin's tail. A source or cluster that a third of all rows share is spread over all
-shards. Null and empty texts have no words and get no bin (piece -1). Null sources count as one source. Rows that are the
-same in every column fall in one shard and, being of one cluster, in different bins. An empty table gives an empty result.
+shards, and so are rows that are the same. Equal texts without blanks and case are one cluster, so they never share a bin;
+near copies are for the caller's ``cluster`` to tell. Null and empty texts have no words and get no bin (piece -1). Null
+sources count as one source, null ids are ids like others. Other columns are not looked at; bins are the same however rows
+are dealt over tasks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import BLANK, lowered, n_words
+from .base import BLANK, lowered, n_words, stored
 
 CAPACITY = 2048
 SHARD_ROWS = 2048
@@ -59,7 +61,7 @@ def pack(sizes, sources, clusters, capacity: int, per_source: int) -> list[int]:
 
 def _packer(capacity: int, per_source: int):
     def shard(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["words", "doc_id", "cluster"], ascending=[False, True, True], kind="stable", na_position="last")
+        rows = rows.sort_values(["words", "doc_id", "cluster", "source_key", "copy"], ascending=[False, True, True, True, True], kind="stable", na_position="last")
         rows["bin"] = pack(rows["words"].tolist(), rows["source_key"].tolist(), rows["cluster"].tolist(), capacity, per_source)
         rows["bin_id"] = [f"s{key[0]}-{b}" for b in rows["bin"]]
         return rows[["doc_id", "source", "cluster", "piece", "first_word", "words", "bin_id"]]
@@ -76,13 +78,16 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     cluster: duplicate cluster of a row, a long; by default equal texts but for case and blanks."""
     own = cluster if cluster is not None else cluster_of(F.col(text))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), own.cast("long").alias("cluster"), n_words(F.col(text)).alias("size"))
-    n = docs.count()
-    shards = max(1, -(-n // shard_rows))
-    full = rows.filter(F.col("size") >= capacity).select("doc_id", "source", "cluster", F.monotonically_increasing_id().alias("row"), F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
-    # The row's number keeps the bins of repeated rows apart.
-    full = full.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"), F.lit(capacity).cast("long").alias("words"), F.concat_ws("-", F.lit("f"), F.col("row").cast("string"), F.col("piece").cast("string")).alias("bin_id"))
-    rest = rows.filter((F.col("size") % capacity > 0)).select("doc_id", "source", "cluster", F.floor(F.col("size") / capacity).cast("int").alias("piece"), (F.floor(F.col("size") / capacity) * capacity).cast("long").alias("first_word"), (F.col("size") % capacity).cast("long").alias("words"))
-    dealt = rest.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))})
+    # Rows that are the same count once until here, and are told apart by a number from here on, whatever task has them.
+    sizes = stored(rows.groupBy("doc_id", "source", "cluster", "size").agg(F.count(F.lit(1)).alias("times")), "sizes")
+    shards = max(1, -(-(sizes.agg(F.sum("times").alias("n")).first()["n"] or 0) // shard_rows))
+    each = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    whole = F.floor(F.col("size") / capacity)
+    name = F.concat_ws("-", F.lit("f"), F.hex(F.xxhash64("doc_id", "source", "cluster", "size")), F.col("copy").cast("string"), F.col("piece").cast("string"))
+    full = each.filter(F.col("size") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))))
+    full = full.select("doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).cast("long").alias("first_word"), F.lit(capacity).cast("long").alias("words"), name.alias("bin_id"))
+    rest = each.filter((F.col("size") % capacity > 0)).select("doc_id", "source", "cluster", "copy", whole.cast("int").alias("piece"), (whole * capacity).cast("long").alias("first_word"), (F.col("size") % capacity).cast("long").alias("words"))
+    dealt = rest.withColumns({"shard": F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)), "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))})
     packed = dealt.groupBy("shard").applyInPandas(_packer(capacity, per_source), OUT)
-    none = rows.filter(F.col("size") == 0).select("doc_id", "source", "cluster", F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("string").alias("bin_id"))
+    none = each.filter(F.col("size") == 0).select("doc_id", "source", "cluster", F.lit(-1).alias("piece"), F.lit(0).cast("long").alias("first_word"), F.lit(0).cast("long").alias("words"), F.lit(None).cast("string").alias("bin_id"))
     return packed.union(full).union(none)
