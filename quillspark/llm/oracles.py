@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from .licenses import COPYRIGHT, EQUIVALENT, KNOWN
+from .licenses import COPYRIGHT, DIGESTS, EQUIVALENT, KNOWN
 from .quality import GRIDS
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +22,7 @@ def _canonical(text: str) -> str:
     return f"trim({out})"
 
 
-LICENSES = f"""WITH known AS (SELECT license, sha256({_canonical("text")}) AS digest FROM (VALUES {",".join(f"({_quoted(a)}, {_quoted(t)})" for a, _, t in KNOWN)}) v(license, text)),
+LICENSES = f"""WITH known AS (SELECT license, sha256({_canonical("text")}) AS digest FROM (VALUES {",".join(f"({_quoted(a)}, {_quoted(t)})" for a, _, t in KNOWN)}) v(license, text) UNION ALL SELECT * FROM (VALUES {",".join(f"({_quoted(n)}, {_quoted(d)})" for n, d in DIGESTS)}) w(license, digest)),
 lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls, coalesce(text, '') AS text FROM documents),
 units AS (SELECT doc_id, 'text' AS unit, 0 AS line_no, text FROM lines UNION ALL SELECT doc_id, 'line', CAST(generate_subscripts(ls, 1) AS INTEGER), unnest(ls) FROM lines)
 SELECT doc_id, unit, line_no, digest, license FROM (SELECT doc_id, unit, line_no, sha256({_canonical("text")}) AS digest FROM units) JOIN known USING (digest)"""
