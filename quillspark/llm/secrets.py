@@ -9,7 +9,8 @@ limits, and not under the limit for a transition that errs least on a fifth of t
 
 The training sample is the documents of the ``sample_docs`` smallest hashed ids (a documented bound; repeated rows count
 once); the scan covers every document and its whole text. Everything is DataFrame expressions. A null text counts as empty: no spans. Repeated
-rows are scanned each on its own; an empty table gives an empty result; other columns of the input are not looked at.
+rows are scanned each on its own, null ids are ids like others; an empty table gives an empty result; other columns of the input
+are not looked at. Places of matches are sums in blocks, so the work for a text grows about with its length and matches.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .base import stored
+
 KINDS = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
     "access": r"AKIA[A-Z0-9]+",
@@ -53,19 +56,32 @@ SHAPES = r"[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+){2,}|[A-Z]{5,}|[A-Za-z]+(?:_[A-
 SPAN = "array<struct<start:int,end:int,kind:int,text:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(numbers: Column, join) -> Column:
+    """For each of some whole numbers, all before it joined to one (0: none). In blocks of about the root of their count, so long arrays cost little more than short ones."""
+    numbers_type, kept = "array<int>", "struct<at:int,out:array<int>>"
+    start = lambda at: F.struct(at.cast("int").alias("at"), F.array().cast(numbers_type).alias("out")).cast(kept)
+    step = lambda acc, x: F.struct(join(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")).cast(kept)
+    run = lambda xs, at: F.aggregate(xs, start(at), step, lambda acc: acc["out"])
+
+    def blocks(xs: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        at = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / width).cast("int") - 1)), lambda i: i * width < F.size(xs))
+        return F.transform(at, lambda i: F.slice(xs, i * width + 1, width))
+
+    whole = lambda block: F.aggregate(block, F.lit(0), lambda acc, x: join(acc, x).cast("int"))
+    return _let(numbers, lambda xs: _let(blocks(xs), lambda bs: F.flatten(F.zip_with(bs, run(F.transform(bs, whole), F.lit(0)), run))))
+
+
 def _starts(pieces: Column, found: Column) -> Column:
     """From the pieces between matches and the matches themselves: where each match starts and ends."""
-    pairs = F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m"), m.alias("text")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
-    return F.aggregate(
-        F.filter(pairs, lambda x: x["m"].isNotNull()),
-        zero,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["p"] + x["m"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"), x["text"].alias("text")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pairs = F.filter(F.zip_with(pieces, found, lambda p, m: F.struct(F.char_length(p).alias("p"), F.char_length(m).alias("m"), m.alias("text"))), lambda x: x["m"].isNotNull())
+    placed = lambda x, at: F.struct((at + x["p"]).alias("start"), (at + x["p"] + x["m"]).alias("end"), x["text"].alias("text"))
+    return _let(pairs, lambda ps: F.zip_with(ps, _before(F.transform(ps, lambda x: x["p"] + x["m"]), lambda a, b: a + b), placed))
 
 
 def _spans(text: Column, kind: str) -> Column:
@@ -163,11 +179,25 @@ def limit(strings: DataFrame, model: list[float], least: int) -> float:
     return max(range(min(bins)[0], max(bins)[0] + 1), key=lambda cut: (-wrong(cut), cut)) / 20
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """Spans that overlap none of the others: of the others that start before a span's end, none ends after its start."""
+    event = lambda s, at, last, order: F.struct(at.alias("at"), F.lit(order).alias("order"), last.alias("last"), s.alias("span"))
+    zero = F.lit(0)
+    events = F.array_sort(F.concat(F.transform(spans, lambda s: event(s, s["end"], zero, 0)), F.transform(others, lambda s: event(s, s["start"], s["end"], 1))))
+
+    def kept(es: Column) -> Column:
+        reach = _before(F.transform(es, lambda e: e["last"]), lambda a, b: F.greatest(a, b))
+        pairs = F.zip_with(es, reach, lambda e, r: F.struct(e.alias("e"), r.alias("r")))
+        return F.transform(F.filter(pairs, lambda p: (p["e"]["order"] == 0) & (p["r"] <= p["e"]["span"]["start"])), lambda p: p["e"]["span"])
+
+    return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(_let(events, kept))
+
+
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 20, nats: float = 12.0, per_step: float = 0.4, sample_docs: int = 1000) -> DataFrame:
     """docs with the column ``secret_spans``: array of (start, end, kind number, text), by start and kind; code points, end exclusive.
 
     Kind numbers follow KINDS, then 3 for strings the model finds (``least`` characters or more, none overlapping a base span)."""
-    strings = labelled(docs, text, doc_id, sample_docs)
+    strings = stored(labelled(docs, text, doc_id, sample_docs), "labelled")
     model = train(strings)
     per_step = max(per_step, limit(strings, model, least))
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -178,7 +208,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int
     shaped = F.transform(likely, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lit(3).alias("kind"), t["text"].alias("text"))).cast(SPAN)
     tokens = F.when(F.coalesce(whole.rlike(pattern), F.lit(False)), shaped).otherwise(F.array().cast(SPAN))
     both = base.withColumn("_model", tokens)
-    free = F.filter("_model", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = _apart(F.col("_model"), F.col("_base"))
     return both.withColumn("secret_spans", F.array_sort(F.concat("_base", free), lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])), -1).when((a["start"] == b["start"]) & (a["kind"] == b["kind"]), 0).otherwise(1))).drop("_base", "_model")
 
 
@@ -188,18 +218,26 @@ def described(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of a block of text, from which pieces are cut without counting from the text's start.
+WIDTH = 2048
+
+
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """text with each span replaced; spans that overlap are replaced together."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans,
-        zero,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
-    )
+
+    def cut(blocks: Column, at: Column, size: Column) -> Column:
+        first = F.floor(at / WIDTH).cast("int")
+        held = F.slice(blocks, first + 1, F.floor((at + size) / WIDTH).cast("int") - first + 1)
+        return F.substring(F.array_join(held, ""), at - first * WIDTH + 1, size)
+
+    def masked(blocks: Column) -> Column:
+        kept = lambda s, at: F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"] - at), F.lit(mask))).otherwise("")
+        ends = F.transform(spans, lambda s: s["end"])
+        last = F.coalesce(F.array_max(ends), F.lit(0))
+        pieces = F.zip_with(spans, _before(ends, lambda a, b: F.greatest(a, b)), kept)
+        return F.concat(F.array_join(pieces, ""), cut(blocks, last, F.char_length(text) - last))
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), F.lit(0)), masked)
 
 
 def digest_columns(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
