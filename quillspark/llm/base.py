@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of this machine only where the cluster names none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -5,8 +5,11 @@ rule's; the longest fitting rule wins. URLs joined by a redirect (``http-equiv=r
 table) or by a canonical link stand for the same page: their connected components are found with distributed joins, and
 a URL that no rule fits takes over a decision of its component, allow before block. With neither it is allowed.
 
-Null URLs, and URLs without ``://``, have empty host and path, fit no rule and are allowed. Repeated rows give repeated
-results; an empty table gives an empty result; a link to oneself is no edge. Rules are configuration: a Python list.
+Targets are resolved against the page's URL, or its ``<base href>`` where that is a whole URL: without scheme, from the root,
+or relative to its folder, dots included. Null URLs, and URLs without ``://``, have empty host and path, fit no rule, link with
+nothing and are allowed. Pages without HTML have no links. Repeated rows give repeated results; of rules of one length the later
+in the list wins; columns host, path, rule, verdict and component of the input are replaced. An empty table gives an empty
+result; a link to oneself is no edge. Rules are configuration: a Python list.
 """
 
 from __future__ import annotations
@@ -50,20 +53,37 @@ def judged(h: Column, p: Column, rules: list[tuple[str, str, str]]) -> tuple[Col
     return rule, action
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """The URL that a link's target names on a page of URL base; null for other schemes and bare fragments."""
+    bare = F.regexp_replace(base, r"(?s)[?#].*$", "")
+    head, own = F.regexp_extract(bare, r"(?s)^(.*?://[^/]*)", 1), F.regexp_extract(bare, r"(?s)^.*?://[^/]*(.*)$", 1)
+    query = F.regexp_extract(to, r"(?s)(\?[^#]*)", 1)
+    path = F.regexp_replace(to, r"(?s)[?#].*$", "")
+    folder = F.when(F.contains(own, F.lit("/")), F.regexp_replace(own, r"[^/]*$", "")).otherwise("/")
+    parts = F.split(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(folder, path)), "/", -1)
+    last = F.element_at(parts, -1)
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.concat(acc, F.array(x))))
+    full = F.concat(head, F.array_join(walked, "/"), F.when(last.isin(".", ".."), "/").otherwise(""), query)
+    return (
+        F.when(F.contains(to, F.lit("://")), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (to == "") | F.startswith(to, F.lit("#")), F.lit(None).cast("string"))
+        .when(F.startswith(to, F.lit("?")), F.concat(bare, query))
+        .otherwise(full)
+    )
+
+
 def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Edges (u, v) between page names, from canonical links and refresh redirects of whole pages."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)\brel\s*=\s*["']?canonical\b""")), lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1))
-    refresh = F.transform(F.filter(tags, lambda t: t.rlike(r"""(?is)\bhttp-equiv\s*=\s*["']?refresh\b""")), lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1))
-    marked = pages.filter(F.col(html).rlike(r"""(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)"""))
-    raw = marked.select(F.col(url).alias("url"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to"))
-    head = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    to = (
-        F.when(F.col("to").contains("://"), F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(head, F.col("to")))
-    )
-    return raw.select(node(F.col("url")).alias("u"), node(to).alias("v")).filter("u is not null and v is not null and u != v")
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    value = lambda t, name: F.coalesce(F.nullif(F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*"([^"]*)\"""", 1), F.lit("")), F.nullif(F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*'([^']*)'""", 1), F.lit("")), F.regexp_extract(t, rf"""(?is)\b{name}\s*=\s*([^"'\s>]+)""", 1))
+    plain = lambda x: F.replace(F.trim(x), F.lit("&amp;"), F.lit("&"))
+    canonical = F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<link") & value(t, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")), lambda t: plain(value(t, "href")))
+    refresh = F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<meta") & value(t, "http-equiv").rlike(r"(?i)^\s*refresh\s*$")), lambda t: plain(F.regexp_extract(value(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"'\s]+)""", 1)))
+    base = F.get(F.filter(F.transform(F.filter(tags, lambda t: t.rlike("(?i)^<base")), lambda t: plain(value(t, "href"))), lambda x: F.contains(x, F.lit("://"))), F.lit(0))
+    marked = pages.filter(F.col(html).rlike(r"""(?is)<(?:link|meta)\b[^>]*(?:canonical|refresh)""")).filter(F.contains(F.col(url), F.lit("://")))
+    raw = marked.select(F.col(url).alias("url"), F.coalesce(base, F.col(url)).alias("base"), F.explode(F.array_distinct(F.concat(canonical, refresh))).alias("to"))
+    return raw.select(node(F.col("url")).alias("u"), node(resolved(F.col("base"), F.col("to"))).alias("v")).filter("u is not null and v is not null and u != v")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None, url: str = "url", html: str = "html") -> DataFrame:

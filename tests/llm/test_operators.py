@@ -395,6 +395,28 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty).count() == 0 and secrets.scan(docs).count() == docs.count()
 
 
+def test_fixed_patterns_find_what_a_regex_finds(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.001/documents.parquet")
+    texts = dict(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+    rng = random.Random(9)
+    texts |= {-1: " ".join(f"password={'abcd1234'}{i} {'0123456789abcdef' * 2} AKIA{'X' * 16}" for i in range(3000)), -2: None}
+    texts |= {-3 - i: "".join(rng.choice(["token", ":", "= ", "'", "abcdefgh", "AKIA", "0" * 16, "f" * 17, "K1 ", "é", "API_KEY"]) for _ in range(300)) for i in range(30)}
+    want = {}
+    for i, t in texts.items():
+        spans = []
+        for k, (kind, pattern) in enumerate(secrets.KINDS.items()):
+            group, least, _ = secrets.LEAST[kind]
+            spans += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, t or "", re.A) if len(m.group(group)) >= least]
+        want[i] = hashlib.sha256(",".join(s for *_, s in sorted(spans)).encode()).hexdigest()
+    scanned = secrets.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    got = secrets.digest_columns(scanned).collect()
+    assert {r.doc_id: r.base_sha256 for r in got} == want
+    masked = scanned.filter("doc_id = -1").select(secrets.redact(F.col("text"), F.col("secret_spans")).alias("t")).first().t
+    assert masked == " ".join(["[SECRET] [SECRET] [SECRET]"] * 3000)
+
+
 def test_identifiers_are_not_secrets(spark):
     rng = random.Random(6)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -419,6 +441,68 @@ def test_urls(spark):
     assert urls.filter_urls(df.filter("false")).count() == 0
 
 
+def test_targets_are_resolved_as_urljoin_does(spark):
+    from urllib.parse import urldefrag, urljoin
+
+    bases = ["http://a.org/b/c/d.html?q#f", "http://a.org", "https://a.org/x/"]
+    targets = ["e.html", "../e", "./e/./f", "../../../e", "/g/../h", "//z.org/y", "?p=2", "http://q.org/r", "g?x=../y", "..", ".", "e/"]
+    rows = [(b, t) for b in bases for t in targets]
+    got = [r[0] for r in spark.createDataFrame(rows, "b string, t string").coalesce(1).select(urls.resolved(F.col("b"), F.col("t"))).collect()]
+    want = [urldefrag(urljoin(b, t))[0] for b, t in rows]
+    assert [(*r, g) for r, g, w in zip(rows, got, want, strict=True) if g != w] == []
+    assert [r[0] for r in spark.createDataFrame([("http://a.org/", t) for t in ("mailto:x", "#f", "")], "b string, t string").select(urls.resolved(F.col("b"), F.col("t"))).collect()] == [None] * 3
+
+
+def test_urls_are_judged_as_by_brute_force(spark):
+    from urllib.parse import urljoin
+
+    rng = random.Random(11)
+    hosts = ["a.com", "example.com", "b.example.com", "x.net", "example.net", "o.org", "p.io", "Q.IO"]
+    pages = [(i, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'de/', 'es/', 'zz/'])}{rng.randrange(60, 90)}{rng.choice(['', '?x=1', '#y'])}") for i in range(3000)]
+    names = [u for _, u in pages]
+    rows, edges = [], []
+    node = lambda u: (lambda h, p: h.lower() + p)(*re.match("(.*?://[^/?#]*)(.*)", u.split("#")[0]).groups())
+    for i, u in pages:
+        kind = rng.random()
+        to = rng.choice([rng.choice(names), f"../{rng.choice(['en', 'zz'])}/{rng.randrange(60, 90)}", f"{rng.randrange(60, 90)}"])
+        html = f"<html><p>{i}</p></html>"
+        if kind < 0.08:
+            html = f'<link href="{to}" rel="nofollow canonical">' + html
+        elif kind < 0.16:
+            html = f"<META http-equiv='Refresh' content='0; URL={to}'>" + html
+        if kind < 0.16:
+            edges.append((node(u), node(urljoin(u, to))))
+        rows.append((i, u if i % 500 else None, html))
+    head = {}
+
+    def find(x):
+        while head.setdefault(x, x) != x:
+            x = head[x]
+        return x
+
+    for (u, v), i in zip(edges, [i for i, u, h in rows if "canonical" in h or "Refresh" in h], strict=True):
+        if i % 500:
+            head[find(u)] = find(v)
+
+    def rule(u):
+        h, p = re.match("http://([^/?#]*)([^?#]*)", u).groups()
+        fits = [(len(rh + rp), a, rh + rp) for a, rh, rp in urls.RULES if (h.lower() == rh or h.lower().endswith("." + rh)) and p.startswith(rp)]
+        return max(fits)[1:] if fits else (None, None)
+
+    taken = defaultdict(set)
+    for x in list(head):
+        taken[find(x)].add(rule(x)[0])
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, u, _ in rows:
+        if u is None:
+            assert got[i] == (None, "allow")
+            continue
+        act, name = rule(u)
+        near = taken[find(node(u))] if node(u) in head else set()
+        assert got[i] == (name, act or ("allow" if "allow" in near else "block" if "block" in near else "allow")), u
+    assert sum(v == "block" and r is None for r, v in got.values()) > 20
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -433,6 +517,26 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_official_texts_are_known_by_digest(spark):
+    from pathlib import Path
+
+    found = [p for p in map(Path, (f"/usr/share/common-licenses/{n}" for n in ("Apache-2.0", "GPL-3", "MPL-2.0"))) if p.exists()]
+    rows = [(i, "Copyright (c) 2024 Somebody\n\n" + p.read_text().replace("LICENSE", "Licence").replace(" ", "  "), 0) for i, p in enumerate(found)]
+    if not rows:
+        pytest.skip("no licence texts here")
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, digest int")).filter("unit = 'text'").collect()}
+    assert got == {i: {"GPL-3": "GPL-3.0"}.get(p.name, p.name) for i, p in enumerate(found)}
+
+
+def test_bins_of_rows_that_are_the_same(spark):
+    rows = [(5, "a b c", "s", 1)] * 400 + [(None, "a b c d e f g h i j", None, 1)] * 3 + [(6, None, "s", 1)] * 2
+    pack_ = lambda n: packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, bin_id int").repartition(n), capacity=8, per_source=2, shard_rows=50).collect()
+    got = pack_(1)
+    assert sorted(map(str, got)) == sorted(map(str, pack_(7)))
+    bins = Counter(r.bin_id for r in got if r.bin_id)
+    assert len(got) == 400 + 3 * 2 + 2 and set(Counter((r.bin_id, r.cluster) for r in got if r.bin_id).values()) == {1} and len(bins) >= 400
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(20, 24))
