@@ -335,3 +335,33 @@ def dedupe(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     cut = joined.select("doc_id", "text", F.col("copy_text").isNotNull().alias("copied"), "lows", "highs")
     none = F.lit(None).cast("array<long>")
     return cut.union(common_rows.select("doc_id", "text", F.lit(True), none, none)).mapInArrow(_cut, _RESULT)
+
+
+def doubled_windows(docs: DataFrame, text: str = "text", first: int = 25) -> DataFrame:
+    """(text_id, pos) of every 200-byte window that occurs again, by doubling with a row for each position: the plain form of the method.
+
+    Ranks of ``first`` bytes are joined with the ranks at growing offsets and named anew; positions whose rank is unique drop
+    out of each round. dedupe() samples positions instead, because a row for each byte is beyond the disk at scale."""
+
+    def prefixes(batches):
+        for texts, offsets, blocks in _blocks(batches):
+            sizes = np.array([len(b) for b in blocks])
+            starts = np.cumsum(sizes) - sizes
+            data = np.frombuffer(b"".join(blocks), np.uint8)
+            rank = names(data, first, _powers(_BASE, len(data)), _powers(_BACK, len(data)))
+            for t, o, s, n in zip(texts, offsets, starts, sizes, strict=True):
+                # The last block of a text has no next one that begins where its whole windows end.
+                many = min(n - first + 1, PIECE_BYTES) if n == PIECE_BYTES + WHOLE - 1 else n - first + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many, t)), pa.array(o + np.arange(many)), pa.array(rank[s : s + many].view(np.int64))], names=["text_id", "pos", "rank"])
+
+    whole = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_id", F.monotonically_increasing_id()).filter(F.octet_length("text") >= WHOLE)
+    ranks = stored(whole.select("text_id", "text").mapInArrow(prefixes, "text_id long, pos long, rank long"), "ranks")
+    length = first
+    while True:
+        again = ranks.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rank")
+        ranks = stored(ranks.join(again, "rank", "left_semi"), "ranks")
+        if length == WHOLE:
+            return ranks.select("text_id", "pos")
+        later = ranks.select("text_id", (F.col("pos") - length).alias("pos"), F.col("rank").alias("then"))
+        ranks = ranks.join(later, ["text_id", "pos"]).select("text_id", "pos", F.xxhash64("rank", "then").alias("rank"))
+        length *= 2

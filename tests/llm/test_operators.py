@@ -140,6 +140,12 @@ def test_suffix_dedup(rows, docs, empty):
     assert suffix_dedup.dedupe(empty).count() == 0
 
 
+def test_doubling_of_every_position_finds_the_same_windows(rows, docs):
+    seen = Counter(raw[k : k + 200] for _, t, *_ in rows for raw in [(t or "").encode()] for k in range(len(raw) - 199))
+    want = Counter(k for _, t, *_ in rows for raw in [(t or "").encode()] for k in range(len(raw) - 199) if seen[raw[k : k + 200]] > 1)
+    assert Counter(r.pos for r in suffix_dedup.doubled_windows(docs).collect()) == want
+
+
 def test_suffix_dedup_of_a_text_that_most_rows_share(spark):
     rng = random.Random(8)
     common, other = prose(rng, 90), prose(rng, 90)
