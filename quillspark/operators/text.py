@@ -58,18 +58,18 @@ def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best chunks of each query, ties by page then chunk. Postings meet only the queries' terms."""
+    """The k best chunks of each query, ties by page then chunk. Only words that some query has are counted and shuffled."""
     q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    tf, df, lengths = postings(chunks)
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    terms = q.select("term").distinct()
-    hits = tf.join(terms, "term", "left_semi").join(df.join(terms, "term", "left_semi"), "term").join(lengths, "chunk_id").join(stats)
+    each = chunks.select("chunk_id", "page", tokens(F.col("text")).alias("ws")).withColumn("length", F.size("ws"))
+    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
+    asked = each.select("chunk_id", "page", "length", F.explode("ws").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    tf = asked.groupBy("chunk_id", "page", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(stats)
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = q.join(hits.select("term", "chunk_id", part.alias("part")), "term").groupBy("query_id", "chunk_id").agg(F.sum("part").alias("score")).filter("score > 0")
-    pages = chunks.select("chunk_id", "page")
+    scored = q.join(hits.select("term", "chunk_id", "page", part.alias("part")), "term").groupBy("query_id", "chunk_id", "page").agg(F.sum("part").alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "page", "chunk_id")
-    return scored.join(pages, "chunk_id").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 def plain_index(chunks: DataFrame) -> DataFrame:
