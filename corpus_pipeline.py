@@ -1,4 +1,15 @@
-"""From raw documents to packed training bins: five stages, each over all that the one before kept."""
+"""From raw documents to packed training bins: five stages, each over all that the one before kept.
+
+For all stages: only the columns of documents are read and passed on, so columns of other names cannot clash; an empty table
+gives an empty one; null ids are ids like others; a null source or language is a value of its own; labels count by id.
+
+* quality rules: null and empty texts have too few words and go; repeated rows share their fate.
+* n-gram Jaccard join: rows that are the same in id and text count once; of linked rows the one of the least hash of id and
+  text stays, so a repeated id decides nothing.
+* secret scans: rows stay, texts and n_chars change where secrets are.
+* mixing: texts without words are not taken; rows that are the same in id and text are taken together.
+* packing: pieces of equal texts lie in different bins; a text without words has a row without a bin.
+"""
 
 from __future__ import annotations
 
@@ -26,13 +37,11 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one of the smallest id stays; rows that are the same count once."""
-    found = stored(ngram_join.join_documents(docs), "near-duplicates")
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    """Of each group of documents that links connect, one stays; rows that are the same count once."""
+    rows = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.join_documents(rows, doc_id="_row")
+    keep = stored(found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct(), "near-duplicates")
+    return rows.join(keep, F.col("_row") == F.col("_kept"), "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
