@@ -360,6 +360,24 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert packing.pack([6, 7, 8, 2], list("abcd"), [1, 2, 3, 4], 10, 1) == [0, 1, 2, 2]
 
 
+def test_packing_is_best_fit_by_brute_force():
+    rng = random.Random(12)
+    for _ in range(30):
+        n, capacity, per_source = rng.randint(1, 120), rng.randint(5, 40), rng.randint(1, 3)
+        sizes = sorted((rng.randint(1, capacity - 1) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.choice("abc") for _ in range(n)], [rng.randrange(max(1, n // 3)) for _ in range(n)]
+        bins, want = [], []
+        for i in range(n):
+            room = lambda b: capacity - sum(sizes[j] for j in bins[b])
+            fit = [b for b in range(len(bins)) if room(b) >= sizes[i] and all(clusters[j] != clusters[i] for j in bins[b]) and sum(sources[j] == sources[i] for j in bins[b]) < per_source]
+            best = min(fit, key=lambda b: (room(b), b), default=len(bins))
+            if best == len(bins):
+                bins.append([])
+            bins[best].append(i)
+            want.append(best)
+        assert packing.pack(sizes, sources, clusters, capacity, per_source) == want
+
+
 def test_quality_measures(rows, docs, empty, spark):
     labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()
