@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, language_model, licenses, mixing, nearest, ngram_join, packing, quality, resampling, secrets, suffix_dedup, urls
+from . import alignment, language_model, licenses, mixing, nearest, ngram_join, packing, quality, resampling, secrets, suffix_dedup, toxicity, urls
 from .base import read
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -51,6 +51,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -73,6 +77,7 @@ QUERIES = {
         op8_language_model,
         op9_suffix_dedup,
         op10_nearest,
+        op11_toxicity,
         op12_importance_resampling,
         op13_tokenizer_alignment,
     )
