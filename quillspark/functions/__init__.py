@@ -34,6 +34,17 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("long")
 
 
+def whole(c: Column) -> Column:
+    """A number in ten-thousandths, so that quotients of sums are exact; further decimals are rounded."""
+    return (c.cast("decimal(18,4)") * 10000).cast("long")
+
+
+def half_up_quotient(a: Column, b: Column) -> Column:
+    """a / b of whole numbers, b over 0, halves towards plus infinity; exact."""
+    top, under = a * 2 + b, b * 2
+    return F.call_function("div", top - F.pmod(top, under), under).cast("long")
+
+
 def listed(c: Column, sep: str = ",") -> Column:
     """Sorted and joined."""
     return F.array_join(F.array_sort(c), sep)

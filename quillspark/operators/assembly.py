@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import half_up, norm_stem
+from quillspark.operators.numbering import numbered
+from quillspark.operators.statistics import accuracy
 from quillspark.operators.windows import budget_fill, dedupe_stems
 
 
@@ -70,17 +72,12 @@ def minutes_for(n: Column) -> Column:
     return F.greatest(F.lit(5).cast("long"), half_up(n * 45 / 60 / 5) * 5)
 
 
-MOST_PAPERS = 1_000_000
-
-
 def plan_items(users: DataFrame, papers: DataFrame, attempts: DataFrame, mistakes: DataFrame, subjects: DataFrame) -> DataFrame:
     """user_id, place, id, kind, cost (minutes), title, detail, code and param (its number): what each user might do today, in order of worth.
 
-    users: user_id; papers: paper_no, paper_type, duration, total_questions (a bank of MOST_PAPERS at most, else an error);
+    users: user_id; papers: paper_no, paper_type, duration, total_questions, numbered once for all users;
     attempts: user_id, paper_no; mistakes: user_id, subject, part, topic_id, created_ms; subjects: subject, part, n, of which the first is
     learnt by a user with nothing else to do."""
-    if papers.count() > MOST_PAPERS:
-        raise ValueError(f"over {MOST_PAPERS} papers")
     groups = _weak_groups(mistakes)
     total = groups.groupBy("user_id").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)).alias("again"), F.max_by("subject", -F.col("at")).alias("worst"), F.max("n").alias("most"))
     twice = F.col("again") > 0
@@ -101,7 +98,7 @@ def plan_items(users: DataFrame, papers: DataFrame, attempts: DataFrame, mistake
     weak = weak.select("user_id", F.col("rn") + 1, F.concat(F.lit("practice-"), "subject"), F.lit("practice"), F.lit(15.0), "subject", F.lit("12"), F.lit("HIGH_WEIGHTAGE"), half_up(F.col("n") * 100 / F.col("all")))
     # The first paper never sat: the smallest number that is missing among a user's papers, by counting up.
     order = Window.partitionBy("user_id").orderBy("paper_no")
-    known = papers.withColumn("at", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("paper_no")))
+    known = numbered(papers, ["paper_no"], "at")
     sat = attempts.select("user_id", "paper_no").distinct().join(known.select("paper_no", "at"), "paper_no").withColumn("rn", F.row_number().over(order))
     upto = sat.filter("rn = at").groupBy("user_id").agg(F.max("at").alias("run"))
     fresh = users.select("user_id").join(upto, "user_id", "left").withColumn("next", F.coalesce("run", F.lit(0)) + 1).join(known.withColumnRenamed("at", "next"), "next")
@@ -130,7 +127,7 @@ def daily_plan(users: DataFrame, papers: DataFrame, attempts: DataFrame, mistake
     filled = budget_fill(items.join(own, "user_id"), "user_id", "budget")
     groups = _weak_groups(mistakes)
     weak = groups.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= 3, F.struct("at", "subject", "n")))), lambda x: F.concat_ws(":", x["subject"], x["n"].cast("string"))), "|").alias("weak_areas"), F.sum("n").alias("mistakes"))
-    scored = attempts.filter("max_score > 0").groupBy("user_id").agg(half_up(F.avg(F.coalesce("score", F.lit(0)) / F.col("max_score")) * 100).alias("overall_pct"), F.count(F.lit(1)).alias("attempts"))
+    scored = accuracy(attempts).select("user_id", F.col("mean_pct").alias("overall_pct"), F.col("scored").alias("attempts"))
     out = own.select("user_id").join(filled, "user_id", "left").join(weak, "user_id", "left").join(scored, "user_id", "left")
     zero = F.lit(0).cast("long")
     return out.select("user_id", F.coalesce("spent", F.lit(0.0)).alias("minutes"), F.coalesce("taken", F.lit("")).alias("items"), F.coalesce("weak_areas", F.lit("")).alias("weak_areas"), "overall_pct", F.coalesce("attempts", zero).alias("attempts"), F.coalesce("mistakes", zero).alias("mistakes"))

@@ -100,6 +100,13 @@ def quick_set(users: DataFrame, missed: DataFrame, pool: DataFrame, n: int = 12)
     return out[0].union(out[1]).union(out[2])
 
 
+def top_topics(questions: DataFrame, most: int = 12) -> DataFrame:
+    """topic_id, count and rank (from 0) of the topics asked most; rows without a topic count for none."""
+    counts = questions.filter("topic_id is not null").groupBy("topic_id").count().orderBy(F.col("count").desc(), "topic_id").limit(most)
+    # ``most`` rows.
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc(), "topic_id")) - 1)
+
+
 def priority_pool(pool: DataFrame, ranks: DataFrame, most_rank: int = 12, top: int = 60, draw: int = 20, seed: str = "1") -> DataFrame:
     """Of each subject: questions on the hardest-hitting topics, the first ``top`` of them, and a seeded draw from those."""
     held = pool.join(ranks.filter(F.col("rank") < most_rank).select("topic_id", "rank"), "topic_id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from quillspark.functions import MARKS, half_up
+from quillspark.functions import MARKS, half_up, half_up_quotient, whole
 
 
 def count_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -97,11 +99,28 @@ def score(attempts: DataFrame, papers_questions: DataFrame, responses: DataFrame
     return rows.select("attempt_id", "question_no", "chosen", "outcome", "marks"), totals
 
 
-def accuracy(attempts: DataFrame) -> DataFrame:
-    """For each user: mean percent (of attempts with a maximum), best percent, number of scored attempts."""
-    ratio = F.col("score") / F.col("max_score")
-    scored = attempts.filter("max_score > 0")
-    return scored.groupBy("user_id").agg(half_up(F.avg(ratio) * 100).alias("mean_pct"), half_up(F.max(ratio) * 100).alias("best_pct"), F.count(F.lit(1)).alias("scored"))
+@F.pandas_udf(LongType())
+def _mean_percent(sums: pd.Series, n: pd.Series) -> pd.Series:
+    """Mean of ratios in percent, exact, halves up. sums: for each maximum, the sum of its scores."""
+    from fractions import Fraction
+
+    def one(parts, count) -> int:
+        mean = sum((Fraction(int(p["score"]), int(p["most"])) for p in parts), Fraction(0)) * 100 / int(count)
+        return (mean + Fraction(1, 2)).__floor__()
+
+    return pd.Series([one(p, c) for p, c in zip(sums, n, strict=True)], dtype="int64")
+
+
+def accuracy(attempts: DataFrame, key: str = "user_id") -> DataFrame:
+    """For each user: mean percent (of attempts with a maximum), best percent, number of scored attempts.
+
+    Exact, whatever the order of rows: scores are summed for each maximum as whole numbers, and a mean of ratios is rounded as
+    a fraction. A null score counts as 0."""
+    most, score = whole(F.col("max_score")), F.coalesce(whole(F.col("score")), F.lit(0))
+    scored = attempts.select(key, most.alias("most"), score.alias("score")).filter("most > 0")
+    by = scored.groupBy(key, "most").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"), F.max(half_up_quotient(F.col("score") * 100, F.col("most"))).alias("best"))
+    own = by.groupBy(key).agg(F.collect_list(F.struct("most", "score")).alias("sums"), F.sum("n").alias("scored"), F.max("best").alias("best_pct"))
+    return own.select(key, _mean_percent("sums", "scored").alias("mean_pct"), "best_pct", "scored")
 
 
 def best_attempt(attempts: DataFrame, *keys: str) -> DataFrame:

@@ -56,11 +56,12 @@ def trend(attempts: DataFrame, last: int = 6) -> DataFrame:
 
 
 def dedupe_stems(rows: DataFrame, fingerprint, order: list[str]) -> DataFrame:
-    """The first row of each fingerprint; rows with an empty one all stay."""
+    """The first row of each fingerprint; rows with an empty one all stay.
+
+    A grouped minimum, so a stem that very many rows share is reduced before rows are shuffled."""
     held = rows.withColumn("_fp", fingerprint)
-    w = Window.partitionBy("_fp").orderBy(*order)
-    full = held.filter("_fp != ''").withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return full.unionByName(held.filter("_fp = ''")).drop("_fp")
+    first = held.filter("_fp != ''").groupBy("_fp").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
+    return first.unionByName(held.filter("_fp = ''").drop("_fp"))
 
 
 def latest_per_set(attempts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import assembly as op
 from quillspark.plans import query
+from quillspark.plans.stats import EXACT_PCT
 
 _BLUE = ", blueprint(section, subject, wanted) AS (VALUES (1, 'ECONOMY', 30), (2, 'PROMO', 20), (3, 'SMALL', 25), (4, 'ABSENT', 5)), seeds(seed) AS (VALUES ('1'), ('2'), ('3'))"
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower(stem), '[ \\t\\n\\r\\f]+', ' ', 'g'), '^(which (one )?of the following|read the following|consider the following)', ''), '[^a-z0-9 ]', '', 'g'))"
@@ -107,7 +108,9 @@ f1 AS (SELECT user_id, budget, cost AS spent, id AS taken FROM o WHERE rn = 1),
         for n in range(2, 6)
     )
     + """, wk AS (SELECT user_id, string_agg(subject || ':' || CAST(n AS VARCHAR), '|' ORDER BY spot) FILTER (WHERE spot <= 3) AS weak_areas, CAST(sum(n) AS BIGINT) AS mistakes FROM g GROUP BY 1),
-sc AS (SELECT user_id, CAST(floor(avg(CAST(coalesce(score, 0) AS DOUBLE) / max_score) * 100 + 0.5e0) AS BIGINT) AS overall_pct, count(*) AS attempts FROM sat WHERE max_score > 0 GROUP BY 1)
+"""
+    + EXACT_PCT.format("sat")
+    + """, sc AS (SELECT user_id, mean_pct AS overall_pct, scored AS attempts FROM pct)
 SELECT user_id, coalesce(spent, 0e0) AS minutes, coalesce(taken, '') AS items, coalesce(weak_areas, '') AS weak_areas, overall_pct, coalesce(attempts, 0) AS attempts, coalesce(mistakes, 0) AS mistakes FROM users LEFT JOIN f5 USING (user_id) LEFT JOIN wk USING (user_id) LEFT JOIN sc USING (user_id)""",
 )
 def p1_plan(t):

@@ -118,11 +118,7 @@ drawn AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY md5('1:' ||
 SELECT subject, question_id, topic_id, place, rn FROM drawn WHERE rn <= 20""",
 )
 def k4(t):
-    from pyspark.sql import Window
-
-    counts = t.questions.filter("topic_id is not null").groupBy("topic_id").count()
-    # Topics are a taxonomy: a few dozen rows.
-    ranks = counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("count").desc(), "topic_id")) - 1)
+    ranks = op.top_topics(t.questions)
     return op.priority_pool(t.pool, ranks).select("subject", "question_id", "topic_id", "place", "rn")
 
 

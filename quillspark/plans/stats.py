@@ -129,7 +129,13 @@ def a12_totals(t):
     return op.score(*sheet(t))[1]
 
 
-@query("a13_accuracy", "SELECT user_id, CAST(floor(avg(CAST(score AS DOUBLE) / max_score) * 100 + 0.5) AS BIGINT) AS mean_pct, CAST(floor(max(CAST(score AS DOUBLE) / max_score) * 100 + 0.5) AS BIGINT) AS best_pct, count(*) AS scored FROM attempts WHERE max_score > 0 GROUP BY 1")
+#: Whole sums for each maximum over a common denominator: a mean of ratios that is exact, halves up.
+EXACT_PCT = """m AS (SELECT user_id, max_score, CAST(sum(coalesce(score, 0)) AS HUGEINT) AS s, count(*) AS n FROM {0} WHERE max_score > 0 GROUP BY 1, 2),
+l AS (SELECT user_id, CAST(list_reduce(list(CAST(max_score AS BIGINT)), lambda a, b: lcm(a, b)) AS HUGEINT) AS l, CAST(sum(n) AS HUGEINT) AS n FROM m GROUP BY 1),
+pct AS (SELECT user_id, CAST(floor((200 * sum(s * (l // max_score)) + any_value(l * l.n)) // any_value(2 * l * l.n)) AS BIGINT) AS mean_pct, CAST(any_value(l.n) AS BIGINT) AS scored FROM m JOIN l USING (user_id) GROUP BY 1)"""
+
+
+@query("a13_accuracy", ", " + EXACT_PCT.format("attempts") + " SELECT user_id, mean_pct, best_pct, scored FROM pct JOIN (SELECT user_id, CAST(max((200 * score + max_score) // (2 * max_score)) AS BIGINT) AS best_pct FROM attempts WHERE max_score > 0 GROUP BY 1) USING (user_id)")
 def a13(t):
     return op.accuracy(t.attempts)
 

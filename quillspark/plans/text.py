@@ -287,11 +287,11 @@ def t24(t):
 
 @query(
     "w8_dedupe_stems",
-    """, s AS (SELECT question_id, CASE WHEN size % 9 = 0 THEN '' ELSE split_part(stem, ' ', 1) || ' ' || split_part(stem, ' ', 2) END AS fp FROM pool), r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY question_id) AS rn FROM s) SELECT question_id FROM r WHERE fp = '' OR rn = 1""",
+    """, s AS (SELECT question_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(stem), '[ \\t\\n\\r\\f]+', ' ', 'g'), '^(which (one )?of the following|read the following|consider the following)', ''), '[^a-z0-9 ]', '', 'g')) AS fp FROM questions),
+r AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY question_id) AS rn FROM s) SELECT question_id FROM r WHERE fp = '' OR rn = 1""",
 )
 def w8(t):
-    fp = F.when(F.col("size") % 9 == 0, "").otherwise(F.substring_index("stem", " ", 2))
-    return dedupe_stems(t.pool, fp, ["question_id"]).select("question_id")
+    return dedupe_stems(t.questions.select("question_id", "stem"), norm_stem(F.col("stem")), ["question_id"]).select("question_id")
 
 
 def _pages(t):

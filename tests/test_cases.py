@@ -21,6 +21,41 @@ def test_upper_median_and_rounding(spark):
     assert [r[0] for r in spark.createDataFrame([(0.5,), (-0.5,), (2.5,)], "v double").select(half_up(F.col("v"))).collect()] == [1, 0, 3]
 
 
+def test_means_are_exact_in_any_order(spark):
+    from fractions import Fraction
+
+    rng = __import__("random").Random(4)
+    rows = [("half", 69, 150), ("half", 0, 150), ("thirds", 1, 3), ("thirds", 1, 6), ("thirds", 0, 200), ("none", None, 10), ("none", 5, 0), ("tenths", 0.1, 0.3), ("minus", -1, 200)]
+    rows += [(f"u{i % 40}", rng.randrange(151), rng.choice([150, 150, 90, 7, 180])) for i in range(4000)]
+    exact = {}
+    for k, s, m in rows:
+        if m:
+            exact.setdefault(k, []).append(Fraction(str(s or 0)) / Fraction(str(m)))
+    up = lambda x: (x * 100 + Fraction(1, 2)).__floor__()
+    want = {k: (up(sum(v) / len(v)), max(map(up, v)), len(v)) for k, v in exact.items()}
+    assert want["half"][0] == 23 and want["thirds"][0] == 17 and want["minus"][0] == 0
+    df = spark.createDataFrame([(k, None if s is None else float(s), float(m)) for k, s, m in rows], "user_id string, score double, max_score double")
+    for n in (1, 3, 16):
+        got = statistics.accuracy(df.orderBy(F.rand(n)).repartition(n)).collect()
+        assert {r.user_id: (r.mean_pct, r.best_pct, r.scored) for r in got} == want
+
+
+def test_numbers_run_on_over_ranges(spark):
+    from quillspark.operators.numbering import numbered
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 4).alias("g"), F.lit(9).alias("n"))
+    for pieces in (None, 1, 13):
+        rows = numbered(df, [F.desc_nulls_last("g"), "v"], "n", pieces).orderBy("n").collect()
+        assert [r.n for r in rows] == list(range(1, 5001))
+        assert [(r.g, r.v) for r in rows] == sorted(((r.g, r.v) for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert numbered(df.limit(0), ["v"]).collect() == []
+
+
+def test_stems_are_whole(spark):
+    rows = spark.createDataFrame([(3, "One two three"), (1, "one two four"), (2, "ONE, two three!"), (4, ""), (5, "?!")], "id int, stem string")
+    assert sorted(r.id for r in windows.dedupe_stems(rows, norm_stem(F.col("stem")), ["id"]).collect()) == [1, 2, 4, 5]
+
+
 def test_budget_skips_and_continues(spark):
     items = spark.createDataFrame([("u", 1, "a", 20.0, 30.0), ("u", 2, "b", 15.0, 30.0), ("u", 3, "c", 10.0, 30.0), ("v", 1, "z", 99.0, 30.0)], "user string, place int, id string, cost double, budget double")
     assert {r.user: (r.taken, r.spent) for r in windows.budget_fill(items, "user", "budget").collect()} == {"u": ("a,c", 30.0), "v": ("z", 99.0)}
