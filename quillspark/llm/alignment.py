@@ -20,6 +20,7 @@ empty table gives an empty result. Other columns are not looked at. What the dri
 from __future__ import annotations
 
 import hashlib
+import os
 from functools import cache
 
 import numpy as np
@@ -34,7 +35,9 @@ from .tokens import packed, unpacked
 
 A_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-PIECE_BYTES = 6_000_000
+PIECE_BYTES = 3_000_000
+#: Segments encoded at a time.
+ENCODED = 4096
 #: Pairs of ids are one number: a * WIDE + b.
 WIDE = 1 << 20
 
@@ -43,6 +46,7 @@ class Vocabularies:
     """Both tokenizers, the bytes of their ids, and the identity map."""
 
     def __init__(self, a_file: str, b_file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -113,7 +117,7 @@ class Groups:
 
     def __init__(self, v: Vocabularies, segments: pa.Array):
         texts = segments.cast(pa.large_string()).to_pylist()
-        a, n_a = _flat([e.ids for e in v.a.encode_batch_fast(texts, add_special_tokens=False)])
+        a, n_a = _flat([e.ids for lo in range(0, len(texts), ENCODED) for e in v.a.encode_batch_fast(texts[lo : lo + ENCODED], add_special_tokens=False)])
         found = v.b.encode([t[1:] for t in texts], num_threads=1)  # it adds the space itself
         b, n_b = _flat([v.space if t == " " else ids for t, ids in zip(texts, found, strict=True)])
         self.whole = _given_back(v.a_bytes, v.a_size, a, n_a, segments) & _given_back(v.b_bytes, v.b_size, b, n_b, segments)
