@@ -1,0 +1,33 @@
+"""Seeded draws from a pool that is ordered once.
+
+A group's questions stand in a ring, in an order that a hash of their ids gives and no seed changes, and are numbered. A seed
+and a group name a place in the ring; the draw is the run from there. So a draw reads as many rows as it takes, however large
+the pool is, depends on seed and pool alone, and repeats nothing until the ring is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quillspark.operators.numbering import numbered
+
+
+def start(seed: Column, *groups: str) -> Column:
+    """A whole number that stands for a seed and its group."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", seed, *[F.col(g).cast("string") for g in groups])), 1, 12), 16, 10).cast("long")
+
+
+def ring(pool: DataFrame, groups: list[str], key: str = "question_id") -> tuple[DataFrame, DataFrame]:
+    """(pool with place, from 0 in each group; groups with size and first)."""
+    ordered = numbered(pool, [*groups, F.md5(F.col(key).cast("string")), key], "place")
+    sizes = ordered.groupBy(*groups).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size")) if groups else ordered.agg(F.lit(1).cast("long").alias("first"), F.count(F.lit(1)).alias("size"))
+    return (ordered.join(sizes.drop("size"), groups) if groups else ordered.withColumn("first", F.lit(1))).withColumn("place", F.col("place") - F.col("first")).drop("first"), sizes.drop("first")
+
+
+def draw(asks: DataFrame, placed: DataFrame, sizes: DataFrame, groups: list[str], wanted: Column) -> DataFrame:
+    """asks (seed, groups and others) with the questions drawn and rn, from 1: the run of ``wanted`` from the seed's place, all if there are fewer."""
+    known = asks.join(sizes, groups) if groups else asks.join(F.broadcast(sizes))  # one row
+    steps = F.filter(F.sequence(F.lit(0).cast("long"), F.least(wanted.cast("long"), F.col("size"))), lambda i: i < F.least(wanted.cast("long"), F.col("size")))
+    places = known.select(*asks.columns, "size", F.explode(steps).alias("rn"))
+    at = (F.pmod(start(F.col("seed"), *groups), F.col("size")) + F.col("rn")) % F.col("size")
+    return places.withColumn("place", at).join(placed, [*groups, "place"]).withColumn("rn", F.col("rn") + 1).drop("place", "size")

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from quillspark.functions import clean_page, norm_stem, words
-from quillspark.sources.folders import scratch
+from quillspark.functions import clean_page, norm_stem
 
 #: Words too common to tell chunks apart, in three registers.
 STOP = (
@@ -57,89 +56,6 @@ def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), each.select("chunk_id", F.size("ws").cast("long").alias("length"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 4, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best chunks of each query, ties by page then chunk. Only words that some query has are counted and shuffled."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    each = chunks.select("chunk_id", "page", tokens(F.col("text")).alias("ws")).withColumn("length", F.size("ws"))
-    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    asked = each.select("chunk_id", "page", "length", F.explode("ws").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = asked.groupBy("chunk_id", "page", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = tf.join(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term").join(stats)
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    scored = q.join(hits.select("term", "chunk_id", "page", part.alias("part")), "term").groupBy("query_id", "chunk_id", "page").agg(F.sum("part").alias("score")).filter("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "page", "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
-
-
-def plain_index(chunks: DataFrame) -> DataFrame:
-    """chunk, term, tf of every run of letters and digits."""
-    return chunks.select("chunk_id", F.explode(words(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """Web-search syntax: "phrase", -term and plain terms."""
-    text = F.lower(F.col("text"))
-    phrases = F.regexp_extract_all(text, F.lit('"([^"]+)"'), F.lit(1))
-    minus = F.regexp_extract_all(text, F.lit(r"(?:^| )-([a-z0-9]+)"), F.lit(1))
-    plain = F.array_distinct(words(F.regexp_replace(text, r"(^| )-[a-z0-9]+", " ")))
-    return queries.select("query_id", plain.alias("terms"), minus.alias("minus"), phrases.alias("phrases"))
-
-
-def _harmonic(tf: Column) -> Column:
-    """Sum of 1/i^2 up to tf."""
-    return F.aggregate(F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / (i * i))
-
-
-def _ranked(rows: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
-
-
-def _matched(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query, chunk, number of matched terms, summed weight; asked: query, term, n_terms."""
-    index = plain_index(chunks).join(asked.select("term").distinct(), "term", "left_semi")
-    return asked.join(index, "term").groupBy("query_id", "n_terms", "chunk_id").agg(F.count(F.lit(1)).alias("hits"), (F.sum(_harmonic(F.col("tf"))) / F.first("n_terms")).alias("score"))
-
-
-def fts_all(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """Chunks with all of a query's terms and phrases and none of its excluded terms."""
-    parsed = query_terms(queries)
-    asked = parsed.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
-    found = _matched(asked, chunks).filter("hits = n_terms")
-    banned = parsed.select("query_id", F.explode("minus").alias("term"))
-    out = found.join(banned.join(plain_index(chunks), "term").select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
-    phrases = parsed.filter(F.size("phrases") > 0).select("query_id", "phrases")
-    checked = out.join(phrases, "query_id").join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.forall("phrases", lambda p: F.contains(F.lower("text"), p))).select("query_id", "chunk_id", "score")
-    free = out.join(phrases.select("query_id"), "query_id", "left_anti").select("query_id", "chunk_id", "score")
-    return _ranked(free.union(checked), k)
-
-
-def fts_any(queries: DataFrame, chunks: DataFrame, k: int = 4) -> DataFrame:
-    """Chunks with any of a query's first eight distinct terms of three characters or more."""
-    terms = F.slice(F.array_distinct(F.filter(words(F.col("text")), lambda w: F.char_length(w) >= 3)), 1, 8)
-    asked = queries.select("query_id", terms.alias("ts")).select("query_id", F.explode("ts").alias("term"), F.size("ts").alias("n_terms"))
-    return _ranked(_matched(asked, chunks).select("query_id", "chunk_id", "score"), k)
-
-
-def retrieve(queries: DataFrame, corpus: DataFrame, notes: DataFrame, k: int = 4) -> DataFrame:
-    """Citations: strict hits, relaxed ones only for queries without any; corpus first, then notes (half of k, one at least); none: a refusal row."""
-
-    def search(chunks: DataFrame, n: int, source: str) -> DataFrame:
-        # Strict hits are read three times from here on; a table spares searching again.
-        path = scratch(queries.sparkSession, "strict")
-        fts_all(queries, chunks, n).withColumn("method", F.lit("all")).write.parquet(path)
-        strict = queries.sparkSession.read.parquet(path)
-        missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-        return strict.union(fts_any(missed, chunks, n).withColumn("method", F.lit("any"))).withColumn("source", F.lit(source))
-
-    both = search(corpus, k, "corpus").union(search(notes, max(1, k // 2), "notes"))
-    w = Window.partitionBy("query_id").orderBy("source", "rank")
-    cited = both.withColumn("number", F.row_number().over(w).cast("long")).select("query_id", "number", "source", "method", "chunk_id")
-    none = queries.join(cited.select("query_id").distinct(), "query_id", "left_anti")
-    return cited.union(none.select("query_id", F.lit(0).cast("long"), F.lit("none"), F.lit("nothing found"), F.lit(None).cast(dict(cited.dtypes)["chunk_id"])))
-
-
 def _chunk_type() -> str:
     return "array<struct<seq:int,page_from:int,page_to:int,chapter:string,content:string>>"
 
@@ -432,19 +348,6 @@ def parse_outputs(rows: DataFrame, column: str, schema: str) -> DataFrame:
     return rows.withColumn("_json", chosen).withColumn("parsed", F.from_json("_json", schema)).withColumn("ok", F.col("_json").isNotNull()).drop("_json")
 
 
-def tier_search(queries: DataFrame, items: DataFrame, n: int = 25) -> DataFrame:
-    """Items by tier: exact id 0, part of an id 1, all words in the name 2, in name and text 3, whole phrase in the text 4.
-
-    Queries are a stated set and meet all items."""
-    q = F.lower(F.trim(F.col("query")))
-    ws = F.split(q, " +")
-    key, name, text = F.lower("item_id"), F.lower("name"), F.lower("text")
-    tier = F.when(key == q, 0).when(F.contains(key, q), 1).when(F.forall(ws, lambda w: F.contains(name, w)), 2).when(F.forall(ws, lambda w: F.contains(F.concat(name, F.lit(" "), text), w)), 3).when(F.contains(text, q), 4)
-    found = queries.crossJoin(items).withColumn("tier", tier).filter("tier is not null")
-    w = Window.partitionBy("query_id").orderBy("tier", F.char_length("item_id"), "item_id")
-    return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n).select("query_id", "item_id", "tier", "rank")
-
-
 def headings(pages: DataFrame) -> DataFrame:
     """Numbered headings whose leading number is the chapter's: first of each number, in order. pages: doc_id, chapter, text."""
     found = F.regexp_extract_all("text", F.lit(r"(?m)^[ \t]*([0-9]{1,2}\.[0-9]{1,2}[ \t]+[^\n]{3,80})$"), F.lit(1))

@@ -99,8 +99,9 @@ def k1(t):
 missed AS (SELECT DISTINCT user_id, CAST(question_no AS VARCHAR) AS question_id FROM mistakes WHERE user_id % 3 = 0),
 own AS (SELECT user_id, question_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(seed || ':' || question_id), question_id) AS rn FROM missed JOIN users USING (user_id)),
 rest AS (SELECT * FROM users WHERE user_id NOT IN (SELECT user_id FROM missed)),
-draw AS (SELECT u.user_id, p.question_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.seed || ':' || p.question_id), p.question_id) AS rn, 'subject' AS origin FROM rest u JOIN pool p USING (subject)),
-other AS (SELECT u.user_id, p.question_id, row_number() OVER (PARTITION BY u.user_id ORDER BY md5(u.seed || ':' || p.question_id), p.question_id) AS rn FROM rest u CROSS JOIN pool p WHERE u.subject NOT IN (SELECT subject FROM pool))
+placed AS (SELECT subject, question_id, row_number() OVER (PARTITION BY subject ORDER BY md5(question_id), question_id) - 1 AS place, count(*) OVER (PARTITION BY subject) AS size FROM pool), whole AS (SELECT question_id, row_number() OVER (ORDER BY md5(question_id), question_id) - 1 AS place, count(*) OVER () AS size FROM pool),
+draw AS (SELECT user_id, question_id, (place - CAST('0x' || substr(md5(seed || ':' || u.subject), 1, 12) AS BIGINT) % size + size) % size + 1 AS rn, 'subject' AS origin FROM rest u JOIN placed USING (subject)),
+other AS (SELECT user_id, question_id, (place - CAST('0x' || substr(md5(seed), 1, 12) AS BIGINT) % size + size) % size + 1 AS rn FROM rest u CROSS JOIN whole WHERE u.subject NOT IN (SELECT subject FROM pool))
 SELECT user_id, 'missed' AS origin, question_id, rn FROM own WHERE rn <= 12 UNION ALL SELECT user_id, origin, question_id, rn FROM draw WHERE rn <= 12 UNION ALL SELECT user_id, 'exam', question_id, rn FROM other WHERE rn <= 12""",
 )
 def k3(t):

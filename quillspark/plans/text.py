@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import norm_stem
+from quillspark.functions import norm_stem, words
+from quillspark.operators import search
 from quillspark.operators import text as op
 from quillspark.operators.windows import dedupe_stems
 from quillspark.plans import query
@@ -28,6 +29,18 @@ def _chunks(t):
     return _stems(t).select(F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 10).alias("page"))
 
 
+#: Indexes of this session's tables, by application, folder and kind: built once, read by every search.
+_BUILT: dict = {}
+
+
+def _index(t, kind: str):
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if key not in _BUILT:
+        chunks = _chunks(t) if kind in ("ranked", "words") else _chunks(t).filter("page < 8" if kind == "corpus" else "page >= 8")
+        _BUILT[key] = search.build_index(chunks, op.tokens if kind == "ranked" else words)
+    return _BUILT[key]
+
+
 @query("t4_postings_tf", _CHUNKS + " SELECT chunk_id, term, tf FROM tf")
 def t4(t):
     return op.postings(_chunks(t))[0]
@@ -54,30 +67,30 @@ s AS (SELECT query_id, tf.chunk_id, sum(ln(1 + (nd - df + 0.5e0) / (df + 0.5e0))
 r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id % 10, chunk_id) AS rank FROM s WHERE score > 0) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 4""",
 )
 def t5(t):
-    return op.bm25(_asks(t), _chunks(t))
+    return search.ranked_search(_asks(t), _index(t, "ranked"), op.tokens)
 
 
 _PLAIN = ", pt AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM stems), ptf AS (SELECT chunk_id, term, count(*) AS tf FROM pt GROUP BY 1, 2)"
 _HARM = "list_sum(list_transform(range(1, tf + 1), lambda i: 1e0 / (i * i)))"
 _STRICT = (
     _PLAIN
-    + f""", wq AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN '"' || array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') || '" ' || text WHEN query_id % 3 = 1 THEN text || ' -the' ELSE text END AS text FROM q),
+    + f""", wq AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN '"' || array_to_string(list_slice(string_split(text, ' '), 1, CASE WHEN query_id % 2 = 0 THEN 2 ELSE 4 END), ' ') || '" ' || text WHEN query_id % 3 = 1 THEN text || ' -the' ELSE text END AS text FROM q),
 w AS (SELECT query_id, list_distinct(regexp_extract_all(regexp_replace(lower(text), '(^| )-[a-z0-9]+', ' ', 'g'), '[a-z0-9]+')) AS terms, regexp_extract_all(lower(text), '(?:^| )-([a-z0-9]+)', 1) AS minus, regexp_extract_all(lower(text), '"([^"]+)"', 1) AS phrases FROM wq),
 hits AS (SELECT query_id, chunk_id, len(terms) AS n, count(*) AS h, sum({_HARM}) / len(terms) AS score FROM (SELECT query_id, terms, unnest(terms) AS term FROM w) JOIN ptf USING (term) GROUP BY 1, 2, 3),
-ok AS (SELECT h.query_id, h.chunk_id, score FROM hits h JOIN w USING (query_id) JOIN stems ON doc_id = chunk_id WHERE h = n AND NOT EXISTS (SELECT 1 FROM ptf p WHERE p.chunk_id = h.chunk_id AND list_contains(w.minus, p.term)) AND len(list_filter(w.phrases, lambda x: NOT contains(lower(stems.text), x))) = 0),
+ok AS (SELECT h.query_id, h.chunk_id, score FROM hits h JOIN w USING (query_id) JOIN stems ON doc_id = chunk_id WHERE h = n AND NOT EXISTS (SELECT 1 FROM ptf p WHERE p.chunk_id = h.chunk_id AND list_contains(w.minus, p.term)) AND len(list_filter(w.phrases, lambda x: NOT contains(' ' || array_to_string(regexp_extract_all(lower(stems.text), '[a-z0-9]+'), ' ') || ' ', ' ' || array_to_string(regexp_extract_all(x, '[a-z0-9]+'), ' ') || ' '))) = 0),
 strict AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ok)"""
 )
 
 
 def _web(t):
     q = F.col("query_id")
-    text = F.when(q % 3 == 0, F.concat(F.lit('"'), F.array_join(F.slice(F.split("text", " "), 1, 2), " "), F.lit('" '), "text")).when(q % 3 == 1, F.concat("text", F.lit(" -the"))).otherwise(F.col("text"))
+    text = F.when(q % 3 == 0, F.concat(F.lit('"'), F.array_join(F.slice(F.split("text", " "), F.lit(1), F.when(q % 2 == 0, 2).otherwise(4)), " "), F.lit('" '), "text")).when(q % 3 == 1, F.concat("text", F.lit(" -the"))).otherwise(F.col("text"))
     return _asks(t).select("query_id", text.alias("text"))
 
 
 @query("t6_fts_all", _FIX_SQL + _ASK + _STRICT + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM strict WHERE rank <= 4")
 def t6(t):
-    return op.fts_all(_web(t), _chunks(t))
+    return search.strict_search(_web(t), _index(t, "words"))
 
 
 _ANY = f""", ask AS (SELECT query_id, list_slice(list_ordered, 1, 8) AS terms FROM (SELECT query_id, list_filter(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN list_position(ws, ws[i]) = i THEN ws[i] END), lambda x: x IS NOT NULL) AS list_ordered FROM (SELECT query_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 3) AS ws FROM {{0}}))),
@@ -87,14 +100,13 @@ loose AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY quer
 
 @query("t7_fts_any", _FIX_SQL + _ASK + _PLAIN + _ANY.format("q") + " SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM loose WHERE rank <= 4")
 def t7(t):
-    return op.fts_any(_asks(t), _chunks(t))
+    return search.loose_search(_asks(t), _index(t, "words"))
 
 
 @query("t8_retrieve")
 def t8(t):
     asks = _web(t).union(t.spark.createDataFrame([(-1, "zzzz qqqq")], "query_id long, text string"))
-    chunks = _chunks(t)
-    return op.retrieve(asks, chunks.filter("page < 8"), chunks.filter("page >= 8"))
+    return search.retrieve(asks, _index(t, "corpus"), _index(t, "notes"))
 
 
 @query("t9_repeats")
@@ -257,16 +269,39 @@ def t20(t):
     return op.parse_outputs(t.raw("events").select("event_id", raw.alias("raw")), "raw", "k long").select("event_id", F.col("parsed.k").alias("k"), "ok")
 
 
+_TIER = """qt AS (SELECT query_id, lower(trim(query)) AS q, list_filter(string_split_regex(lower(trim(query)), '[^a-z0-9+#.]+'), lambda w: w <> '') AS ts FROM qs),
+c AS (SELECT query_id, item_id, CASE WHEN k = q THEN 0 WHEN contains(k, q) THEN 1 WHEN len(ts) > 0 AND len(list_filter(ts, lambda w: NOT contains(hay, w))) = 0 THEN CASE WHEN len(list_filter(ts, lambda w: contains(k, w))) > 0 THEN 2 ELSE 3 END WHEN contains(hay, q) THEN 4 END AS tier
+  FROM qt CROSS JOIN (SELECT item_id, lower(item_id) AS k, lower(item_id) || ' ' || lower(name) || ' ' || lower(text) AS hay FROM items) WHERE q <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, length(item_id), item_id) AS rank FROM c WHERE tier IS NOT NULL) SELECT query_id, item_id, tier, rank FROM r WHERE rank <= 25"""
+_WANTED = [(1, "12"), (2, "red ring"), (3, "brand#1"), (4, "small widget economy"), (5, "1999"), (6, "  "), (7, "--"), (8, "RING 7"), (9, "zzz q"), (10, "o"), (11, "x-1/2"), (12, "1/2 --")]
+
+
 @query(
     "t22_tier_search",
-    """, qs AS (SELECT * FROM (VALUES (1, '12'), (2, 'red ring'), (3, 'brand#1'), (4, 'small widget economy'), (5, '1999')) v(query_id, query)), items AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS name, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part),
-c AS (SELECT query_id, item_id, CASE WHEN lower(item_id) = query THEN 0 WHEN contains(lower(item_id), query) THEN 1 WHEN len(list_filter(string_split(query, ' '), lambda w: NOT contains(lower(name), w))) = 0 THEN 2 WHEN len(list_filter(string_split(query, ' '), lambda w: NOT contains(lower(name) || ' ' || lower(text), w))) = 0 THEN 3 WHEN contains(lower(text), query) THEN 4 END AS tier FROM qs CROSS JOIN items),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, length(item_id), item_id) AS rank FROM c WHERE tier IS NOT NULL) SELECT query_id, item_id, tier, rank FROM r WHERE rank <= 25""",
+    f""", qs AS (SELECT * FROM (VALUES {",".join(f"({a}, '{b}')" for a, b in _WANTED)}) v(query_id, query)), given AS (SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS name, p_name || ' ' || p_brand || ' ' || p_type AS text, 0 AS place FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'flat copy', p_type, 1 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'X-' || CAST(p_partkey AS VARCHAR) || '/2', p_name, '--' || p_brand, 1 FROM part WHERE p_partkey % 50 = 1),
+items AS (SELECT item_id, name, text FROM (SELECT *, row_number() OVER (PARTITION BY lower(item_id) ORDER BY place) AS rn FROM given) WHERE rn = 1), """
+    + _TIER,
 )
 def t22(t):
-    qs = t.spark.createDataFrame([(1, "12"), (2, "red ring"), (3, "brand#1"), (4, "small widget economy"), (5, "1999")], "query_id int, query string")
-    items = t.raw("part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    return op.tier_search(qs, items)
+    """Parts, with flat copies that lose against them."""
+    qs = t.spark.createDataFrame(_WANTED, "query_id int, query string")
+    part, key = t.raw("part"), F.col("p_partkey").cast("string")
+    own = part.select(key.alias("item_id"), F.col("p_name").alias("name"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), F.lit(0).alias("place"))
+    flat = part.filter("p_partkey % 3 = 0").select(key, F.lit("flat copy"), "p_type", F.lit(1))
+    odd = part.filter("p_partkey % 50 = 1").select(F.concat(F.lit("X-"), key, F.lit("/2")), "p_name", F.concat(F.lit("--"), "p_brand"), F.lit(1))
+    return search.tier_search(qs, search.build_catalogue(search.catalogue(own.union(flat).union(odd), ["place"])))
+
+
+@query(
+    "t22_tier_search_benchmark",
+    """, qs AS (SELECT item_id AS query_id, array_to_string(list_slice(string_split(replace(text, chr(10), ' '), ' '), 1, CAST(1 + item_id % 4 AS BIGINT)), ' ') AS query FROM benchmark), items AS (SELECT CAST(doc_id AS VARCHAR) AS item_id, coalesce(source, '') AS name, coalesce(text, '') AS text FROM documents), """
+    + _TIER,
+)
+def t22_benchmark(t):
+    """The first one to four words of each benchmark item, against whole documents."""
+    q = F.col("item_id")
+    qs = t.raw("benchmark").select(q.alias("query_id"), F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(1), (1 + q % 4).cast("int")), " ").alias("query"))
+    return search.tier_search(qs, search.build_catalogue(t.docs.select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("name"), "text")))
 
 
 @query(

@@ -107,7 +107,7 @@ def test_retrieve(spark, found):
         low = text.lower()
         phrases, minus = re.findall('"([^"]+)"', low), re.findall("(?:^| )-([a-z0-9]+)", low)
         terms = list(dict.fromkeys(re.findall("[a-z0-9]+", re.sub("(^| )-[a-z0-9]+", " ", low))))
-        hits = [(sum(worth(index[i][w]) for w in terms) / len(terms), i) for i, _, text in part if all(index[i][w] for w in terms) and not any(index[i][w] for w in minus) and all(p in text for p in phrases)]
+        hits = [(sum(worth(index[i][w]) for w in terms) / len(terms), i) for i, _, text in part if all(index[i][w] for w in terms) and not any(index[i][w] for w in minus) and all(f" {' '.join(re.findall('[a-z0-9]+', p))} " in f" {' '.join(re.findall('[a-z0-9]+', text))} " for p in phrases)]
         how = "all"
         if not hits:
             terms = list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", low) if len(w) >= 3))[:8]
