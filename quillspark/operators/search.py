@@ -1,15 +1,18 @@
 """Search over a stored index: ranked words, all words with phrases, any word, and tiers of a catalogue.
 
-An index is built once and written. Its postings are rows of a term, a level of worth and a slice of the documents (a hash of
-the id, some SLICE documents each), so neither a very common term nor a very long list is one row or one task. A row has the
-best worth that any of its postings can give: searches leave out rows that cannot matter, by worth or because no candidate
-is in their slice. What is left out is never needed for the rows returned."""
+An index is built once and written. Its postings are flat rows of a term and a chunk, in files sorted by term, with a level (the
+count of the term and the length of the chunk, in steps) and a slice (a hash of the chunk's id, some SLICE chunks each); a
+very common term is many rows of many files. A level has a best worth that any of its postings can give: searches leave out rows that
+cannot matter, by worth or because no candidate is in their slice. What is left out is never needed for the rows returned."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,61 +22,111 @@ from quillspark.sources.folders import scratch
 #: Documents of a slice, about.
 SLICE = 4096
 K1, B = 1.5, 0.75
-#: Steps of worth that are kept apart.
-LEVELS = 8
+#: Counts from here on share a level.
+MOST_TF = 8
 
 
 def _slice(key: Column, slices: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
 
 
+@dataclass(frozen=True)
+class Words:
+    """What a search takes for words: matches of a pattern in the lower-case text, but for stop words and single Latin characters."""
+
+    pattern: str = "[a-z0-9]+"
+    stop: tuple[str, ...] = ()
+    least: int = 1
+
+    def of(self, text: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(text), F.lit(self.pattern), F.lit(0))
+        short = rf"^[a-z0-9]{{1,{self.least - 1}}}$"
+        return F.filter(found, lambda w: ~(w.rlike(short) if self.least > 1 else F.lit(False)) & ~w.isin(*self.stop)) if self.stop or self.least > 1 else found
+
+
 @dataclass
 class SearchIndex:
-    """postings: term, level, slice, n, top, entries (chunk_id, page, length, tf, at); terms: term, df, top."""
+    """postings: term, level, slice, chunk_id, page, length, tf, at; levels: term, level, n, max_tf, min_length; terms: term, df."""
 
     spark: SparkSession
     path: str
     n_docs: int
     mean_length: float
     slices: int
+    words: Words
 
-    @property
-    def postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/postings")
-
-    @property
-    def terms(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/terms")
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def entries(self, asked: DataFrame) -> DataFrame:
-        """Postings of asked rows (term, and slice where only some matter) with the columns of asked."""
-        keys = [c for c in ("term", "slice") if c in asked.columns]
-        rows = asked.join(self.postings.drop("level", "n", "top", *({"slice"} - set(keys))), keys)
-        return rows.select(*asked.columns, F.explode("entries").alias("_e")).select(*asked.columns, "_e.*")
-
-
-def build_index(chunks: DataFrame, of_text: Callable[[Column], Column], path: str | None = None) -> SearchIndex:
-    """Write the index of chunks (chunk_id, page, text) by the words that of_text finds in a text, in their order."""
+        """Postings of asked rows (term, and level and slice where only some matter) with the columns of asked."""
+        return asked.join(self.table("postings").drop(*({"level", "slice"} - set(asked.columns))), [c for c in ("term", "level", "slice") if c in asked.columns])
+
+
+def _posted(kind: Words):
+    """Of a batch: a row for each chunk and word, with its places. Each chunk is also a row of the empty word."""
+    pattern, stop, short = re.compile(kind.pattern), set(kind.stop), re.compile(rf"[a-z0-9]{{1,{kind.least - 1}}}") if kind.least > 1 else None
+
+    def posted(batches):
+        for b in batches:
+            known: dict[str, int] = {"": 0}
+            ids, lengths = [], np.zeros(len(b), np.int64)
+            for i, text in enumerate(b.column("text").to_pylist()):
+                found = [w for w in pattern.findall(text or "") if w not in stop and not (short and short.fullmatch(w))]
+                lengths[i] = len(found)
+                ids.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+            term, doc = np.concatenate(ids) if ids else np.zeros(0, np.int64), np.repeat(np.arange(len(b)), lengths)
+            place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            order = np.lexsort((place, doc, term))
+            term, doc, place = term[order], doc[order], place[order]
+            new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])))[: len(term)]
+            tf = np.diff(np.append(new, len(term)))
+            # Rows of each term and chunk, and of each chunk by itself.
+            none = np.zeros(len(b), np.int64)
+            e_term, e_doc, e_tf = np.append(term[new], none), np.append(doc[new], np.arange(len(b))), np.append(tf, none)
+            ends = np.append(np.append(new, len(term)), none + len(term))
+            level = np.minimum(e_tf, MOST_TF) * 32 + np.log2(np.maximum(lengths[e_doc], 1)).astype(np.int64)
+            at = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place.astype(np.int32)))
+            given = [b.column(c).take(pa.array(e_doc)) for c in ("slice", "chunk_id", "page")]
+            yield pa.RecordBatch.from_arrays([pc.take(pa.array(list(known)), pa.array(e_term)), pa.array(level.astype(np.int32)), *given, pa.array(lengths[e_doc].astype(np.int32)), pa.array(e_tf.astype(np.int32)), at], names=["term", "level", "slice", "chunk_id", "page", "length", "tf", "at"])
+
+    return posted
+
+
+def build_index(chunks: DataFrame, kind: Words = Words(), path: str | None = None) -> SearchIndex:
+    """Write the index of chunks (chunk_id, page, text). Null texts have no words; chunks without words count as chunks.
+
+    A table of fewer files than there are cores is dealt anew by id, as a file may be one task."""
     spark = chunks.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(chunks.inputFiles()) < cores:
+        chunks = chunks.repartition(cores, "chunk_id")
     path = path or scratch(spark, "index")
-    each = chunks.select("chunk_id", "page", of_text(F.col("text")).alias("ws")).withColumn("length", F.coalesce(F.size("ws"), F.lit(0)))
-    stats = each.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("length").cast("long")).alias("total")).first()
-    mean = (stats["total"] or 0) / max(1, stats["n"])
-    slices = -(-max(1, stats["n"]) // SLICE)
-    posted = each.select("chunk_id", "page", "length", F.posexplode("ws").alias("pos", "term")).groupBy("chunk_id", "page", "length", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("at"))
-    worth = _worth(mean or 1.0)
-    entry = F.struct("chunk_id", "page", "length", "tf", "at")
-    rows = posted.withColumns({"worth": worth, "slice": _slice(F.col("chunk_id"), slices)}).withColumn("level", F.floor(F.col("worth") * LEVELS).cast("int"))
-    blocks = rows.groupBy("term", "level", "slice").agg(F.count(F.lit(1)).alias("n"), F.max("worth").alias("top"), F.collect_list(entry).alias("entries"))
-    blocks.repartitionByRange("term", "level", "slice").sortWithinPartitions("term", "level", "slice").write.option("compression", "zstd").parquet(f"{path}/postings")
-    index = SearchIndex(spark, path, stats["n"], mean, slices)
-    index.postings.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")).write.option("compression", "zstd").parquet(f"{path}/terms")
+    slices = -(-max(1, chunks.count()) // SLICE)
+    types = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "page")}
+    given = chunks.select("chunk_id", "page", F.lower("text").alias("text"), _slice(F.col("chunk_id"), slices).alias("slice"))
+    posted = given.mapInArrow(_posted(kind), f"term string, level int, slice int, chunk_id {types['chunk_id']}, page {types['page']}, length int, tf int, at array<int>")
+    posted.repartition("term", "slice").sortWithinPartitions("term", "level").write.option("compression", "zstd").parquet(f"{path}/postings")
+    index = SearchIndex(spark, path, 0, 1.0, slices, kind)
+    all_ = index.table("postings")
+    stats = all_.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).first()
+    index.n_docs, index.mean_length = stats["n"], (stats["total"] or 0) / max(1, stats["n"]) or 1.0
+    levels = all_.filter("term != ''").groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
+    levels.write.option("compression", "zstd").parquet(f"{path}/levels")
+    index.table("levels").groupBy("term").agg(F.sum("n").alias("df")).write.option("compression", "zstd").parquet(f"{path}/terms")
     return index
 
 
-def _worth(mean: float) -> Column:
+def _worth(tf: Column, length: Column, mean: float) -> Column:
     """What a term's count in a chunk is worth, without the term's rarity."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder: what several steps read is made once."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _kth(scores: DataFrame, k: int) -> DataFrame:
@@ -82,39 +135,40 @@ def _kth(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).groupBy("query_id").agg(F.min("partial").alias("kth"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= k).drop("_n")
 
 
-def weighed_terms(queries: DataFrame, index: SearchIndex, of_text: Callable[[Column], Column], lead: float = 0.6) -> DataFrame:
-    """query_id, term, idf, most (the best that the term can add), rest (the best that all terms after the leading ones can add), leads.
+def weighed_levels(queries: DataFrame, index: SearchIndex) -> DataFrame:
+    """query_id, term, level, idf, n, before and after: what a chunk can score at most without the levels before this one, and without it too.
 
-    Leading terms are those that can add most, until they hold the share ``lead`` of all."""
-    q = queries.select("query_id", F.explode(F.array_distinct(of_text(F.col("text")))).alias("term")).join(index.terms, "term")
+    Levels of all of a query's terms stand in the order of the most that a chunk in them can get from the term."""
+    q = queries.select("query_id", F.explode(F.array_distinct(index.words.of(F.col("text")))).alias("term")).join(index.table("terms"), "term")
     idf = F.ln(1 + (F.lit(index.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    w = Window.partitionBy("query_id")
-    run = w.orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    rows = q.withColumn("idf", idf).withColumn("most", F.col("idf") * F.col("top")).withColumns({"before": F.coalesce(F.sum("most").over(run), F.lit(0.0)), "all": F.sum("most").over(w)})
-    leads = F.col("before") < F.col("all") * lead
-    return rows.withColumn("leads", leads).withColumn("rest", F.sum(F.when(leads, 0.0).otherwise(F.col("most"))).over(w)).select("query_id", "term", "idf", "most", "rest", "leads")
+    most = F.col("idf") * _worth(F.col("max_tf"), F.col("min_length"), index.mean_length)
+    rows = q.withColumn("idf", idf).join(index.table("levels"), "term").withColumn("most", most)
+    down = Window.partitionBy("query_id", "term").orderBy(F.desc("most"), "level")
+    every = Window.partitionBy("query_id").orderBy(F.desc("most"), "term", "level")
+    # The best of a term falls to its next level once this one is read.
+    rows = rows.withColumn("less", F.col("most") - F.coalesce(F.lead("most").over(down), F.lit(0.0)))
+    rows = rows.withColumns({"all": F.sum("less").over(Window.partitionBy("query_id")), "run": F.sum("less").over(every.rowsBetween(Window.unboundedPreceding, 0))})
+    return rows.select("query_id", "term", "level", "idf", "n", (F.col("all") - F.col("run") + F.col("less")).alias("before"), (F.col("all") - F.col("run")).alias("after"), "all")
 
 
-def ranked_search(queries: DataFrame, index: SearchIndex, of_text: Callable[[Column], Column], k: int = 4, lead: float = 0.6) -> DataFrame:
+def ranked_search(queries: DataFrame, index: SearchIndex, k: int = 4, probe: float = 0.5) -> DataFrame:
     """BM25: the k best chunks of each query, ties by page then chunk; as if every posting of every term were added up.
 
-    The leading terms' postings give partial scores. Where the k-th best of these exceeds what all other terms together can
-    add, no chunk without a leading term can be among the k best, and the others' postings are read for the chunks that
-    still can, in their slices; queries where it does not are added up whole."""
-    asked = weighed_terms(queries, index, of_text, lead)
-    worth, keys = _worth(index.mean_length or 1.0), ["query_id", "chunk_id", "page"]
-    added = lambda rows: rows.groupBy(*keys).agg(F.sum(F.col("idf") * worth).alias("partial"))
-    partial = added(index.entries(asked.filter("leads").select("query_id", "term", "idf")))
-    rest = asked.select("query_id", "rest").distinct()
-    closed = rest.join(_kth(partial, k), "query_id").filter(F.col("kth") > F.col("rest"))
-    can = partial.join(closed, "query_id").filter(F.col("partial") + F.col("rest") >= F.col("kth") - 1e-9).select(*keys, "partial")
+    First the levels that can add most (the share ``probe`` of all) give k chunks a score, and the least of these is a bound:
+    then levels are read until what the unread ones can add is less, so that every chunk above the bound is found. For those that can
+    still pass it, the unread levels are looked up in their slices."""
+    levels = _written(weighed_levels(queries, index), "levels")
+    keys = ["query_id", "chunk_id", "page"]
+    added = lambda rows: rows.groupBy(*keys).agg(F.sum(F.col("idf") * _worth(F.col("tf"), F.col("length"), index.mean_length)).alias("partial"))
+    bound = _kth(added(index.entries(levels.filter(F.col("before") > F.col("all") * (1 - probe)).select("query_id", "term", "level", "idf"))), k)
+    placed = _written(levels.join(bound, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)) - 1e-9).withColumn("read", F.col("before") >= F.col("kth")), "bound")
+    rest = placed.groupBy("query_id").agg(F.first("kth").alias("kth"), F.coalesce(F.max(F.when(~F.col("read"), F.col("before"))), F.lit(0.0)).alias("rest"))
+    partial = added(index.entries(placed.filter("read").select("query_id", "term", "level", "idf")))
+    can = _written(partial.join(rest, "query_id").filter(F.col("partial") + F.col("rest") >= F.col("kth")).select(*keys, "partial"), "able")
     slices = can.select("query_id", _slice(F.col("chunk_id"), index.slices).alias("slice")).distinct()
-    late = index.entries(asked.filter("not leads").join(slices, "query_id").select("query_id", "term", "idf", "slice"))
+    late = index.entries(placed.filter("not read").join(slices, "query_id").select("query_id", "term", "level", "idf", "slice"))
     more = late.join(can.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    first = can.unionByName(added(more)).groupBy(*keys).agg(F.sum("partial").alias("score"))
-    open_ = asked.join(closed.select("query_id"), "query_id", "left_anti").select("query_id", "term", "idf")
-    whole = added(index.entries(open_)).withColumnRenamed("partial", "score")
-    scored = first.unionByName(whole).filter("score > 0")
+    scored = can.unionByName(added(more)).groupBy(*keys).agg(F.sum("partial").alias("score")).filter("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "page", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -145,7 +199,7 @@ def strict_search(queries: DataFrame, index: SearchIndex, k: int = 4) -> DataFra
     positions, so no text is read."""
     parsed = query_terms(queries)
     asked = parsed.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
-    known = asked.join(index.terms.select("term", "df"), "term")
+    known = asked.join(index.table("terms"), "term")
     # A query whose terms are not all in the index has no hits.
     whole = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"), F.min_by("term", F.struct("df", "term")).alias("term")).filter("n = n_terms")
     candidates = index.entries(whole.select("query_id", "term")).select("query_id", "chunk_id")

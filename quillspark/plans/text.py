@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import norm_stem, words
+from quillspark.functions import norm_stem
 from quillspark.operators import search
 from quillspark.operators import text as op
 from quillspark.operators.windows import dedupe_stems
@@ -37,7 +37,7 @@ def _index(t, kind: str):
     key = (t.spark.sparkContext.applicationId, t.folder, kind)
     if key not in _BUILT:
         chunks = _chunks(t) if kind in ("ranked", "words") else _chunks(t).filter("page < 8" if kind == "corpus" else "page >= 8")
-        _BUILT[key] = search.build_index(chunks, op.tokens if kind == "ranked" else words)
+        _BUILT[key] = search.build_index(chunks, search.Words(op.WORD_CLASS, tuple(op.STOP), 2) if kind == "ranked" else search.Words())
     return _BUILT[key]
 
 
@@ -67,7 +67,7 @@ s AS (SELECT query_id, tf.chunk_id, sum(ln(1 + (nd - df + 0.5e0) / (df + 0.5e0))
 r AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id % 10, chunk_id) AS rank FROM s WHERE score > 0) SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 4""",
 )
 def t5(t):
-    return search.ranked_search(_asks(t), _index(t, "ranked"), op.tokens)
+    return search.ranked_search(_asks(t), _index(t, "ranked"))
 
 
 _PLAIN = ", pt AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM stems), ptf AS (SELECT chunk_id, term, count(*) AS tf FROM pt GROUP BY 1, 2)"

@@ -73,7 +73,7 @@ def test_search_finds_the_page(spark):
     chunks = spark.createDataFrame([(i + 1, i + 1, p) for i, p in enumerate(pages)], "chunk_id int, page int, text string")
     queries = spark.createDataFrame([(1, "mujhe photosynthesis samjhao"), (2, "trigonometry identities"), (3, "what is the"), (4, "the cell")], "query_id int, text string")
     found = {}
-    for r in search.ranked_search(queries, search.build_index(chunks, text.tokens), text.tokens, 2).collect():
+    for r in search.ranked_search(queries, search.build_index(chunks, search.Words(text.WORD_CLASS, tuple(text.STOP), 2)), 2).collect():
         found.setdefault(r.query_id, set()).add(r.chunk_id)
     assert found == {1: {1, 3}, 4: {2}}
 
