@@ -26,9 +26,10 @@ def st1_rest(t):
     return t.responses
 
 
-_TIME = """, c AS (SELECT attempt_id, ms, event_id, CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type = 'error' THEN 0 END AS sign FROM commands),
-s AS (SELECT *, last_value(sign IGNORE NULLS) OVER (PARTITION BY attempt_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state, ms - lag(ms) OVER (PARTITION BY attempt_id ORDER BY ms, event_id) AS step FROM c)
-SELECT attempt_id, CAST(sum(CASE WHEN state = 1 THEN step ELSE 0 END) AS BIGINT) AS active_ms, max(ms) AS last_ms FROM s GROUP BY 1"""
+_TIME = """, g AS (SELECT attempt_id, ms, event_id, event_type, ms - lag(ms) OVER (PARTITION BY attempt_id ORDER BY ms, event_id) AS gap FROM commands),
+c AS (SELECT *, CASE WHEN event_type IN ('view', 'signup') THEN 1 WHEN event_type IN ('error', 'submit') THEN 0 WHEN gap > 2592000000 THEN 0 END AS sign FROM g),
+s AS (SELECT *, last_value(sign IGNORE NULLS) OVER (PARTITION BY attempt_id ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM c)
+SELECT attempt_id, CAST(sum(CASE WHEN state = 1 AND gap <= 2592000000 THEN gap ELSE 0 END) AS BIGINT) AS active_ms, max(ms) AS last_ms FROM s GROUP BY 1"""
 
 
 @query("st2_fold_time", _TIME)
@@ -37,7 +38,7 @@ def st2(t):
     before = t.spark.conf.get(name, None)
     t.spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return op.settle(op.stream_time(_stream(t)), ["attempt_id"], "time")
+        return op.times(op.settle(op.stream_time(_stream(t)), ["attempt_id", "spell"], "time"))
     finally:
         t.spark.conf.set(name, before) if before else t.spark.conf.unset(name)
 

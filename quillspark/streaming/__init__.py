@@ -24,18 +24,25 @@ def partial_responses(commands: DataFrame) -> DataFrame:
     )
 
 
-def merged_responses(partial: DataFrame) -> DataFrame:
-    """State of each (attempt, question): the last explicit choice or clearing, the last mark, whether visited, time spent."""
+def joined_responses(partial: DataFrame) -> DataFrame:
+    """Partial states of several sets of commands as one; in any order and grouping."""
     return partial.groupBy("attempt_id", "question_no").agg(
         F.min("user_id").alias("user_id"),
+        F.max("chosen_at").alias("chosen_at"),
         F.max_by("raw_chosen", "chosen_at").alias("raw_chosen"),
         F.max("visited").alias("visited"),
-        F.coalesce(F.max_by("marked", "marked_at"), F.lit(0)).alias("marked"),
+        F.max("marked_at").alias("marked_at"),
+        F.max_by("marked", "marked_at").alias("marked"),
         F.sum("time_ms").alias("time_ms"),
         F.max("last_ms").alias("last_ms"),
     )
 
 
+def merged_responses(partial: DataFrame) -> DataFrame:
+    """State of each (attempt, question): the last explicit choice or clearing, the last mark, whether visited, time spent."""
+    return joined_responses(partial).select("attempt_id", "question_no", "user_id", "raw_chosen", "visited", F.coalesce("marked", F.lit(0)).alias("marked"), "time_ms", "last_ms")
+
+
 def fold_responses(commands: DataFrame) -> DataFrame:
     """The state of each (attempt, question) at rest; rows may come in any order."""
     return merged_responses(partial_responses(commands))
@@ -71,69 +78,158 @@ def settle(stream: DataFrame, keys: list[str], tag: str, mode: str = "update") -
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
-def stream_responses(commands: DataFrame) -> DataFrame:
-    """The state of each (attempt, question) after a stream: batches are folded each by itself and merged at rest.
+class FoldedTable:
+    """What a stream's batches add up to: a log of batches, and snapshots that each stand for all batches up to one.
+
+    Every ``every`` batches the last snapshot and the log since are joined into the next snapshot; a mark, written after it,
+    makes it count, and what it stands for is deleted once the one after it counts. So a reader meets one snapshot and less
+    than twice ``every`` batches, however long the stream runs. A batch that runs again replaces itself in the log, or changes nothing
+    if a snapshot stands for it. A snapshot that was not finished has no mark and is written anew."""
+
+    def __init__(self, spark, path: str, made, joined, every: int = 8):
+        self.spark, self.path, self.made, self.joined, self.every = spark, path, made, joined, every
+
+    def _numbers(self, folder: str) -> list[int]:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        files = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(int(f.getPath().getName()) for f in files.listStatus(at)) if files.exists(at) else []
+
+    def _delete(self, folder: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _parts(self, upto: int | None = None) -> list[str]:
+        """The last snapshot that counts and the batches after it."""
+        marks = self._numbers("marks")
+        last = marks[-1] if marks else -1
+        return [f"snapshots/{last}"] * bool(marks) + [f"log/{n}" for n in self._numbers("log") if n > last and (upto is None or n <= upto)]
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        marks = self._numbers("marks")
+        last = marks[-1] if marks else -1
+        if number <= last:
+            return
+        self.made(batch).write.mode("overwrite").parquet(f"{self.path}/log/{number}")
+        if number - last < self.every:
+            return
+        whole = self.joined(self.spark.read.parquet(*[f"{self.path}/{p}" for p in self._parts(number)]))
+        whole.write.mode("overwrite").parquet(f"{self.path}/snapshots/{number}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/marks/{number}")
+        # The snapshot before stays until the next one counts: a reader may be at it.
+        for n in self._numbers("log"):
+            if n <= last:
+                self._delete(f"log/{n}")
+        for n in marks[:-1]:
+            self._delete(f"snapshots/{n}")
+            self._delete(f"marks/{n}")
+
+    def read(self, schema) -> DataFrame:
+        """Partial states, at most a few for each key."""
+        parts = self._parts()
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+
+
+def stream_responses(commands: DataFrame, every: int = 8) -> DataFrame:
+    """The state of each (attempt, question) after a stream: batches are folded each by itself and joined into snapshots.
 
     No state is kept between batches, so none has to end, and commands of any lateness count."""
-    return merged_responses(batches(commands, "responses", "append", partial_responses))
+    from quillspark.sources.folders import scratch
 
+    spark = commands.sparkSession
+    table = FoldedTable(spark, scratch(spark, "responses"), partial_responses, joined_responses, every)
+    commands.writeStream.foreachBatch(table.write).option("checkpointLocation", scratch(spark, "responses-log")).trigger(availableNow=True).start().awaitTermination()
+    return merged_responses(table.read(partial_responses(spark.createDataFrame([], commands.schema)).schema))
 
-OPENS, CLOSES = ("view", "signup"), ("error",)
 
+OPENS, CLOSES, ENDS = ("view", "signup"), ("error",), ("submit",)
+#: An attempt without a command for so long has been left: the time is not active, and it is closed.
+IDLE_MS = 30 * 86_400_000
 
-def fold_time(commands: DataFrame) -> DataFrame:
-    """Active time of each attempt, at rest: the time between commands while it is open. View and signup open it, error pauses it."""
+
+def fold_time(commands: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Active time of each attempt, at rest: the time between commands while it is open.
+
+    View and signup open it, error pauses it, submit ends it, and so does a gap of more than ``idle_ms``, which does not count."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("attempt_id").orderBy("ms", "event_id")
-    sign = F.when(F.col("event_type").isin(*OPENS), 1).when(F.col("event_type").isin(*CLOSES), 0)
-    state = F.last(sign, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    step = F.when(state == 1, F.col("ms") - F.lag("ms").over(w)).otherwise(0)
-    return commands.select("attempt_id", step.alias("step"), "ms").groupBy("attempt_id").agg(F.sum("step").alias("active_ms"), F.max("ms").alias("last_ms"))
+    gap = F.col("ms") - F.lag("ms").over(w)
+    kind = F.col("event_type")
+    sign = F.when(kind.isin(*OPENS), 1).when(kind.isin(*CLOSES, *ENDS), 0)
+    left = commands.select("attempt_id", "ms", "event_id", sign.alias("sign"), gap.alias("gap"))
+    # After a gap the attempt is closed until something opens it.
+    state = F.last(F.when(F.col("gap") > idle_ms, F.coalesce("sign", F.lit(0))).otherwise(F.col("sign")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    step = F.when((state == 1) & (F.col("gap") <= idle_ms), F.col("gap")).otherwise(0)
+    return left.select("attempt_id", step.alias("step"), "ms").groupBy("attempt_id").agg(F.sum("step").alias("active_ms"), F.max("ms").alias("last_ms"))
 
 
-def stream_time(commands: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The same for a stream, whatever order commands of the last ``delay`` come in.
+def stream_time(commands: DataFrame, delay: str = "1 hour", idle_ms: int = IDLE_MS) -> DataFrame:
+    """Active time of a stream: attempt_id, spell, active_ms, last_ms, whatever order commands of the last ``delay`` come in.
 
     State of an attempt: what is folded, up to the watermark, and its commands since, which are folded anew for each row
-    given out. Commands older than what is folded come too late and are left out."""
+    given out. Commands older than what is folded come too late and are left out. A timer ends an attempt, and its state goes, once the
+    watermark is ``idle_ms`` past its last command, or past the command that submitted it; what comes later is another
+    spell (named by a time of its first batch), which counts by itself."""
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    names = ["attempt_id", "spell", "active_ms", "last_ms"]
+
     class TimeFold(StatefulProcessor):
         def init(self, handle):
-            self.folded = handle.getValueState("folded", "active_ms long, last_ms long, is_open boolean")
+            self.handle = handle
+            self.folded = handle.getValueState("folded", "active_ms long, last_ms long, is_open boolean, is_over boolean")
+            self.spell = handle.getValueState("spell", "at long")
             self.waiting = handle.getListState("waiting", "ms long, event_id long, event_type string")
 
         def handleInputRows(self, key, rows, timer):
-            state = self.folded.get() if self.folded.exists() else (0, None, False)
-            frontier = state[1]
-            held = list(self.waiting.get()) if self.waiting.exists() else []
+            mark = timer.getCurrentWatermarkInMs()
+            state = tuple(self.folded.get()) if self.folded.exists() else None
+            held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
             new = pd.concat(list(rows))
-            held += [(int(m), int(e), str(k)) for m, e, k in zip(new["ms"], new["event_id"], new["event_type"], strict=True) if frontier is None or m > frontier]
+            held += [(int(m), int(e), str(k)) for m, e, k in zip(new["ms"], new["event_id"], new["event_type"], strict=True) if state is None or m > state[1]]
             held.sort()
-            mark, state_now = timer.getCurrentWatermarkInMs(), state
-            left = []
+            if not self.spell.exists() and held:
+                self.spell.update((held[0][0],))
+            now, left = state, []
             for ms, event, kind in held:
-                spent, last, is_open = state_now
-                state_now = (spent + (ms - last if is_open and last is not None else 0), ms, True if kind in OPENS else False if kind in CLOSES else is_open)
+                spent, last, is_open, _ = now or (0, ms, False, False)
+                is_open = is_open and ms - last <= idle_ms
+                now = (spent + (ms - last if is_open else 0), ms, kind in OPENS or (is_open and kind not in CLOSES + ENDS), kind in ENDS)
                 if ms < mark:
-                    state = state_now
+                    state = now
                 else:
                     left.append((ms, event, kind))
-            if state[1] is not None:
+            if state is not None:
                 self.folded.update(state)
             if left:
                 self.waiting.put(left)
             else:
                 self.waiting.clear()
-            yield pd.DataFrame({"attempt_id": [key[0]], "active_ms": [state_now[0]], "last_ms": pd.array([state_now[1]], dtype="Int64")})
+            if now is None:
+                yield pd.DataFrame([], columns=names)
+                return
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max(now[1] + (1 if now[3] else idle_ms + 1), mark + 1))
+            yield pd.DataFrame([(key[0], self.spell.get()[0], now[0], now[1])], columns=names)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            for held in (self.folded, self.spell, self.waiting):
+                held.clear()
+            yield pd.DataFrame([], columns=names)
 
         def close(self):
             pass
 
     at = commands.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
-    return at.groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=TimeFold(), outputStructType="attempt_id string, active_ms long, last_ms long", outputMode="Update", timeMode="EventTime")
+    return at.groupBy("attempt_id").transformWithStateInPandas(statefulProcessor=TimeFold(), outputStructType="attempt_id string, spell long, active_ms long, last_ms long", outputMode="Update", timeMode="EventTime")
+
+
+def times(spells: DataFrame) -> DataFrame:
+    """Active time of each attempt from the last rows of its spells."""
+    return spells.groupBy("attempt_id").agg(F.sum("active_ms").alias("active_ms"), F.max("last_ms").alias("last_ms"))
 
 
 def mistake_sink(commands: DataFrame, delay: str = "1 day") -> DataFrame:
