@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import words
-from quillspark.sources.folders import scratch
+from quillspark.sources.folders import scratch, written
 
 #: Documents of a slice, about.
 SLICE = 4096
@@ -122,13 +122,6 @@ def _worth(tf: Column, length: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table in the shared folder: what several steps read is made once."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _kth(scores: DataFrame, k: int) -> DataFrame:
     """query_id and its k-th best score, of queries with as many."""
     w = Window.partitionBy("query_id").orderBy(F.desc("partial"))
@@ -157,14 +150,14 @@ def ranked_search(queries: DataFrame, index: SearchIndex, k: int = 4, probe: flo
     First the levels that can add most (the share ``probe`` of all) give k chunks a score, and the least of these is a bound:
     then levels are read until what the unread ones can add is less, so that every chunk above the bound is found. For those that can
     still pass it, the unread levels are looked up in their slices."""
-    levels = _written(weighed_levels(queries, index), "levels")
+    levels = written(weighed_levels(queries, index), "levels")
     keys = ["query_id", "chunk_id", "page"]
     added = lambda rows: rows.groupBy(*keys).agg(F.sum(F.col("idf") * _worth(F.col("tf"), F.col("length"), index.mean_length)).alias("partial"))
     bound = _kth(added(index.entries(levels.filter(F.col("before") > F.col("all") * (1 - probe)).select("query_id", "term", "level", "idf"))), k)
-    placed = _written(levels.join(bound, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)) - 1e-9).withColumn("read", F.col("before") >= F.col("kth")), "bound")
+    placed = written(levels.join(bound, "query_id", "left").withColumn("kth", F.coalesce("kth", F.lit(0.0)) - 1e-9).withColumn("read", F.col("before") >= F.col("kth")), "bound")
     rest = placed.groupBy("query_id").agg(F.first("kth").alias("kth"), F.coalesce(F.max(F.when(~F.col("read"), F.col("before"))), F.lit(0.0)).alias("rest"))
     partial = added(index.entries(placed.filter("read").select("query_id", "term", "level", "idf")))
-    can = _written(partial.join(rest, "query_id").filter(F.col("partial") + F.col("rest") >= F.col("kth")).select(*keys, "partial"), "able")
+    can = written(partial.join(rest, "query_id").filter(F.col("partial") + F.col("rest") >= F.col("kth")).select(*keys, "partial"), "able")
     slices = can.select("query_id", _slice(F.col("chunk_id"), index.slices).alias("slice")).distinct()
     late = index.entries(placed.filter("not read").join(slices, "query_id").select("query_id", "term", "level", "idf", "slice"))
     more = late.join(can.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import half_up
+from quillspark.sources.folders import written
 
 
 def one_per_sitting(papers: DataFrame) -> DataFrame:
@@ -30,21 +31,56 @@ def resume_index(questions: DataFrame, responses: DataFrame) -> DataFrame:
     return rows.groupBy("attempt_id").agg(F.coalesce(F.min(F.when(F.col("chosen").isNull(), F.col("place"))), F.lit(0)).cast("long").alias("resume_at"))
 
 
-def islands(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Contiguous runs of one value: value, first and last place (from 0)."""
-    by = Window.partitionBy(key).orderBy(*order)
-    placed = rows.select(key, value, (F.row_number().over(by) - 1).cast("long").alias("at"), F.when(F.lag(value).over(by).eqNullSafe(F.col(value)), 0).otherwise(1).alias("new"))
-    run = placed.withColumn("island", F.sum("new").over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(key, "island").agg(F.first(value).alias(value), F.min("at").alias("first_at"), F.max("at").alias("last_at")).drop("island")
-
-
-def split_on_reset(rows: DataFrame, key: str, order: list[str], number: str) -> DataFrame:
-    """Numbered rows cut into papers where the number does not advance; the first reading of a number wins."""
-    by = Window.partitionBy(key).orderBy(*order)
-    cut = rows.withColumn("_n", F.row_number().over(by)).withColumn("_new", F.when(F.col(number) <= F.lag(number).over(by), 1).otherwise(0))
-    run = cut.withColumn("paper_no", (F.sum("_new").over(Window.partitionBy(key).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("long"))
-    first = Window.partitionBy(key, "paper_no", number).orderBy("_n")
-    return run.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_n", "_new", "_first")
+def pieced(rows: DataFrame, key: str, order: list[str], pieces: int | None = None) -> DataFrame:
+    """rows as a table with _piece: ranges of (key, order), so that a key of very many rows is several pieces in a row."""
+    keys = [key, *order]
+    dealt = rows.repartitionByRange(pieces, *keys) if pieces else rows.repartitionByRange(*keys)
+    return written(dealt.withColumn("_piece", F.spark_partition_id()), "pieced")
+
+
+def _met(rows: DataFrame, borders: DataFrame, key: str) -> DataFrame:
+    """rows with what is known of their piece. borders: key, _piece and others."""
+    other = borders.withColumnsRenamed({key: "_key", "_piece": "_at"})
+    return rows.join(other, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_at"))).drop("_key", "_at")
+
+
+def islands(rows: DataFrame, key: str, order: list[str], value: str, pieces: int | None = None) -> DataFrame:
+    """Contiguous runs of one value: value, first and last place (from 0).
+
+    Runs are found in each piece of a key; a run at a piece's start goes on from the pieces before if they end with its value.
+    Only a piece's first and last value and its counts meet in one window."""
+    held = pieced(rows.select(key, *[c for c in order if c != value], value), key, order, pieces)
+    by = Window.partitionBy(key, "_piece").orderBy(*order)
+    placed = held.select(key, "_piece", value, (F.row_number().over(by) - 1).cast("long").alias("at"), F.when(F.lag(F.struct(value)).over(by).eqNullSafe(F.struct(value)), 0).otherwise(1).alias("new"))
+    numbered_ = placed.withColumn("run", F.sum("new").over(Window.partitionBy(key, "_piece").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = written(numbered_.groupBy(key, "_piece", "run").agg(F.first(F.struct(value)).alias("v"), F.min("at").alias("first"), F.max("at").alias("last")), "runs")
+    ends = runs.groupBy(key, "_piece").agg((F.max("last") + 1).alias("n"), F.min_by("v", "run").alias("opens"), F.max_by("v", "run").alias("closes"), F.max("run").alias("runs"), F.max("first").alias("last_start"))
+    across = Window.partitionBy(key).orderBy("_piece")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "joined": F.lag("closes").over(across).eqNullSafe(F.col("opens"))})
+    # Where the run that a piece ends with began, unless the piece is all of one run from before.
+    began = F.when(~((F.col("runs") == 1) & F.col("joined")), F.col("base") + F.col("last_start"))
+    known = known.withColumn("since", F.last(began, ignorenulls=True).over(before)).select(key, "_piece", "base", "joined", "since")
+    whole = _met(runs, known, key).withColumn("first_at", F.when((F.col("run") == 1) & F.col("joined"), F.col("since")).otherwise(F.col("base") + F.col("first")))
+    return whole.groupBy(key, "first_at").agg(F.first(f"v.{value}").alias(value), F.max(F.col("base") + F.col("last")).alias("last_at")).select(key, value, "first_at", "last_at")
+
+
+def split_on_reset(rows: DataFrame, key: str, order: list[str], number: str, pieces: int | None = None) -> DataFrame:
+    """Numbered rows cut into papers where the number does not advance; the first reading of a number wins.
+
+    Cuts are counted in each piece of a key and added up over pieces; a piece's first number is compared with the last of the piece before."""
+    held = pieced(rows, key, order, pieces)
+    by = Window.partitionBy(key, "_piece").orderBy(*order)
+    cut = held.withColumn("_n", F.row_number().over(by)).withColumn("_new", F.when(F.col(number) <= F.lag(number).over(by), 1).otherwise(0))
+    cut = cut.withColumn("_cuts", F.sum("_new").over(Window.partitionBy(key, "_piece").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = held.groupBy(key, "_piece").agg(F.min_by(F.struct(number), F.struct(*order)).alias("opens"), F.max_by(F.struct(number), F.struct(*order)).alias("closes"))
+    ends = _met(ends, cut.groupBy(key, "_piece").agg(F.max("_cuts").alias("cuts")), key)
+    across = Window.partitionBy(key).orderBy("_piece")
+    border = F.when(F.col(f"opens.{number}") <= F.lag(f"closes.{number}").over(across), 1).otherwise(0)
+    known = ends.withColumn("border", border).withColumn("base", F.sum("border").over(across) + F.coalesce(F.sum("cuts").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(key, "_piece", "base")
+    run = _met(cut, known, key).withColumn("paper_no", (F.col("_cuts") + F.col("base") + 1).cast("long"))
+    first = Window.partitionBy(key, "paper_no", number).orderBy("_piece", "_n")
+    return run.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_n", "_new", "_first", "_piece", "_cuts", "base")
 
 
 def trend(attempts: DataFrame, last: int = 6) -> DataFrame:

@@ -56,6 +56,33 @@ def test_stems_are_whole(spark):
     assert sorted(r.id for r in windows.dedupe_stems(rows, norm_stem(F.col("stem")), ["id"]).collect()) == [1, 2, 4, 5]
 
 
+def test_a_key_may_span_pieces(spark):
+    """A key with half of all rows is cut into pieces; islands and papers are those of one pass over the rows."""
+    rng = __import__("random").Random(6)
+    rows = [("big" if i % 2 else rng.choice(["a", "b", None]), i, rng.choice([1, 1, 1, 2, None]) if i % 900 > 400 else 5, (i % 37) if rng.random() < 0.97 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at int, v int, n int")
+    islands, papers = set(), set()
+    for k in ("big", "a", "b", None):
+        own = [r for r in rows if r[0] == k]
+        start = 0
+        for i in range(1, len(own) + 1):
+            if i == len(own) or own[i][2] != own[i - 1][2]:
+                islands.add((k, own[start][2], start, i - 1))
+                start = i
+        paper, seen, last = 1, set(), None
+        for i, r in enumerate(own):
+            if i and r[3] is not None and last is not None and r[3] <= last:
+                paper += 1
+            last = r[3]
+            if (paper, r[3]) not in seen:
+                seen.add((paper, r[3]))
+                papers.add((k, r[1], paper))
+    for pieces in (None, 9, 40):
+        assert {tuple(r) for r in windows.islands(df, "k", ["at"], "v", pieces).select("k", "v", "first_at", "last_at").collect()} == islands
+        assert {(r.k, r.at, r.paper_no) for r in windows.split_on_reset(df, "k", ["at"], "n", pieces).collect()} == papers
+    assert windows.pieced(df, "k", ["at"], 9).filter("k = 'big'").select("_piece").distinct().count() >= 4
+
+
 def test_budget_skips_and_continues(spark):
     items = spark.createDataFrame([("u", 1, "a", 20.0, 30.0), ("u", 2, "b", 15.0, 30.0), ("u", 3, "c", 10.0, 30.0), ("v", 1, "z", 99.0, 30.0)], "user string, place int, id string, cost double, budget double")
     assert {r.user: (r.taken, r.spent) for r in windows.budget_fill(items, "user", "budget").collect()} == {"u": ("a,c", 30.0), "v": ("z", 99.0)}
