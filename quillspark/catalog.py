@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark import plans
-from quillspark.plans import assembly, content, joining, quality, selection, stats, streams, text, updates  # noqa: F401
+from quillspark.plans import assembly, content, joining, quality, reports, selection, stats, streams, text, updates  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 

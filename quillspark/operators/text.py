@@ -299,13 +299,13 @@ def script_profile(docs: DataFrame) -> DataFrame:
     return each.withColumn("dominant", F.coalesce(indic["script"], F.lit("latin")))
 
 
-#: Shapes of question.
+#: Shapes of question, the most specific first.
 ARCHETYPES = [
-    ("assertionReason", r"(?i)assertion[ ]*\(?[ ]*a[ ]*\)?|reason[ ]*\(?[ ]*r[ ]*\)?"),
-    ("statements", r"(?i)statement[ ]*[-–]?[ ]*(i|1|ii|2)([^a-z0-9]|$)|following statements|consider the following"),
-    ("match", r"(?i)match the|column[ ]*[-–]?[ ]*i|correctly matched"),
-    ("negative", r"(?i)(^|[^a-z])not([^a-z][^.?]{0,40})(correct|true|appropriate)|which[^.?]{0,25}[^a-z]not([^a-z]|$)|except([^a-z]|$)|incorrect"),
-    ("pedagogyScenario", r"(?i)(^|[^a-z])(teacher|classroom|pupils?|learners?)([^a-z]|$)"),
+    ("assertionReason", r"(?i)assertion[ \t\n]*\(?[ \t\n]*a[ \t\n]*\)?|reason[ \t\n]*\(?[ \t\n]*r[ \t\n]*\)?"),
+    ("match", r"(?i)match the|column[ \t\n]*[-–]?[ \t\n]*i|correctly matched"),
+    ("statements", r"(?i)statement[ \t\n]*[-–]?[ \t\n]*(i|1|ii|2)([^a-z0-9_]|$)|following statements|consider the following"),
+    ("negative", r"(?i)(^|[^a-z0-9_])not([^a-z0-9_.?][^.?]{0,39})(correct|true|appropriate)|which([^.?]{0,24}[^a-z0-9_.?])not([^a-z0-9_]|$)|except([^a-z0-9_]|$)|incorrect"),
+    ("pedagogyScenario", r"(?i)teacher|classroom|class room|students? (are|is|were|should)|pedagog|assessment|evaluation"),
 ]
 
 
