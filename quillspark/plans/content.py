@@ -97,20 +97,35 @@ def s5_export(t):
     return t.spark.read.parquet(f"{path}/questions").groupBy("exam_code").agg(F.count(F.lit(1)).alias("questions"))
 
 
+#: Rows of a part: small, so that accounts of the given tables have several.
+_MOST = 25
+
+
 def _snapshots(t):
     c = t.commands.withColumnRenamed("user_id", "account")
     rows = lambda kinds: c.filter(F.col("event_type").isin(kinds)).select("account", "event_id", "question_no", "chosen")
-    return readers.pack_snapshot(rows(["view"]), rows(["click"]), rows(["error", "purchase"]))
+    return readers.pack_snapshot(rows(["view"]), rows(["click"]), rows(["error", "purchase"]), _MOST)
+
 
+_PARTS = f""", r AS (SELECT user_id AS account, event_id, question_no, chosen, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS kind FROM commands WHERE event_type IN ('view', 'click', 'error', 'purchase')),
+n AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY account, kind ORDER BY event_id) - 1) / {_MOST}) AS INTEGER) AS part FROM r),
+parts AS (SELECT account, part, to_json({{'attempts': list({{'event_id': event_id, 'question_no': question_no, 'chosen': chosen}} ORDER BY event_id) FILTER (WHERE kind = 1), 'responses': list({{'event_id': event_id, 'question_no': question_no, 'chosen': chosen}} ORDER BY event_id) FILTER (WHERE kind = 2), 'mistakes': list({{'event_id': event_id, 'question_no': question_no, 'chosen': chosen}} ORDER BY event_id) FILTER (WHERE kind = 3)}}) AS payload, count(*) FILTER (WHERE kind = 1) AS n_attempts, count(*) FILTER (WHERE kind = 2) AS n_responses, count(*) FILTER (WHERE kind = 3) AS n_mistakes FROM n GROUP BY 1, 2)"""
 
-@query("s6_pack_snapshot", "SELECT user_id AS account, count(*) FILTER (WHERE event_type = 'view') AS n_attempts, count(*) FILTER (WHERE event_type = 'click') AS n_responses, count(*) FILTER (WHERE event_type IN ('error', 'purchase')) AS n_mistakes FROM commands WHERE event_type IN ('view', 'click', 'error', 'purchase') GROUP BY 1")
+
+@query("s6_pack_snapshot", _PARTS + " SELECT account, part, CAST(payload AS VARCHAR) AS payload, n_attempts, n_responses, n_mistakes FROM parts")
 def s6(t):
-    return _snapshots(t).drop("payload")
+    return _snapshots(t)
+
+
+@query("s6_index_snapshots", _PARTS + " SELECT account, count(*) AS parts, CAST(sum(n_attempts) AS BIGINT) AS n_attempts, CAST(sum(n_responses) AS BIGINT) AS n_responses, CAST(sum(n_mistakes) AS BIGINT) AS n_mistakes FROM parts GROUP BY 1")
+def s6_index(t):
+    return readers.index_snapshots(_snapshots(t))
 
 
 @query("s6_unpack_snapshot", "SELECT user_id AS account, event_id, chosen FROM commands WHERE event_type = 'click'")
 def s6_unpack(t):
-    return readers.unpack_snapshot(_snapshots(t), "responses", "event_id:bigint,chosen:string")
+    packed = _snapshots(t)
+    return readers.unpack_snapshot(packed, readers.index_snapshots(packed), "responses", "event_id:bigint,chosen:string")
 
 
 @query("s7_align_schema", "SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS c_note FROM customer", prelude=False)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.operators.numbering import numbered
+
 OPTION = "struct<label:string,text:map<string,string>,isCorrect:boolean>"
 PARSED = (
     "paper struct<id:string,examCode:string,paperType:string,heldOn:string,totalQuestions:int>, "
@@ -66,20 +68,38 @@ def align_schema(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*[column(f) for f in target.fields])
 
 
-def pack_snapshot(attempts: DataFrame, responses: DataFrame, mistakes: DataFrame) -> DataFrame:
-    """One document for each account: its three tables as JSON, with counts. Tables: account, then their own columns."""
+NAMES = ("attempts", "responses", "mistakes")
+
+
+def pack_snapshot(attempts: DataFrame, responses: DataFrame, mistakes: DataFrame, most: int = 10_000) -> DataFrame:
+    """account, part (from 0), payload and counts: an account's three tables as JSON documents of at most ``most`` rows of each.
+
+    Tables: account, then their own columns, by which rows are in order. An account of few rows is one document; of many, several,
+    and its rows are numbered over ranges, so no task holds them all. Rows without an account belong to nobody and stay out."""
 
     def packed(df: DataFrame, name: str) -> DataFrame:
         own = [c for c in df.columns if c != "account"]
-        return df.groupBy("account").agg(F.sort_array(F.collect_list(F.struct(*own))).alias(name))
+        rows = numbered(df.filter("account is not null"), ["account", *own], "_n")
+        first = rows.groupBy("account").agg(F.min("_n").alias("_first"))
+        part = F.floor((F.col("_n") - F.col("_first")) / most).cast("int")
+        return rows.join(first, "account").groupBy("account", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct(*own))).alias(name))
 
-    both = packed(attempts, "attempts").join(packed(responses, "responses"), "account", "full").join(packed(mistakes, "mistakes"), "account", "full")
-    names = ["attempts", "responses", "mistakes"]
+    keys = ["account", "part"]
+    both = packed(attempts, "attempts").join(packed(responses, "responses"), keys, "full").join(packed(mistakes, "mistakes"), keys, "full")
     count = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long").alias(f"n_{c}")
-    return both.select("account", F.to_json(F.struct(*names)).alias("payload"), *[count(c) for c in names])
+    return both.select(*keys, F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"}).alias("payload"), *[count(c) for c in NAMES])
+
+
+def index_snapshots(snapshots: DataFrame) -> DataFrame:
+    """A row for each account: its parts and what they count."""
+    return snapshots.groupBy("account").agg(F.count(F.lit(1)).alias("parts"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in NAMES])
+
 
+def unpack_snapshot(snapshots: DataFrame, index: DataFrame, table: str, schema: str) -> DataFrame:
+    """One of the three tables back from the documents of accounts whose parts are all there; fields outside the schema are dropped.
 
-def unpack_snapshot(snapshots: DataFrame, table: str, schema: str) -> DataFrame:
-    """One of the three tables back from the documents; fields outside the schema are dropped."""
+    An account with a part missing, twice or not in the index gives no rows: half a history must not replace a whole one."""
+    there = snapshots.groupBy("account").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct("part").alias("_parts"), F.max("part").alias("_last"))
+    whole = there.join(index.select("account", "parts"), "account").filter("_rows = parts and _parts = parts and _last = parts - 1").select("account")
     parsed = F.from_json("payload", f"{table} array<struct<{schema}>>")
-    return snapshots.select("account", F.explode(parsed[table]).alias("r")).select("account", "r.*")
+    return snapshots.join(whole, "account", "left_semi").select("account", F.explode(parsed[table]).alias("r")).select("account", "r.*")

@@ -83,6 +83,27 @@ def test_a_key_may_span_pieces(spark):
     assert windows.pieced(df, "k", ["at"], 9).filter("k = 'big'").select("_piece").distinct().count() >= 4
 
 
+def test_an_account_of_many_rows_is_several_documents(spark):
+    """A third of a million rows of one account, in parts; a lost, doubled or unknown part withholds the account."""
+    from quillspark.sources import readers
+
+    n = 330_000
+    rows = spark.range(n).select(F.when(F.col("id") % 11 == 0, F.concat(F.lit("u"), F.col("id") % 7)).when(F.col("id") % 1000 != 1, "hot").alias("account"), F.col("id").alias("at"), F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("chosen"))
+    packed = readers.pack_snapshot(rows, rows.filter("at % 2 = 0"), rows.limit(0))
+    path = __import__("tempfile").mkdtemp(prefix="spark-")
+    packed.write.parquet(f"{path}/parts")
+    packed = spark.read.parquet(f"{path}/parts")
+    index = readers.index_snapshots(packed)
+    known = {r.account: (r.parts, r.n_attempts, r.n_responses, r.n_mistakes) for r in index.collect()}
+    assert known["hot"][0] > 25 and known["hot"][3] == 0 and len(known) == 8
+    assert packed.agg(F.max("n_attempts")).first()[0] == 10_000
+    back = readers.unpack_snapshot(packed, index, "attempts", "at:bigint,chosen:string")
+    assert back.count() == rows.filter("account is not null").count()
+    assert back.exceptAll(rows.filter("account is not null")).count() == 0
+    broken = packed.filter("not (account = 'hot' and part = 3)").unionByName(packed.filter("account = 'u1' and part = 0"))
+    assert {r.account for r in readers.unpack_snapshot(broken, index, "responses", "at:bigint").select("account").distinct().collect()} == {f"u{i}" for i in range(7)} - {"u1"}
+
+
 def test_budget_skips_and_continues(spark):
     items = spark.createDataFrame([("u", 1, "a", 20.0, 30.0), ("u", 2, "b", 15.0, 30.0), ("u", 3, "c", 10.0, 30.0), ("v", 1, "z", 99.0, 30.0)], "user string, place int, id string, cost double, budget double")
     assert {r.user: (r.taken, r.spent) for r in windows.budget_fill(items, "user", "budget").collect()} == {"u": ("a,c", 30.0), "v": ("z", 99.0)}
