@@ -56,45 +56,62 @@ def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), each.select("chunk_id", F.size("ws").cast("long").alias("length"))
 
 
-def _chunk_type() -> str:
-    return "array<struct<seq:int,page_from:int,page_to:int,chapter:string,content:string>>"
-
-
 def _strip(c: Column) -> Column:
     """Without blanks and line ends on either side."""
     return F.regexp_replace(c, r"^[ \t\n]+|[ \t\n]+$", "")
 
 
+def _passages(target: int, overlap: int, least: int):
+    """The fold of sorted paragraphs: what is held is the passage that is being filled, whatever a document's length."""
+
+    def fold(batches):
+        doc, number, held, size, since, chapter, last = None, 0, "", 0, 0, None, None
+        begun = False
+
+        def closed(page):
+            nonlocal held, size, since, number
+            body = held.strip(" \t\n")
+            if len(body) < least:
+                held, size = "", 0
+                return
+            yield doc, number, since, page, chapter, body
+            held, since, number = body[-overlap:], page, number + 1
+            size = len(held)
+
+        for b in batches:
+            out = []
+            for d, page, text, head in zip(b["doc_id"], b["page"], b["p"], b["head"], strict=True):
+                if not begun or d != doc:
+                    if begun and size:
+                        out += closed(last)
+                    doc, number, held, size, since, chapter, begun = d, 0, "", 0, 0, None, True
+                if head and size:
+                    out += closed(page)
+                if head:
+                    chapter, since = head, page
+                if size and size + len(text) > target:
+                    out += closed(page)
+                held, size, last = held + ("\n" if held else "") + text, size + len(text), page
+            yield pd.DataFrame(out, columns=["doc_id", "seq", "page_from", "page_to", "chapter", "content"])
+        if begun and size:
+            yield pd.DataFrame(list(closed(last)), columns=["doc_id", "seq", "page_from", "page_to", "chapter", "content"])
+
+    return fold
+
+
 def chunk_corpus(pages: DataFrame, target: int = 1400, overlap: int = 200, least: int = 200) -> DataFrame:
     """doc_id, seq, page_from, page_to, chapter, content: passages of whole paragraphs, each opening with the end of the one before.
 
     pages: doc_id, page, text. A chapter heading closes a passage; bodies under ``least`` characters are dropped with their
-    carried end. An ordered fold of each document's paragraphs."""
-    cleaned = pages.withColumn("text", clean_page(F.col("text"))).filter("text != ''")
+    carried end. Paragraphs are rows, read in order; a document is never one row, however many pages it has. Pages of no
+    document stay out."""
+    cleaned = pages.filter("doc_id is not null").withColumn("text", clean_page(F.col("text"))).filter("text != ''")
     chapter = F.trim(F.regexp_replace(F.regexp_extract("text", r"(?m)^[ \t]*((?:CHAPTER|Chapter)[ \t]+[0-9]{1,2}(?![A-Za-z0-9])[^\n]{0,80})", 1), r"[ \t]+", " "))
     paras = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda p: _strip(p)), lambda p: p != "")
-    rows = cleaned.select("doc_id", "page", F.posexplode(F.transform(paras, lambda p, i: F.struct(p.alias("p"), F.when(i == 0, chapter).otherwise("").alias("head")))))
-    items = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "pos", "col.p", "col.head"))).alias("items"), F.max("page").alias("last_page"))
-    start = F.struct(F.lit("").alias("buf"), F.lit(0).alias("size"), F.lit(0).alias("from_page"), F.lit(None).cast("string").alias("chapter"), F.array().cast(_chunk_type()).alias("out"))
-
-    def flush(a: Column, page: Column) -> Column:
-        body = _strip(a["buf"])
-        tail = F.substring(body, -overlap, overlap)
-        made = F.struct(F.size(a["out"]).alias("seq"), a["from_page"].alias("page_from"), page.alias("page_to"), a["chapter"].alias("chapter"), body.alias("content"))
-        kept = F.struct(tail.alias("buf"), F.char_length(tail).alias("size"), page.alias("from_page"), a["chapter"].alias("chapter"), F.concat(a["out"], F.array(made)).alias("out"))
-        gone = F.struct(F.lit("").alias("buf"), F.lit(0).alias("size"), a["from_page"].alias("from_page"), a["chapter"].alias("chapter"), a["out"].alias("out"))
-        return F.when(F.char_length(body) < least, gone).otherwise(kept)
-
-    def step(a: Column, x: Column) -> Column:
-        n = F.char_length(x["p"])
-        opened = F.when((x["head"] != "") & (a["size"] > 0), flush(a, x["page"])).otherwise(a)
-        titled = F.struct(opened["buf"].alias("buf"), opened["size"].alias("size"), F.when(x["head"] != "", x["page"]).otherwise(opened["from_page"]).alias("from_page"), F.when(x["head"] != "", x["head"]).otherwise(opened["chapter"]).alias("chapter"), opened["out"].alias("out"))
-        ready = F.when((titled["size"] + n > target) & (titled["size"] > 0), flush(titled, x["page"])).otherwise(titled)
-        return F.struct(F.concat(ready["buf"], F.when(ready["buf"] == "", "").otherwise("\n"), x["p"]).alias("buf"), (ready["size"] + n).alias("size"), ready["from_page"].alias("from_page"), ready["chapter"].alias("chapter"), ready["out"].alias("out"))
-
-    folded = items.withColumn("_f", F.aggregate("items", start, step))
-    done = F.when(F.col("_f.size") > 0, flush(F.col("_f"), F.col("last_page").cast("int"))).otherwise(F.col("_f"))
-    return folded.select("doc_id", F.inline(done["out"]))
+    rows = cleaned.select("doc_id", F.col("page").cast("int").alias("page"), F.posexplode(F.transform(paras, lambda p, i: F.struct(p.alias("p"), F.when(i == 0, chapter).otherwise("").alias("head")))))
+    ordered = rows.select("doc_id", "page", "pos", "col.p", "col.head").repartition("doc_id").sortWithinPartitions("doc_id", "page", "pos")
+    kind = pages.schema["doc_id"].dataType.simpleString()
+    return ordered.mapInPandas(_passages(target, overlap, least), f"doc_id {kind}, seq int, page_from int, page_to int, chapter string, content string")
 
 
 def chunk_pages(pages: DataFrame, target: int = 1200, least: int = 40) -> DataFrame:

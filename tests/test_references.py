@@ -73,6 +73,24 @@ def test_chunk_corpus(found, pages):
     assert got == want and len(want) > 200
 
 
+def test_a_document_of_many_pages(spark):
+    """A hundred thousand pages of one document beside small ones: the passages of the plain fold."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    words = F.repeat(F.concat(F.lit("page "), F.col("id").cast("string"), F.lit(" has words. ")), (F.col("id") % 9 + 1).cast("int"))
+    text = F.concat(F.when(F.col("id") % 700 == 5, F.concat(F.lit("Chapter "), (F.col("id") % 90).cast("string"), F.lit(" Title\n\n"))).otherwise(""), words, F.lit("\n\nSecond paragraph "), F.col("id").cast("string"))
+    pages = spark.range(n).select(F.lit("long").alias("doc_id"), F.col("id").cast("int").alias("page"), text.alias("text")).union(spark.createDataFrame([("short", 0, "y" * 300), ("tiny", 0, "z"), (None, 0, "w" * 500)], "doc_id string, page int, text string"))
+    got = {(r.seq, r.page_from, r.page_to, r.chapter, r.content) for r in op.chunk_corpus(pages.repartition(7)).filter("doc_id = 'long'").collect()}
+
+    def page(i):
+        return (f"Chapter {i % 90} Title\n\n" if i % 700 == 5 else "") + f"page {i} has words. " * (i % 9 + 1) + f"\n\nSecond paragraph {i}"
+
+    want = {(k, *p) for k, p in enumerate(passages(map(page, range(n))))}
+    assert got == want and len(want) > 8000
+    assert [r.doc_id for r in op.chunk_corpus(pages.filter("doc_id is null or doc_id != 'long'")).collect()] == ["short"]
+
+
 def test_chunk_pages(found, pages):
     target, want = 1200, set()
     for doc, ps in pages.items():
