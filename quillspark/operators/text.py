@@ -197,8 +197,10 @@ def repeat_candidates(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
     """Every pair of distinct stems whose difflib ratio can reach the threshold: (a, b), a < b.
 
     Lengths, counts of characters and the longest common subsequence each bound the ratio from above, so no pair is lost.
-    At such thresholds no index of q-grams holds fewer pairs than lengths and counts do: the work grows with the square of
-    the stems of a band of lengths."""
+    No index of pieces or q-grams can do better at such thresholds. With T characters in both stems at most 0.18 T stay unmatched,
+    so there are up to 0.18 T + 1 matching blocks, of 2.3 characters on average: pieces that must survive have two or three
+    characters, and only 0.05 T - 2 common runs of three are certain, of about T / 2. Of 57,951 pairs of given stems of fitting lengths
+    72 in a hundred have as many. The work grows with the square of the stems of a band of lengths."""
     band = F.floor(F.log(F.char_length("norm")) / math.log((2 - threshold) / threshold + 0.001)).cast("int")
     banded = rows.select("norm", band.alias("band"))
     blocks = {r["band"]: -(-r["count"] // STEM_BLOCK) for r in banded.groupBy("band").count().collect()}
@@ -217,16 +219,21 @@ def repeat_candidates(rows: DataFrame, threshold: float = 0.82) -> DataFrame:
 
 
 def repeats(questions: DataFrame, threshold: float = 0.82, least: int = 40) -> DataFrame:
-    """Stems asked again in other sittings: anchor, sittings, questions. questions: question_id, sitting, stem.
+    """Stems asked again in other sittings: anchor, sittings, questions, and topic (of the anchor's first question) if questions have one.
 
-    Each stem goes to its smallest anchor among those alike that is not itself a member of another."""
+    questions: question_id, sitting, stem, topic. Two stems are linked if they are alike and not both of one sitting alone: that is a
+    reshuffled set, no repeat. Each stem goes to its smallest anchor among those linked that is not itself a member of another."""
     rows = questions.withColumn("norm", norm_stem(F.col("stem"))).filter(F.char_length("norm") >= least)
-    distinct = rows.select("norm").distinct()
-    pairs = repeat_candidates(distinct, threshold).withColumn("ratio", _ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    distinct = rows.groupBy("norm").agg(F.min("sitting").alias("lo"), F.max("sitting").alias("hi"))
+    pairs = repeat_candidates(distinct.select("norm"), threshold).withColumn("ratio", _ratio("a", "b")).filter(F.col("ratio") >= threshold)
+    of = lambda x: distinct.select(F.col("norm").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"))
+    same = F.col("lo_a").eqNullSafe(F.col("hi_a")) & F.col("lo_b").eqNullSafe(F.col("hi_b")) & F.col("lo_a").eqNullSafe(F.col("lo_b"))
+    pairs = pairs.join(of("a"), "a").join(of("b"), "b").filter(~same)
     members = pairs.select(F.col("b").alias("x")).distinct()
     anchored = pairs.join(members, pairs["a"] == members["x"], "left_anti").groupBy("b").agg(F.min("a").alias("anchor"))
     grouped = rows.join(anchored, rows["norm"] == anchored["b"], "left").withColumn("anchor", F.coalesce("anchor", "norm"))
-    return grouped.groupBy("anchor").agg(F.count_distinct("sitting").alias("sittings"), F.count(F.lit(1)).alias("questions")).filter("sittings > 1")
+    topic = [F.min_by("topic", F.when(F.col("norm") == F.col("anchor"), F.col("question_id"))).alias("topic")] if "topic" in questions.columns else []
+    return grouped.groupBy("anchor").agg(F.count_distinct("sitting").alias("sittings"), F.count(F.lit(1)).alias("questions"), *topic).filter("sittings > 1")
 
 
 #: What a stem about the teaching act says, and what makes it content all the same.

@@ -148,6 +148,16 @@ def test_repeats_find_what_brute_force_finds(spark):
     assert all(SequenceMatcher(None, a, a.replace("winding", "curving")).ratio() >= 0.82 for a in base)
 
 
+def test_stems_of_one_sitting_are_no_repeats(spark):
+    """Alike stems of one sitting do not link with each other, but each with the one of another sitting."""
+    base = "which of these rivers carries the most silt into the long eastern delta each year"
+    rows = [(1, "2024", base, "rivers"), (2, "2024", base.replace("most", "more"), "silt"), (3, "2025", base.replace("most", "last"), "delta"), (4, "2024", base.replace("eastern", "western"), None)]
+    got = text.repeats(spark.createDataFrame(rows, "question_id int, sitting string, stem string, topic string")).collect()
+    assert [(r.anchor, r.sittings, r.questions, r.topic) for r in got] == [(base.replace("most", "last"), 2, 4, "delta")]
+    alone = text.repeats(spark.createDataFrame([r for r in rows if r[1] == "2024"], "question_id int, sitting string, stem string, topic string"))
+    assert alone.collect() == []
+
+
 def test_repeats_with_several_changes_are_not_lost(spark):
     import random
     from difflib import SequenceMatcher

@@ -157,7 +157,7 @@ def test_repeats(spark):
                 break
             if 2 * (letters[a] & letters[b]).total() >= 0.82 * (len(a) + len(b)) - 1e-9:
                 x, y = min(a, b), max(a, b)
-                if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.82:
+                if len(set(rows[x] + rows[y])) > 1 and difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.82:
                     alike[y].add(x)
     want = {}
     for s in stems:
