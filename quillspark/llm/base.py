@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SHELVES: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def shelf(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that stored() writes inside go at the end, but for those that the caller takes off the list.
+
+    with shelf(spark): operator(docs).write.parquet(path) leaves nothing but the result in the shared folder."""
+    own: list[str] = []
+    _SHELVES.append(own)
+    try:
+        yield own
+    finally:
+        _SHELVES.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here and lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends here and lost executors cost nothing.
+
+    It stays until shelf() removes it: what reads it may be written much later."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    if _SHELVES:
+        _SHELVES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -99,6 +99,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, red
     member = found.join(decided, "component").select(F.col("node").alias("_node"), F.col("component").alias("_component"), F.col("taken").alias("_taken"))
     rule, action = judged(F.col("_host"), F.col("_path"), rules)
     own = pages.withColumns({"_host": host(F.col(url)), "_path": path(F.col(url)), "_name": node(F.col(url))}).withColumns({"_rule": rule, "_action": action})
+    # Pages without a name have keys of their own, which no name equals, so that they do not meet in one task.
+    own = own.withColumn("_name", F.coalesce("_name", F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string"))))
     out = own.join(member, F.col("_name") == F.col("_node"), "left")
     clash = [c for c in ("host", "path", "rule", "verdict", "component") if c in pages.columns]
     return out.drop(*clash).withColumns({"host": F.col("_host"), "path": F.col("_path"), "rule": F.col("_rule"), "verdict": F.coalesce("_action", "_taken", F.lit("allow")), "component": F.col("_component")}).drop("_host", "_path", "_name", "_rule", "_action", "_node", "_component", "_taken")

@@ -7,8 +7,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillspark.llm import mixing, quality
-from quillspark.llm.base import read, stored
+from quillspark.llm import mixing, ngram_join, quality
+from quillspark.llm.base import read, shared_folder, shelf, stored
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -34,6 +34,22 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, FOLDER).count() == bins.count()
 
 
+def test_tables_of_a_run_go(spark):
+    """A shelf leaves nothing in the shared folder, a run of the pipeline its last stage's input and tables."""
+    import os
+
+    folder = shared_folder(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    with shelf(spark):
+        n = ngram_join.join_documents(read(spark, FOLDER, "documents")).count()
+        assert len(set(os.listdir(folder)) - there) > 5
+    assert n == 200 and set(os.listdir(folder)) == there
+    done = corpus_pipeline.run(spark, FOLDER)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there}
+    assert "mixing-sources-to-target-weights" in left and not left & {"quality-rules", "n-gram-Jaccard-join", "secret-scans", "edges", "labelled", "sized"}
+    assert done.count() > 0
+
+
 WORDS = [f"{a}{b}" for a in "ba de fi go hu ka le mi no pu".split() for b in "r s t n l".split()]
 
 
