@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import mixing, ngram_join, packing, quality, secrets
-from quillspark.llm.base import read, stored
+from quillspark.llm.base import read, shelf, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,8 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again; what a stage wrote on its way goes once it is done."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with shelf(spark) as tables:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept = tables.pop()
+            if before:
+                tables.append(before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
