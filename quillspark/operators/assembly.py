@@ -9,7 +9,7 @@ from quillspark.functions import half_up, norm_stem
 from quillspark.operators.numbering import numbered
 from quillspark.operators.rings import draw, ring
 from quillspark.operators.statistics import accuracy
-from quillspark.operators.windows import budget_fill, dedupe_stems
+from quillspark.operators.windows import budget_fill_few, dedupe_stems
 
 
 def build_sets(pool: DataFrame, blueprint: DataFrame, seeds: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
@@ -121,7 +121,8 @@ def daily_plan(users: DataFrame, papers: DataFrame, attempts: DataFrame, mistake
     users: user_id, budget; attempts: user_id, paper_no, score, max_score; the others as in plan_items()."""
     items = plan_items(users, papers, attempts, mistakes, subjects)
     own = users.select("user_id", F.coalesce("budget", F.lit(30.0)).alias("budget"))
-    filled = budget_fill(items.join(own, "user_id"), "user_id", "budget")
+    # Five items at most for each user.
+    filled = budget_fill_few(items.join(own, "user_id"), "user_id", "budget")
     groups = _weak_groups(mistakes)
     weak = groups.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= 3, F.struct("at", "subject", "n")))), lambda x: F.concat_ws(":", x["subject"], x["n"].cast("string"))), "|").alias("weak_areas"), F.sum("n").alias("mistakes"))
     scored = accuracy(attempts).select("user_id", F.col("mean_pct").alias("overall_pct"), F.col("scored").alias("attempts"))

@@ -137,3 +137,16 @@ def budget_fill(items: DataFrame, key: str, budget: str) -> DataFrame:
     rows = items.select(F.col(key).alias("k"), "place", F.col("id").cast("string").alias("id"), F.col("cost").cast("double").alias("cost"), F.col(budget).cast("double").alias("left")).filter("k is not null")
     sorted_ = rows.repartition("k").sortWithinPartitions("k", "place", "id")
     return sorted_.mapInPandas(fold, f"k {items.schema[key].dataType.simpleString()}, taken string, spent double").withColumnRenamed("k", key)
+
+
+def budget_fill_few(items: DataFrame, key: str, budget: str) -> DataFrame:
+    """The same for keys of a few items each (a day's plan): a key is one row, folded without Python. A key has one budget."""
+    own = F.struct("place", F.col("id").cast("string").alias("id"), F.col("cost").cast("double").alias("cost"))
+    by = items.filter(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(own)).alias("xs"), F.max(F.col(budget).cast("double")).alias("left"))
+    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<string>").alias("ids"))
+
+    def step(acc, x):
+        fits = (F.size(acc["ids"]) == 0) | (acc["spent"] + x["cost"] <= F.col("left"))
+        return F.when(fits, F.struct((acc["spent"] + x["cost"]).alias("spent"), F.concat(acc["ids"], F.array(x["id"])).alias("ids"))).otherwise(acc)
+
+    return by.withColumn("_f", F.aggregate("xs", start, step)).select(key, F.array_join("_f.ids", ",").alias("taken"), F.col("_f.spent").alias("spent"))

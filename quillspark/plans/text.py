@@ -103,7 +103,21 @@ def t7(t):
     return search.loose_search(_asks(t), _index(t, "words"))
 
 
-@query("t8_retrieve")
+_PART = "CASE WHEN chunk_id % 10 < 8 THEN 'corpus' ELSE 'notes' END AS part"
+
+
+@query(
+    "t8_retrieve",
+    _FIX_SQL
+    + _ASK
+    + _STRICT.replace("ELSE text END AS text FROM q),", "ELSE text END AS text FROM q UNION ALL SELECT -1, 'zzzz qqqq'),")
+    + _ANY.format("wq")
+    + f""", sr AS (SELECT query_id, chunk_id, part, row_number() OVER (PARTITION BY query_id, part ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT *, {_PART} FROM ok)),
+lr AS (SELECT query_id, chunk_id, part, row_number() OVER (PARTITION BY query_id, part ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT *, {_PART} FROM ah) x WHERE NOT EXISTS (SELECT 1 FROM sr WHERE sr.query_id = x.query_id AND sr.part = x.part)),
+found AS (SELECT query_id, part, 'all' AS method, chunk_id, rank FROM sr UNION ALL SELECT query_id, part, 'any', chunk_id, rank FROM lr),
+cited AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, rank) AS number FROM found WHERE rank <= CASE part WHEN 'corpus' THEN 4 ELSE 2 END)
+SELECT query_id, number, part AS source, method, chunk_id FROM cited UNION ALL SELECT query_id, 0, 'none', 'nothing found', NULL FROM wq WHERE query_id NOT IN (SELECT query_id FROM cited)""",
+)
 def t8(t):
     asks = _web(t).union(t.spark.createDataFrame([(-1, "zzzz qqqq")], "query_id long, text string"))
     return search.retrieve(asks, _index(t, "corpus"), _index(t, "notes"))
