@@ -8,7 +8,7 @@ cannot matter, by worth or because no candidate is in their slice. What is left
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +54,19 @@ class SearchIndex:
     mean_length: float
     slices: int
     words: Words
+    where: str | None = None
+
+    def only(self, where: str) -> SearchIndex:
+        """The chunks of which a condition on chunk_id and page holds, for strict and loose searches; ranked ones weigh words by all chunks."""
+        return replace(self, where=where)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def entries(self, asked: DataFrame) -> DataFrame:
         """Postings of asked rows (term, and level and slice where only some matter) with the columns of asked."""
-        return asked.join(self.table("postings").drop(*({"level", "slice"} - set(asked.columns))), [c for c in ("term", "level", "slice") if c in asked.columns])
+        rows = self.table("postings").drop(*({"level", "slice"} - set(asked.columns)))
+        return asked.join(rows.filter(self.where) if self.where else rows, [c for c in ("term", "level", "slice") if c in asked.columns])
 
 
 def _posted(kind: Words):
@@ -222,7 +228,8 @@ def retrieve(queries: DataFrame, corpus: SearchIndex, notes: SearchIndex, k: int
     """Citations: strict hits, relaxed ones only for queries without any; corpus first, then notes (half of k, one at least); none: a refusal row."""
 
     def search(index: SearchIndex, n: int, source: str) -> DataFrame:
-        strict = strict_search(queries, index, n).withColumn("method", F.lit("all"))
+        # A few rows for each query, read three times from here on.
+        strict = written(strict_search(queries, index, n), "strict").withColumn("method", F.lit("all"))
         missed = queries.join(strict.select("query_id").distinct(), "query_id", "left_anti")
         return strict.union(loose_search(missed, index, n).withColumn("method", F.lit("any"))).withColumn("source", F.lit(source))
 

@@ -36,8 +36,7 @@ _BUILT: dict = {}
 def _index(t, kind: str):
     key = (t.spark.sparkContext.applicationId, t.folder, kind)
     if key not in _BUILT:
-        chunks = _chunks(t) if kind in ("ranked", "words") else _chunks(t).filter("page < 8" if kind == "corpus" else "page >= 8")
-        _BUILT[key] = search.build_index(chunks, search.Words(op.WORD_CLASS, tuple(op.STOP), 2) if kind == "ranked" else search.Words())
+        _BUILT[key] = search.build_index(_chunks(t), search.Words(op.WORD_CLASS, tuple(op.STOP), 2) if kind == "ranked" else search.Words())
     return _BUILT[key]
 
 
@@ -120,7 +119,7 @@ SELECT query_id, number, part AS source, method, chunk_id FROM cited UNION ALL S
 )
 def t8(t):
     asks = _web(t).union(t.spark.createDataFrame([(-1, "zzzz qqqq")], "query_id long, text string"))
-    return search.retrieve(asks, _index(t, "corpus"), _index(t, "notes"))
+    return search.retrieve(asks, _index(t, "words").only("page < 8"), _index(t, "words").only("page >= 8"))
 
 
 @query("t9_repeats")
