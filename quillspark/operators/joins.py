@@ -34,7 +34,7 @@ def decode_key(rows: DataFrame) -> DataFrame:
 def place(questions: DataFrame, blueprint: DataFrame) -> DataFrame:
     """The blueprint's subject for a question's part and number; null where none covers it. Blueprints are configuration."""
     b = blueprint.select(F.col("part").alias("_part"), "first", "last", F.col("subject").alias("placed"))
-    return questions.join(b, (F.col("part") == F.col("_part")) & F.col("number").between(F.col("first"), F.col("last")), "left").drop("_part", "first", "last")
+    return questions.join(F.broadcast(b), (F.col("part") == F.col("_part")) & F.col("number").between(F.col("first"), F.col("last")), "left").drop("_part", "first", "last")
 
 
 def placement_conflicts(questions: DataFrame, blueprint: DataFrame, aliases: dict[str, str]) -> DataFrame:
@@ -53,9 +53,15 @@ def attach_passages(questions: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def assemble(papers: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
-    """Nested documents: each paper with its questions, each with its options, in order."""
-    o = options.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("label", "text", "is_correct"))).alias("options"))
-    q = questions.join(o, "question_id", "left").groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("pos", "question_id", "stem", "options"))).alias("questions"))
+    """Nested documents: each paper with its questions, each with its options, in order.
+
+    Questions and options meet by grouping, both by paper first: tables that are dealt by paper are not shuffled again."""
+    q, o = F.struct("pos", "stem"), F.struct("label", "text", "is_correct")
+    keys = ["paper_id", "question_id"]
+    rows = questions.select(*keys, q.alias("q")).unionByName(options.select(*keys, o.alias("o")), allowMissingColumns=True)
+    each = rows.groupBy(*keys).agg(F.collect_list("q").alias("qs"), F.array_sort(F.collect_list("o")).alias("options"))
+    each = each.select(*keys, F.explode("qs").alias("q"), F.when(F.size("options") > 0, F.col("options")).alias("options"))
+    q = each.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("q.pos", "question_id", "q.stem", "options"))).alias("questions"))
     return papers.join(q, "paper_id", "left")
 
 
