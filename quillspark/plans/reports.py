@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import quality, reports, windows
 from quillspark.operators import text as op
 from quillspark.plans import query
+from quillspark.sources.folders import written
 from quillspark.plans.text import _SHAPES
 
 _SHARE = "round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {0}), 6) AS share"
@@ -117,7 +118,8 @@ SELECT paper_id, count(official) AS checked, count(*) FILTER (WHERE official <>
 def q17_sections(t):
     p, n = F.col("paper_id"), F.col("number")
     types = F.array(*map(F.lit, ("CTET_P1", "CTET_P2_MATHSCI", "CTET_P2_SOCSCI")))
-    ours = t.questions.groupBy("paper_id", "number").agg(F.min("key_raw").alias("ours")).select("paper_id", F.get(types, (p % 3).cast("int")).alias("paper_type"), p.cast("string").alias("set_code"), "number", "ours")
+    # Read five times from here on.
+    ours = written(t.questions.groupBy("paper_id", "number").agg(F.min("key_raw").alias("ours")), "ours").select("paper_id", F.get(types, (p % 3).cast("int")).alias("paper_type"), p.cast("string").alias("set_code"), "number", "ours")
     labels = F.array(*[F.lit(s) for _, s in _LABELS])
     core = ours.filter("number <= 3").select("set_code", F.get(labels, ((p % 3) * 2 + p % 2).cast("int")).alias("section"), "number", F.when((p + n) % 20 == 0, "Z").otherwise(F.col("ours")).alias("official"))
     wrong = ours.filter("number <= 2").select("set_code", F.when(F.col("paper_type") == "CTET_P1", "PAPER-II (MAIN SOS)").otherwise("PAPER-I (MAIN)"), "number", F.lit("X"))
