@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.sources.folders import written
+
 
 def bundle_papers(papers: DataFrame, questions: DataFrame, full: bool = True) -> DataFrame:
     """papers with approved and total counts, and why a paper is skipped (null: shipped)."""
@@ -21,13 +23,17 @@ def checksum(df: DataFrame) -> DataFrame:
 
 def export_bundle(papers: DataFrame, questions: DataFrame, options: DataFrame, path: str, full: bool = True) -> dict:
     """Write papers, questions, options and meta of what ships, as Parquet by exam; returns counts and skipped reasons."""
-    judged = bundle_papers(papers, questions, full)
+    # Read four times from here on.
+    judged = written(bundle_papers(papers, questions, full), "judged")
     ship = judged.filter("reason is null").select(*papers.columns, F.col("approved").alias("total_questions"))
     kept = questions.filter(F.col("review_status") == "approved").join(ship.select("paper_id", "exam_code"), "paper_id")
-    labels = options.join(kept.select("question_id", "exam_code"), "question_id")
-    for name, df in (("papers", ship), ("questions", kept), ("options", labels)):
-        df.write.mode("overwrite").partitionBy("exam_code").parquet(f"{path}/{name}")
     spark = papers.sparkSession
+    write = lambda df, name: df.write.mode("overwrite").partitionBy("exam_code").parquet(f"{path}/{name}")
+    write(ship, "papers")
+    write(kept, "questions")
+    # What ships is read back, not found again.
+    shipped = spark.read.schema(kept.schema).parquet(f"{path}/questions")
+    write(options.join(shipped.select("question_id", "exam_code"), "question_id"), "options")
     sums = {name: checksum(spark.read.parquet(f"{path}/{name}")).first() for name in ("papers", "questions", "options")}
     meta = [("gate", "approved"), ("full", str(full).lower()), *[(f"{n}_{k}", str(r[k])) for n, r in sums.items() for k in ("rows", "checksum")]]
     spark.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
