@@ -66,5 +66,5 @@ def test_postings_and_runs_are_made_in_pieces():
     assert len(made) > 5 and sum(sum(b.column("tf").to_pylist()) for b in made) == 30 * 40_000 + 2
     hay = pa.RecordBatch.from_arrays([pa.array(map(str, range(33))), zero, pa.array(texts)], names=["item_id", "slice", "hay"])
     made = list(search._grams([hay]))
-    got = {(i, g) for b in made for i, g in zip(b.column("item_id").to_pylist(), b.column("gram").to_pylist())}
+    got = {(i, g) for b in made for g, items in zip(b.column("gram").to_pylist(), b.column("items").to_pylist(), strict=True) for i in items}
     assert len(made) > 5 and got == {(str(i), x[k : k + n]) for i, t in enumerate(texts) for x in [t[:40]] for n in (1, 2, 3) for k in range(len(x) - n + 1)}
