@@ -100,3 +100,17 @@ def test_snapshots_bound_what_is_read(spark, tmp_path):
     # A snapshot without a mark does not count.
     parts[0].sparkSession.createDataFrame([], schema).write.parquet(str(tmp_path / "table/snapshots/50"))
     assert as_set(streaming.merged_responses(table.read(schema))) == want
+
+
+def test_an_attempt_is_one_value_of_state(spark, commands, tmp_path):
+    """A batch reads and writes one value for each attempt, and sends Python only what a fold needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = streaming.stream_time(commands[1]).writeStream.foreachBatch(lambda b, k: b.count()).outputMode("update").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        (held,) = run.recentProgress[0].stateOperators
+    finally:
+        spark.conf.unset(name)
+    # Each task counts its own.
+    assert (held.customMetrics["numValueStateVars"], held.customMetrics["numListStateVars"]) == (held.numShufflePartitions, 0)
