@@ -289,6 +289,26 @@ def test_scores_are_those_of_customers_seated_one_by_one(spark):
             assert got[i] == pytest.approx(math.log10(first[w] * after), abs=0.05)
 
 
+def test_rare_contexts_have_restaurants(spark):
+    """No context is pooled by default, however rare."""
+    import zlib
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "b c", "c d", "e f", "e f g"]) for _ in range(rng.randint(1, 5))) for _ in range(24)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(200) if i not in held]
+    counts = Counter((u, w) for t in texts for u, w in zip(["", *t.split()], [*t.split(), ""], strict=True))
+    seen = Counter(w for t in texts for w in [*t.split(), ""])
+    want = reseat(counts, Counter(), len(seen), 500, 60, 1)
+    asked = dict(zip(held, ["e f", "c d", "f g", "b c"], strict=False))
+    rows = list(zip(train, texts, strict=False)) + list(asked.items())
+    got = {r.doc_id: r.score for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), burn_in=4, kept=16).collect()}
+    assert max(seen[w] for w in "acdefg") < 50
+    for i, text in asked.items():
+        u, w = text.split()
+        assert got[i] == pytest.approx(math.log10(want["", u] * want[u, w] * want[w, ""]), abs=0.08)
+
+
 def test_probabilities_after_a_context_sum_to_one():
     rng = np.random.default_rng(5)
     plan = language_model.Layout(np.array([5, 9], np.uint64), np.array([30, 20]), 60, 1000)
