@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import remove, stored
 from .tokens import hashed, mixed, packed, split_words, unpacked
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
@@ -284,7 +284,7 @@ def _met(key, rows):
     return _messages([part] * (1 + len(ranges)), [STATIC, *ranges], [cell, *told])
 
 
-def _pourer(sweep: int, least: int, seed: int, kept: bool):
+def _pourer(sweep: int, least: int, seed: int, kept: bool, last: bool = False):
     """A part adds up its moving contexts' tables after so many sweeps and sends each range their gamma variables (-1: pooled); if kept, also tables and customers."""
 
     def pour(key, rows):
@@ -302,7 +302,7 @@ def _pourer(sweep: int, least: int, seed: int, kept: bool):
         cells, told, ends = [], [], np.cumsum(lengths.astype(np.int64))
         for a, z in zip(ends - lengths, ends, strict=True):
             mine = at[a:z]
-            cells.append(packed(x[mine[live[a:z]]].view(np.uint32)))
+            cells.append(None if last else packed(x[mine[live[a:z]]].view(np.uint32)))
             told.append(packed(tables[mine].astype(np.uint32), n[mine].astype(np.uint32)) if kept else None)
         return _messages([part] * len(cells), ranges, cells).append_column("told", pa.array(told, pa.binary()))
 
@@ -418,7 +418,11 @@ def fit(state: DataFrame, contexts: DataFrame, layout, tokens: int, v: int, burn
         sent = spark.sparkContext.broadcast(now)
         rows = seats.union(down.select(*columns))
         rows = rows.union(said.filter(F.col("part") == SEATED)) if said is not None else rows
-        said = stored(rows.groupBy("range").applyInArrow(_seater(layout, sent, i, seed), _MESSAGE), "seated")
+        before, said = said, stored(rows.groupBy("range").applyInArrow(_seater(layout, sent, i, seed), _MESSAGE), "seated")
+        # What burn-in said is read no more; nor is what it was answered.
+        for old in [before] * (0 < i <= burn_in) + [down] * (i <= burn_in):
+            for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+                remove(spark, path)
         sums = sorted((r["range"], *np.frombuffer(r["cell"])) for r in said.filter(F.col("part") == SUMS).collect())
         m, k, weight = (sum(r[j] for r in sums) for j in (2, 3, 4))
         cut_m = np.zeros(len(plan.split), np.int64)
@@ -431,7 +435,7 @@ def fit(state: DataFrame, contexts: DataFrame, layout, tokens: int, v: int, burn
         new = ROOT_STRENGTH + ROOT_DISCOUNT * k
         rest = rng.standard_gamma(new)
         now = {"rest": rest, "sum": weight + rest, "cut": cut, "uniform": uniform, "root": rng.standard_gamma(ROOT_STRENGTH / ROOT_DISCOUNT + k)}
-        down = pour(moving.union(said.filter("part >= 0")), i + 1, least, seed, i >= burn_in)
+        down = pour(moving.union(said.filter("part >= 0")), i + 1, least, seed, i >= burn_in, i + 1 == burn_in + kept)
         if i >= burn_in:
             told += [said.filter(F.col("part") == SEATED), down.select("part", "range", F.col("told").alias("cell"))]
             told[-2:] = [x.select(F.lit(i - burn_in).alias("sweep"), *columns) for x in told[-2:]]
