@@ -68,3 +68,22 @@ def test_postings_and_runs_are_made_in_pieces():
     made = list(search._grams([hay]))
     got = {(i, g) for b in made for g, items in zip(b.column("gram").to_pylist(), b.column("items").to_pylist(), strict=True) for i in items}
     assert len(made) > 5 and got == {(str(i), x[k : k + n]) for i, t in enumerate(texts) for x in [t[:40]] for n in (1, 2, 3) for k in range(len(x) - n + 1)}
+
+
+def test_an_index_is_written_where_its_chunks_are_read(spark):
+    texts = spark.createDataFrame([(i, 0, f"the word{i} the") for i in range(12)], "chunk_id long, page int, text string").repartition(3)
+    index = search.build_index(texts.persist(), search.Words())
+    held = spark.read.parquet(f"{index.path}/postings").filter("term = 'the'").groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(held) >= 3 and sum(r["count"] for r in held) == 12
+    asked = search._few(search.written(spark.createDataFrame([(1, "the")], "query_id int, term string"), "asked"))
+    assert "Exchange hash" not in plan(index.entries(asked)) and index.entries(asked).count() == 12
+
+
+def test_searches_meet_an_index_by_shuffle_beyond_few_rows(spark, monkeypatch):
+    pages = [(i, i % 4, f"red ring {i % 3} of the small lamp " + "the " * (i % 5)) for i in range(40)]
+    index = search.build_index(spark.createDataFrame(pages, "chunk_id long, page int, text string"), search.Words())
+    asks = spark.createDataFrame([(1, '"red ring" lamp'), (2, "lamp -1"), (3, "ring 2 absent"), (4, '"ring red"'), (5, "the small the")], "query_id int, text string")
+    found = lambda: [sorted(map(str, f(asks, i).collect())) for f in (search.strict_search, search.loose_search, search.ranked_search) for i in (index, index.only("page < 2"))]
+    few = found()
+    monkeypatch.setattr(search, "FEW", -1)
+    assert found() == few and {s[13] for s in few[0]} == {"1", "2", "5"}
