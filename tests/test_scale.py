@@ -79,6 +79,10 @@ def test_an_index_is_written_where_its_chunks_are_read(spark):
     assert "Exchange hash" not in plan(index.entries(asked)) and index.entries(asked).count() == 12
 
 
+def test_citations_and_refusals_do_not_search_twice(spark):
+    assert "postings" not in plan(catalog.queries()["t8_retrieve"](spark, FOLDER))
+
+
 def test_searches_meet_an_index_by_shuffle_beyond_few_rows(spark, monkeypatch):
     pages = [(i, i % 4, f"red ring {i % 3} of the small lamp " + "the " * (i % 5)) for i in range(40)]
     index = search.build_index(spark.createDataFrame(pages, "chunk_id long, page int, text string"), search.Words())
