@@ -91,3 +91,28 @@ def test_searches_meet_an_index_by_shuffle_beyond_few_rows(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(search, "FEW", -1)
     assert found() == few and {s[13] for s in few[0]} == {"1", "2", "5"}
+
+
+def test_a_catalogue_is_written_where_its_items_are_read(spark, monkeypatch):
+    things = spark.createDataFrame([(f"id{i}", f"ring {i % 7}", f"red lamp {i} " + "x" * (i % 40)) for i in range(900)], "item_id string, name string, text string").repartition(3)
+    index = search.build_catalogue(things.persist())
+    files = index.table("grams").filter("gram = 'red'").groupBy(F.input_file_name().alias("file")).agg(F.sum(F.size("items")).alias("n")).collect()
+    assert len(files) >= 3 and sum(r["n"] for r in files) == 900
+    asks = spark.createDataFrame([(1, "id12"), (2, "lamp ring"), (3, "red 77"), (4, "ring 3 red lamp 10 xx"), (5, "absent"), (6, "p 1"), (7, " "), (8, "--")], "query_id int, query string")
+    out = search.tier_search(asks, index)
+    # Texts are not dealt anew to be compared.
+    assert "hay" not in "".join(x for x in plan(out).splitlines() if "Exchange hash" in x) and "SortMergeJoin" not in plan(out)
+    found = sorted(map(str, out.collect()))
+    monkeypatch.setattr(search, "FEW", -1)
+    monkeypatch.setattr(search, "LISTS", -1)
+    assert sorted(map(str, search.tier_search(asks, index).collect())) == found
+    want = set()
+    for q, text in [(1, "id12"), (2, "lamp ring"), (3, "red 77"), (4, "ring 3 red lamp 10 xx"), (6, "p 1")]:
+        tiers = []
+        for i in range(900):
+            key, words = f"id{i}", text.split()
+            hay = f"{key} ring {i % 7} red lamp {i} " + "x" * (i % 40)
+            tier = 0 if key == text else 1 if text in key else (2 if any(w in key for w in words) else 3) if all(w in hay for w in words) else 4 if text in hay else None
+            tiers += [(tier, len(key), key)] if tier is not None else []
+        want |= {(q, k, t, r + 1) for r, (t, _, k) in enumerate(sorted(tiers)[:25])}
+    assert {(r.query_id, r.item_id, r.tier, r["rank"]) for r in out.collect()} == want
