@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quillspark import catalog
-from quillspark.operators import joins, search
+from quillspark.operators import joins, search, text
 from quillspark.sources.bindings import Tables, option_list
 
 FOLDER = "/root/testdata/sf0.001"
@@ -116,3 +116,23 @@ def test_a_catalogue_is_written_where_its_items_are_read(spark, monkeypatch):
             tiers += [(tier, len(key), key)] if tier is not None else []
         want |= {(q, k, t, r + 1) for r, (t, _, k) in enumerate(sorted(tiers)[:25])}
     assert {(r.query_id, r.item_id, r.tier, r["rank"]) for r in out.collect()} == want
+
+
+def test_stems_are_stored_once_and_paired_as_they_are_read(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    monkeypatch.setattr(text, "STEM_BLOCK", 5)
+    monkeypatch.setattr(text, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(text, "PART_BYTES", 3000)
+    stems = [" ".join(f"{'abcdefgh'[(i * k) % 8]}{(i + k) % 5}word" for k in range(6 + i % 9)) for i in range(40)]
+    stems += [x.replace("word", "wxrd", 2) for x in stems[::3]] + [f"{x} z" for x in stems[::5]]
+    sitting = {x: (None, "2023", "2024")[i % 3] for i, x in enumerate(dict.fromkeys(stems))}
+    rows = spark.createDataFrame([(x, y, y) for x, y in sitting.items()], "norm string, lo string, hi string")
+    out = text.repeat_candidates(rows)
+    alike = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.82
+    want = {(a, b) for a in sitting for b in sitting if a < b and alike(a, b) and sitting[a] != sitting[b]}
+    got = [(r.a, r.b) for r in out.collect()]
+    assert len(got) == len(set(got)) and want and want <= set(got) and all(a < b and sitting[a] != sitting[b] for a, b in got)
+    assert "CoGroup" not in plan(out)
+    every = [(r.a, r.b) for r in text.repeat_candidates(rows.select("norm")).collect()]
+    assert len(every) == len(set(every)) and {(a, b) for a in sitting for b in sitting if a < b and alike(a, b)} <= set(every)
